@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.functions.money import MONEY, is_expense, month_of
+from tallyflow.functions.money import MONEY, is_expense, month_of, ratio
 
 
 def category_totals(ledger: DataFrame) -> DataFrame:
@@ -45,32 +45,21 @@ def spending_summary(ledger: DataFrame) -> DataFrame:
     cells = ledger.groupBy("user_id", "category", month_of().alias("month")).agg(
         F.sum(F.when(is_expense(), F.col("amount"))).alias("total")
     )
-    cells = cells.repartition("user_id")
-    spent = F.col("total").isNotNull()
-    categories = (
-        cells.groupBy("user_id", "category")
-        .agg(F.sum("total").alias("total"))
-        .groupBy("user_id")
-        .agg(F.collect_list(F.when(spent, F.struct("category", "total"))).alias("by_category"))
-    )
-    months = (
-        cells.groupBy("user_id", "month")
-        .agg(F.sum("total").alias("total"))
-        .groupBy("user_id")
-        .agg(
-            F.collect_list(F.when(spent, F.struct(F.date_format("month", "yyyy-MM").alias("month"), "total"))).alias(
-                "by_month"
-            ),
-            F.coalesce(F.sum("total"), F.lit(0).cast(MONEY)).alias("total_expenses"),
-            F.coalesce(F.avg(F.col("total").cast("double")), F.lit(0.0)).alias("average_monthly"),
-        )
+    # Grouping sets over the already small cells: the ledger is read and shuffled once for both breakdowns.
+    sums = cells.groupingSets([["user_id", "category"], ["user_id", "month"]], "user_id", "category", "month").agg(
+        F.sum("total").alias("total"), F.grouping("category").alias("is_month")
     )
-    return categories.join(months, "user_id").select(
-        "user_id",
-        F.map_from_entries(F.array_sort("by_category")).alias("category_spending"),
-        F.map_from_entries(F.array_sort("by_month")).alias("monthly_trends"),
-        "total_expenses",
-        "average_monthly",
+    spent = F.col("total").isNotNull()
+    of_month = spent & (F.col("is_month") == 1)
+    entry_of_month = F.struct(F.date_format("month", "yyyy-MM").alias("month"), "total")
+    monthly = F.when(of_month, F.col("total"))
+    return sums.groupBy("user_id").agg(
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(spent & (F.col("is_month") == 0), F.struct("category", "total"))))
+        ).alias("category_spending"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(of_month, entry_of_month)))).alias("monthly_trends"),
+        F.coalesce(F.sum(monthly), F.lit(0).cast(MONEY)).alias("total_expenses"),
+        ratio(F.sum(monthly), F.count(monthly)).alias("average_monthly"),
     )
 
 
@@ -80,14 +69,14 @@ def spending_totals(ledger: DataFrame) -> DataFrame:
         ledger.filter(is_expense())
         .groupBy("user_id", "category", month_of().alias("month"))
         .agg(F.sum("amount").alias("total"))
-        .repartition("user_id")
     )
-    return cells.groupBy("user_id").agg(
+    # Sets of months and categories, both bounded by what the summary itself lists.
+    per_user = cells.groupBy("user_id").agg(
         F.sum("total").alias("total_expenses"),
-        F.countDistinct("month").alias("n_months"),
-        F.countDistinct("category").alias("n_categories"),
-        (F.sum("total").cast("double") / F.countDistinct("month")).alias("average_monthly"),
+        F.size(F.collect_set("month")).alias("n_months"),
+        F.size(F.collect_set("category")).alias("n_categories"),
     )
+    return per_user.withColumn("average_monthly", ratio(F.col("total_expenses"), F.col("n_months")))
 
 
 def top_categories(totals: DataFrame) -> DataFrame:
