@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions import moments
 from tallyflow.functions.money import is_expense, is_income
 from tallyflow.operators.recent import latest_rows
-from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats, with_carried_rows, with_time_slice
+from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats, ordered_chunks, split_large, with_carried_rows
 
 ORDER = ["ts", "txn_id"]
 
@@ -125,11 +125,14 @@ def spending_spikes(
     rows as a filter over the last 30, without building an array per row.
     """
     rows = ledger.select("user_id", "ts", "txn_id", "category", "txn_type", "amount")
-    sliced, large = with_time_slice(rows, "user_id", "ts", split_rows)
-    framed = with_carried_rows(sliced, large, "user_id", ORDER, depth - 1)
-    in_order = Window.partitionBy("user_id", "slice").orderBy(*ORDER)
+    small, large, n_chunks = split_large(rows, "user_id", split_rows)
+    framed = small.withColumns({"chunk": F.lit(0), "carried": F.lit(False)})
+    if large is not None:
+        chunked = ordered_chunks(large, "user_id", [F.col(c) for c in ORDER], n_chunks)
+        framed = framed.unionByName(with_carried_rows(chunked, "user_id", ORDER, depth - 1))
+    in_order = Window.partitionBy("user_id", "chunk").orderBy(*ORDER)
     same = (
-        Window.partitionBy("user_id", "slice", "category")
+        Window.partitionBy("user_id", "chunk", "category")
         .orderBy("position")
         .rangeBetween(-(depth - 1), Window.currentRow)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
@@ -12,20 +12,21 @@ from tallyflow.functions.money import is_expense, is_income, ratio, sum_where
 TARGET_MONTHS = 6
 
 
-def _goal_sums(ledger: DataFrame) -> DataFrame:
+def goal_sums(ledger: DataFrame) -> DataFrame:
     """Per user sums and counts behind all four goals.
 
-    Expense months are months of the year, so that January of two years counts once. Debt and investment
-    go by category alone, whatever the type. A set of at most twelve months is kept per user.
+    Expense months are months of the year, so January of two years counts once; they are kept as a bit mask,
+    which aggregates on both sides of the shuffle. Debt and investment go by category alone, whatever the type.
     """
     debt = category_in(F.col("category"), fv.DEBT_CATEGORIES)
     invested = category_in(F.col("category"), fv.INVESTMENT_CATEGORIES)
     amount = F.col("amount")
+    month_bit = F.expr("shiftleft(1, month(ts) - 1)")
     return ledger.groupBy("user_id").agg(
         sum_where(is_income(), amount).alias("total_income"),
         sum_where(is_expense(), amount).alias("total_expenses"),
         F.count_if(is_expense()).alias("n_expense"),
-        F.bit_count(F.bit_or(F.when(is_expense(), F.shiftleft(F.lit(1), F.month("ts") - 1)))).alias("months_of_year"),
+        F.bit_count(F.coalesce(F.bit_or(F.when(is_expense(), month_bit)), F.lit(0))).alias("months_of_year"),
         sum_where(debt, amount).alias("debt_total"),
         F.count_if(debt).alias("n_debt"),
         sum_where(invested, amount).alias("invested_total"),
@@ -33,72 +34,75 @@ def _goal_sums(ledger: DataFrame) -> DataFrame:
     )
 
 
-def emergency_fund(ledger: DataFrame) -> DataFrame:
-    """Six months of average expenses against what was saved.
-
-    Users without expenses have status no_data. months_covered is cut toward zero.
-    """
-    sums = _goal_sums(ledger).withColumn("current_savings", F.col("total_income") - F.col("total_expenses"))
-    monthly = F.col("total_expenses").cast("double") / F.greatest(F.lit(1), F.coalesce(F.col("months_of_year"), F.lit(1)))
-    saved = F.col("current_savings").cast("double")
+def _emergency_columns() -> list[Column]:
+    saved_exact = F.col("total_income") - F.col("total_expenses")
+    saved = saved_exact.cast("double")
+    monthly = F.col("total_expenses").cast("double") / F.greatest(F.lit(1), F.col("months_of_year"))
+    target = monthly * TARGET_MONTHS
+    progress = F.when(target > 0, saved / target * 100.0).otherwise(0.0)
+    months = F.when(monthly > 0, (saved / monthly).cast("bigint")).otherwise(0)
     has = F.col("n_expense") > 0
-    progress = F.when(F.col("target_amount") > 0, saved / F.col("target_amount") * 100.0).otherwise(0.0)
-    months = F.when(F.col("monthly") > 0, (saved / F.col("monthly")).cast("bigint")).otherwise(0)
-    return (
-        sums.withColumn("monthly", monthly)
-        .withColumn("target_amount", F.col("monthly") * TARGET_MONTHS)
-        .withColumn("progress", progress)
-        .select(
-            "user_id",
-            F.when(~has, "no_data").when(F.col("progress") >= 100, "on_track").otherwise("in_progress").alias("status"),
-            F.when(has, F.col("current_savings")).alias("current_savings"),
-            F.when(has, F.col("target_amount")).alias("target_amount"),
-            F.when(has, F.col("progress")).alias("progress_percentage"),
-            F.when(has, months).alias("months_covered"),
-        )
-    )
+    return [
+        F.when(~has, "no_data").when(progress >= 100, "on_track").otherwise("in_progress").alias("status"),
+        F.when(has, saved_exact).alias("current_savings"),
+        F.when(has, target).alias("target_amount"),
+        F.when(has, progress).alias("progress_percentage"),
+        F.when(has, months).alias("months_covered"),
+    ]
 
 
-def savings_goal(ledger: DataFrame) -> DataFrame:
-    sums = _goal_sums(ledger)
+def _savings_columns() -> list[Column]:
     saved = F.col("total_income") - F.col("total_expenses")
-    return sums.select("user_id", ratio(saved, F.col("total_income")).alias("savings_rate"), saved.alias("total_saved"))
+    return [ratio(saved, F.col("total_income")).alias("savings_rate"), saved.alias("total_saved")]
 
 
-def _payments(sums: DataFrame, total: str, n: str, total_name: str, n_name: str, none: str) -> DataFrame:
+def _payment_columns(total: str, n: str, none: str, total_name: str, n_name: str) -> list[Column]:
     found = F.col(n) > 0
-    return sums.select(
-        "user_id",
+    return [
         F.when(found, "detected").otherwise(none).alias("status"),
         F.when(found, F.col(total)).alias(total_name),
         F.when(found, F.col(n)).alias(n_name),
+    ]
+
+
+def _debt_columns() -> list[Column]:
+    return _payment_columns("debt_total", "n_debt", "no_debt_detected", "total_debt_payments", "payment_frequency")
+
+
+def _investment_columns() -> list[Column]:
+    return _payment_columns(
+        "invested_total", "n_invested", "no_investments_detected", "total_invested", "investment_frequency"
     )
 
 
+def emergency_fund(ledger: DataFrame) -> DataFrame:
+    """Six months of average expenses against what was saved; months covered are cut toward zero.
+
+    Users without expenses have status no_data and nothing else.
+    """
+    return goal_sums(ledger).select("user_id", *_emergency_columns())
+
+
+def savings_goal(ledger: DataFrame) -> DataFrame:
+    return goal_sums(ledger).select("user_id", *_savings_columns())
+
+
 def debt_goal(ledger: DataFrame) -> DataFrame:
-    return _payments(
-        _goal_sums(ledger), "debt_total", "n_debt", "total_debt_payments", "payment_frequency", "no_debt_detected"
-    )
+    """Payments in debt categories, or no_debt_detected."""
+    return goal_sums(ledger).select("user_id", *_debt_columns())
 
 
 def investment_goal(ledger: DataFrame) -> DataFrame:
-    return _payments(
-        _goal_sums(ledger), "invested_total", "n_invested", "total_invested", "investment_frequency",
-        "no_investments_detected",
-    )
+    """Rows in investment categories, income included, or no_investments_detected."""
+    return goal_sums(ledger).select("user_id", *_investment_columns())
 
 
 def goal_bundle(ledger: DataFrame) -> DataFrame:
-    """The four goals as struct columns of one row per user. Each is a projection of the same aggregate."""
-
-    def nested(goal: DataFrame, name: str) -> DataFrame:
-        return goal.select("user_id", F.struct(*[c for c in goal.columns if c != "user_id"]).alias(name))
-
-    out = nested(emergency_fund(ledger), "emergency_fund")
-    for goal, name in (
-        (savings_goal(ledger), "savings_goals"),
-        (debt_goal(ledger), "debt_reduction"),
-        (investment_goal(ledger), "investment_goals"),
-    ):
-        out = out.join(nested(goal, name), "user_id")
-    return out
+    """The four goals as struct columns, all projected from the same single aggregate."""
+    return goal_sums(ledger).select(
+        "user_id",
+        F.struct(*_emergency_columns()).alias("emergency_fund"),
+        F.struct(*_savings_columns()).alias("savings_goals"),
+        F.struct(*_debt_columns()).alias("debt_reduction"),
+        F.struct(*_investment_columns()).alias("investment_goals"),
+    )

@@ -2,14 +2,18 @@
 
 One user (or category, or agent) can own a third of the ledger. Nothing here gathers such a group in one task:
 aggregates are partial before their shuffle, per-group statistics are attached with a salted join, and
-windows over a long history are cut into time slices. No row is dropped or capped.
+groups that must be put in order are cut into chunks of that order. No row is dropped or capped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyflow.session import shared_path
+
 # Rows of one group that a single task may hold. Above it the group is spread over n / SPLIT_ROWS tasks.
 SPLIT_ROWS = 1_000_000
 # Bound of the broadcast table of large groups. Groups beyond the bound are the smaller ones: each holds less
@@ -49,48 +53,75 @@ def attach_group_stats(
     )
 
 
-def with_time_slice(rows: DataFrame, key: str, ts: str, split_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Add `slice` (0 for all but large groups) and return also the broadcast table of large groups.
+def split_large(
+    rows: DataFrame, key: str, split_rows: int = SPLIT_ROWS
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Separate the rows of large groups, for operators that must order a group.
 
-    A large group is cut into equal lengths of time, as many as it has multiples of `split_rows`, from its own
-    first and last time. The cut is arithmetic on three aggregates, hence the same in every branch of a plan.
+    Returns the other rows, the rows of large groups (None when there are none, the usual case) and the number of
+    chunks to cut the latter into. One number comes back to the driver.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    spans = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
-    large = largest_groups(spans, [key], "_n", split_rows)
-    share = (micros - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1))
-    cut = F.floor(share * F.ceil(F.col("_n") / F.lit(split_rows)))
-    sliced = rows.join(F.broadcast(large), key, "left").withColumn("slice", F.coalesce(cut, F.lit(0)).cast("bigint"))
-    return sliced.drop("_n", "_lo", "_hi"), large
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    large = largest_groups(sizes, [key], "_n", split_rows)
+    n_large = large.agg(F.sum("_n")).first()[0]
+    if not n_large:
+        return rows, None, 0
+    names = F.broadcast(large.select(key))
+    return rows.join(names, key, "left_anti"), rows.join(names, key, "left_semi"), math.ceil(n_large / split_rows)
 
 
-def with_carried_rows(sliced: DataFrame, large: DataFrame, key: str, order: list[str], preceding: int) -> DataFrame:
-    """Give each time slice a copy of the `preceding` rows before it, marked `carried`.
+def ordered_chunks(rows: DataFrame, key: str, order: list[Column], n_chunks: int) -> DataFrame:
+    """Rows with `chunk`, ascending in (key, order), of about equal size whatever the sizes of the groups.
 
-    A window over (key, slice) of at most that many preceding rows then sees what it would see over the key
-    alone. Only large groups have more than one slice, so only they have carried rows.
+    The chunks are written to the shared folder: every branch that reads them sees the same cut, also after an
+    executor was lost.
     """
-    from pyspark.sql import Window
+    spark = rows.sparkSession
+    path = shared_path(spark, "chunks")
+    chunked = rows.repartitionByRange(max(1, n_chunks), F.col(key), *order).withColumn("chunk", F.spark_partition_id())
+    chunked.write.parquet(path)
+    return spark.read.schema(chunked.schema).parquet(path)
+
+
+def with_carried_rows(chunked: DataFrame, key: str, order: list[str], preceding: int) -> DataFrame:
+    """Give each chunk a copy of the group's `preceding` rows before it, marked `carried`.
 
-    fields = [c for c in sliced.columns if c not in (key, "slice", *order)]
-    latest = Window.partitionBy(key, "slice").orderBy(*[F.col(c).desc() for c in order])
+    A window over (key, chunk) of at most that many preceding rows then sees what it would see over the key.
+    """
+    fields = [c for c in chunked.columns if c not in (key, "chunk", *order)]
+    latest = Window.partitionBy(key, "chunk").orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        sliced.join(F.broadcast(large.select(key)), key, "left_semi")
-        .withColumn("_rank", F.row_number().over(latest))
+        chunked.withColumn("_rank", F.row_number().over(latest))
         .filter(F.col("_rank") <= preceding)
-        .groupBy(key, "slice")
+        .groupBy(key, "chunk")
         .agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("_tail"))
     )
-    # Every slice in `tails` has at least one row, so `preceding` earlier slices always suffice.
-    before = Window.partitionBy(key).orderBy("slice").rowsBetween(-preceding, -1)
+    # Every chunk listed has at least one row of the group, so `preceding` earlier chunks always suffice.
+    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(-preceding, -1)
+    start = F.greatest(F.size("_before") - F.lit(preceding), F.lit(0)) + 1
     carried = (
         tails.withColumn("_before", F.flatten(F.collect_list("_tail").over(before)))
-        .withColumn("_carry", F.explode(F.slice("_before", F.greatest(F.size("_before") - preceding, F.lit(0)) + 1, preceding)))
-        .select(key, "slice", "_carry.*", F.lit(True).alias("carried"))
+        .withColumn("_carry", F.explode(F.slice("_before", start, F.lit(preceding))))
+        .select(key, "chunk", "_carry.*", F.lit(True).alias("carried"))
     )
-    return sliced.withColumn("carried", F.lit(False)).unionByName(carried)
-
-
-def spread(value: Column, parts: int) -> Column:
-    """A salt in 0..parts-1 from a value."""
-    return F.pmod(F.xxhash64(value), F.lit(parts))
+    return chunked.withColumn("carried", F.lit(False)).unionByName(carried)
+
+
+def rank_within(rows: DataFrame, key: str, order: list[Column], name: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Number each group's rows 1, 2, 3, ... in `order` (a total order), large groups chunk by chunk."""
+    small, large, n_chunks = split_large(rows, key, split_rows)
+    ranked = small.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    if large is None:
+        return ranked
+    chunked = ordered_chunks(large, key, order, n_chunks)
+    within = F.row_number().over(Window.partitionBy(key, "chunk").orderBy(*order))
+    offsets = running_offsets(chunked, key, {"_before": F.count("*")})
+    numbered = chunked.join(offsets, [key, "chunk"]).withColumn(name, (within + F.col("_before")).cast("int"))
+    return ranked.unionByName(numbered.drop("chunk", "_before"))
+
+
+def running_offsets(chunked: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Per (key, chunk): the given additive aggregates over the group's earlier chunks, 0 for the first."""
+    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.groupBy(key, "chunk").agg(*[agg.alias(name) for name, agg in sums.items()])
+    return totals.withColumns({n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in sums})
