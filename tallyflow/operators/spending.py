@@ -63,22 +63,6 @@ def spending_summary(ledger: DataFrame) -> DataFrame:
     )
 
 
-def spending_totals(ledger: DataFrame) -> DataFrame:
-    """The scalars of the spending summary alone, with the number of months and categories."""
-    cells = (
-        ledger.filter(is_expense())
-        .groupBy("user_id", "category", month_of().alias("month"))
-        .agg(F.sum("amount").alias("total"))
-    )
-    # Sets of months and categories, both bounded by what the summary itself lists.
-    per_user = cells.groupBy("user_id").agg(
-        F.sum("total").alias("total_expenses"),
-        F.size(F.collect_set("month")).alias("n_months"),
-        F.size(F.collect_set("category")).alias("n_categories"),
-    )
-    return per_user.withColumn("average_monthly", ratio(F.col("total_expenses"), F.col("n_months")))
-
-
 def top_categories(totals: DataFrame) -> DataFrame:
     """From category totals: each user's largest category (ties: first by name) and its share in percent."""
     laid_out = totals.repartition("user_id")

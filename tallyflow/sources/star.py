@@ -79,8 +79,8 @@ def events_as_ledger(events: DataFrame) -> DataFrame:
     )
 
 
-def signup_income_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events again, with signups and purchases read as income: the two kinds alternate within a user."""
+def mixed_event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events again, with signups and purchases read as income, so that both types alternate in a user."""
     return events_as_mixed_ledger(table(spark, sf_dir, "events"))
 
 
@@ -89,6 +89,64 @@ def events_as_mixed_ledger(events: DataFrame) -> DataFrame:
     return events_as_ledger(events).withColumn("txn_type", kind)
 
 
+# Household names for the part types and order priorities of the test tables.
+HOUSEHOLD_NAMES = {
+    "STANDARD": "Groceries", "ECONOMY": "Dining", "MEDIUM": "Loan", "PROMO": "Shopping", "SMALL": "Stocks",
+    "LARGE": "Housing", "1-URGENT": "Salary", "2-HIGH": "Freelance", "3-MEDIUM": "Investment",
+    "4-NOT SPECIFIED": "Bonus", "5-LOW": "Refund",
+}
+
+
+def household_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star ledger with household category names, among them debts and investments."""
+    names = [c for pair in HOUSEHOLD_NAMES.items() for c in pair]
+    return star_ledger(spark, sf_dir).withColumn(
+        "category", F.coalesce(F.create_map(*map(F.lit, names))[F.col("category")], "category")
+    )
+
+
+def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The household ledger as raw statement text, with some unreadable amounts and dates.
+
+    Signs as on a statement: income positive, expenses negative. A quantity of 50 gives a zero amount.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    spent = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(part, lines.l_partkey == part.p_partkey, "left")
+    names = [c for pair in HOUSEHOLD_NAMES.items() for c in pair]
+    household = F.create_map(*map(F.lit, names))
+    price = F.col("l_extendedprice").cast(MONEY).cast("string")
+    line = F.col("l_linenumber")
+    amount = (
+        F.when((line == 7) & (F.col("l_returnflag") == "R"), F.concat(F.lit("$"), price))
+        .when(F.col("l_quantity") == 1, "")
+        .when(F.col("l_quantity") == 50, "0")
+        .otherwise(F.concat(F.lit("-"), price))
+    )
+    date = (
+        F.when(line == 3, F.date_format("l_shipdate", "yyyy-MM-dd"))
+        .when(line == 5, "13/45/2024")
+        .when((line == 6) & (F.col("l_returnflag") == "A"), "")
+        .otherwise(F.date_format("l_shipdate", "MM/dd/yyyy"))
+    )
+    expense = spent.select(
+        F.col("o_custkey").alias("user_id"),
+        date.alias("Date"),
+        F.concat_ws(" ", F.upper(household[F.col("p_type")]), "p_name", F.col("l_suppkey").cast("string")).alias(
+            "Description"
+        ),
+        amount.alias("Amount"),
+    )
+    income = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("Date"),
+        F.concat(F.upper(household[F.col("o_orderpriority")]), F.lit(" DEPOSIT")).alias("Description"),
+        F.col("o_totalprice").cast(MONEY).cast("string").alias("Amount"),
+    )
+    return income.unionByName(expense)
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
     return table(spark, sf_dir, "customer").select(
