@@ -11,9 +11,9 @@ def _ledger(spark, sf_dir):
     return star_ledger(spark, sf_dir, with_category=False)
 
 
-INCOME = "per_user AS (" + """
+INCOME = """per_user AS (
   SELECT user_id, COUNT(*) AS n, AVG(y) AS mean, SUM(total) AS total, MIN(y) AS lo, MAX(y) AS hi, stddev_samp(y) AS sd,
-         stddev_pop(y) AS sd_pop, regr_slope(y, x) AS slope, regr_intercept(y, x) AS ic, regr_r2(y, x) AS r2
+         stddev_pop(y) AS sd_pop, regr_slope(y, x) AS slope
   FROM series WHERE txn_type = 'income' GROUP BY 1)"""
 CV = rat("COALESCE(sd, 0)", "mean")
 
@@ -60,13 +60,25 @@ def income_volatility_pop(spark, sf_dir):
     return out.select("user_id", big("n_months"), num("volatility"), num("stability_score"))
 
 
-LINES = """lines AS (
-  SELECT user_id, txn_type, COUNT(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS ic, regr_r2(y, x) AS r2
-  FROM series GROUP BY ALL)"""
+# Exact sums in cents: monthly values are rational, so a line can fall exactly between two cents.
+LINES = """sums AS (
+  SELECT user_id, txn_type, COUNT(*)::HUGEINT AS n, SUM((total * 100)::HUGEINT)::HUGEINT AS sy,
+         SUM((total * 100)::HUGEINT * x::HUGEINT)::HUGEINT AS sxy, SUM(x::HUGEINT)::HUGEINT AS sx,
+         SUM(x::HUGEINT * x::HUGEINT)::HUGEINT AS sxx, regr_r2(y, x) AS r2
+  FROM series GROUP BY ALL),
+lines AS (
+  SELECT user_id, txn_type, n::BIGINT AS n, r2, (n * sxy - sx * sy)::HUGEINT AS rise, (sy * sxx - sx * sxy)::HUGEINT AS base,
+         nullif(n * sxx - sx * sx, 0)::DOUBLE * 100.0 AS det
+  FROM sums)"""
+SLOPE, INTERCEPT = "(rise::DOUBLE / det)", "(base::DOUBLE / det)"
+
+
+def at(step: int) -> str:
+    return f"((base + (n + {step})::HUGEINT * rise)::DOUBLE / det)"
 
 
 @query(with_(STAR, MONTHS, LINES, select=f"""
-SELECT user_id, txn_type, n AS n_months, {r('slope', 2)} AS slope, {r('ic', 2)} AS intercept, {r('r2')} AS r2 FROM lines"""))
+SELECT user_id, txn_type, n AS n_months, {r(SLOPE, 2)} AS slope, {r(INTERCEPT, 2)} AS intercept, {r('r2')} AS r2 FROM lines"""))
 def linear_trend(spark, sf_dir):
     out = income.linear_trends(_ledger(spark, sf_dir))
     return out.select("user_id", "txn_type", big("n_months"), num("slope", 2), num("intercept", 2), num("r2"))
@@ -78,8 +90,8 @@ def _steps(name):
 
 @query(with_(STAR, MONTHS, LINES, select=f"""
 SELECT user_id, n AS n_months, CASE WHEN n >= 3 THEN 'available' ELSE 'insufficient_data' END AS projection,
-       CASE WHEN n >= 3 THEN {r('ic + slope * (n + 1)', 2)} END AS next_1, CASE WHEN n >= 3 THEN {r('ic + slope * (n + 2)', 2)} END AS next_2,
-       CASE WHEN n >= 3 THEN {r('ic + slope * (n + 3)', 2)} END AS next_3, CASE WHEN n >= 3 THEN {r('slope', 2)} END AS trend_slope,
+       CASE WHEN n >= 3 THEN {r(at(1), 2)} END AS next_1, CASE WHEN n >= 3 THEN {r(at(2), 2)} END AS next_2,
+       CASE WHEN n >= 3 THEN {r(at(3), 2)} END AS next_3, CASE WHEN n >= 3 THEN {r(SLOPE, 2)} END AS trend_slope,
        CASE WHEN n >= 6 THEN 'medium' WHEN n >= 3 THEN 'low' END AS confidence
 FROM lines WHERE txn_type = 'income'"""))
 def income_projection(spark, sf_dir):
@@ -90,9 +102,9 @@ def income_projection(spark, sf_dir):
 
 @query(with_(STAR, MONTHS, LINES, select=f"""
 SELECT user_id, txn_type, n AS n_months, CASE WHEN n < 3 THEN 'Insufficient data for prediction' END AS error,
-       CASE WHEN n >= 3 THEN {r('ic + slope * (n + 1)', 2)} END AS next_1, CASE WHEN n >= 3 THEN {r('ic + slope * (n + 2)', 2)} END AS next_2,
-       CASE WHEN n >= 3 THEN {r('ic + slope * (n + 3)', 2)} END AS next_3,
-       CASE WHEN n >= 3 THEN CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END END AS trend,
+       CASE WHEN n >= 3 THEN {r(at(1), 2)} END AS next_1, CASE WHEN n >= 3 THEN {r(at(2), 2)} END AS next_2,
+       CASE WHEN n >= 3 THEN {r(at(3), 2)} END AS next_3,
+       CASE WHEN n >= 3 THEN CASE WHEN rise > 0 THEN 'increasing' ELSE 'decreasing' END END AS trend,
        CASE WHEN n >= 3 THEN {r('COALESCE(r2, 1.0)')} END AS r_squared
 FROM lines"""))
 def series_prediction(spark, sf_dir):

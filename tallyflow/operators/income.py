@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.money import is_income, ratio
 from tallyflow.functions.scoring import variability_label
+from tallyflow.functions.trend import line_sums, slope, value_at
 from tallyflow.operators.spending import month_series, monthly_totals
 
 
@@ -37,14 +38,17 @@ def _unless_short(value: Column) -> Column:
 def income_stability(ledger: DataFrame) -> DataFrame:
     """Stability score, volatility, trend direction and range; below three months a fixed neutral answer."""
     series = month_series(ledger.filter(is_income()))
+    n, sy, sxy = line_sums(F.col("x"), F.col("total"))
     per_user = series.groupBy("user_id").agg(
-        F.count("*").alias("n_months"),
+        n.alias("n_months"),
+        sy.alias("sy"),
+        sxy.alias("sxy"),
         F.avg("y").alias("average"),
         F.min("y").alias("lowest"),
         F.max("y").alias("highest"),
         F.stddev_samp("y").alias("sd"),
-        F.regr_slope("y", "x").alias("slope"),
     )
+    per_user = per_user.withColumn("slope", slope(F.col("n_months"), F.col("sy"), F.col("sxy")))
     volatility = ratio(F.col("sd"), F.col("average"))
     trend = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("stable")
     return per_user.select(
@@ -76,19 +80,29 @@ def income_volatility_population(ledger: DataFrame) -> DataFrame:
     return per_user.withColumn("stability_score", F.greatest(F.lit(0.0), 1.0 - F.col("volatility")))
 
 
+def trend_sums(ledger: DataFrame) -> DataFrame:
+    """By user and type: number of months and the sums the line is made of."""
+    n, sy, sxy = line_sums(F.col("x"), F.col("total"))
+    return month_series(ledger).groupBy("user_id", "txn_type").agg(
+        n.alias("n_months"), sy.alias("sy"), sxy.alias("sxy"), F.regr_r2("y", "x").alias("r2")
+    )
+
+
+
+def _sums() -> tuple[Column, Column, Column]:
+    return F.col("n_months"), F.col("sy"), F.col("sxy")
+
+
 def linear_trends(ledger: DataFrame) -> DataFrame:
     """Least-squares line of monthly sums by user and type: slope, intercept, r squared."""
-    return month_series(ledger).groupBy("user_id", "txn_type").agg(
-        F.count("*").alias("n_months"),
-        F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"),
-        F.regr_r2("y", "x").alias("r2"),
+    return trend_sums(ledger).select(
+        "user_id", "txn_type", "n_months", slope(*_sums()).alias("slope"), value_at(F.lit(0), *_sums()).alias("intercept"), "r2"
     )
 
 
-def _ahead(step: int) -> Column:
-    """The line at x = n + step. With x starting at 0 this skips one month; it is meant to."""
-    return F.col("intercept") + F.col("slope") * (F.col("n_months") + step)
+def _next_three() -> Column:
+    """The line at x = n + 1, n + 2, n + 3. With x starting at 0 this skips one month; it is meant to."""
+    return F.array(*[value_at(F.col("n_months") + step, *_sums()) for step in (1, 2, 3)])
 
 
 def _enough(value: Column) -> Column:
@@ -97,13 +111,12 @@ def _enough(value: Column) -> Column:
 
 def income_projection(ledger: DataFrame) -> DataFrame:
     """Next three months of income, with confidence by the number of months."""
-    lines = linear_trends(ledger.filter(is_income()))
-    return lines.select(
+    return trend_sums(ledger.filter(is_income())).select(
         "user_id",
         "n_months",
         F.when(F.col("n_months") >= 3, "available").otherwise("insufficient_data").alias("projection"),
-        _enough(F.array(_ahead(1), _ahead(2), _ahead(3))).alias("next_3_months"),
-        _enough(F.col("slope")).alias("trend_slope"),
+        _enough(_next_three()).alias("next_3_months"),
+        _enough(slope(*_sums())).alias("trend_slope"),
         _enough(F.when(F.col("n_months") >= 6, "medium").otherwise("low")).alias("confidence"),
     )
 
@@ -114,13 +127,13 @@ def series_predictions(ledger: DataFrame) -> DataFrame:
     A constant series has r squared 1: the line explains all of a variation of zero.
     """
     fit = F.coalesce(F.col("r2"), F.lit(1.0))
-    return linear_trends(ledger).select(
+    return trend_sums(ledger).select(
         "user_id",
         "txn_type",
         "n_months",
         F.when(F.col("n_months") < 3, "Insufficient data for prediction").alias("error"),
-        _enough(F.array(_ahead(1), _ahead(2), _ahead(3))).alias("predictions"),
-        _enough(F.when(F.col("slope") > 0, "increasing").otherwise("decreasing")).alias("trend"),
+        _enough(_next_three()).alias("predictions"),
+        _enough(F.when(slope(*_sums()) > 0, "increasing").otherwise("decreasing")).alias("trend"),
         _enough(fit).alias("r_squared"),
     )
 

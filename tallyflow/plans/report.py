@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import scoring
 from tallyflow.functions.money import MONEY, is_expense, is_income, month_of, ratio
+from tallyflow.functions.trend import line_sums, slope, value_at
 from tallyflow.operators.anomaly import category_outliers
 from tallyflow.operators.health import with_profile, with_rates
 from tallyflow.operators.skew import SPLIT_ROWS
@@ -25,15 +26,15 @@ def _month_numbers(ledger: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
 
     def of(kind: Column, prefix: str) -> list[Column]:
-        x, y = F.when(kind, F.col("x")), F.when(kind, F.col("y"))
+        x, total, y = (F.when(kind, F.col(c)) for c in ("x", "total", "y"))
+        n, sy, sxy = line_sums(x, total)
         return [
-            F.coalesce(F.sum(F.when(kind, F.col("total"))), zero).alias(f"total_{prefix}"),
+            F.coalesce(sy, zero).alias(f"total_{prefix}"),
             F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)).alias(f"n_{prefix}"),
-            F.count(y).alias(f"{prefix}_months"),
+            n.alias(f"{prefix}_months"),
+            sxy.alias(f"{prefix}_sxy"),
             F.avg(y).alias(f"{prefix}_mean"),
             F.stddev_samp(y).alias(f"{prefix}_sd"),
-            F.regr_slope(y, x).alias(f"{prefix}_slope"),
-            F.regr_intercept(y, x).alias(f"{prefix}_intercept"),
         ]
 
     per_user = monthly.groupBy("user_id").agg(*of(is_income(), "income"), *of(is_expense(), "expenses"))
@@ -41,15 +42,19 @@ def _month_numbers(ledger: DataFrame) -> DataFrame:
     return with_rates(per_user).withColumn("volatility", volatility)
 
 
+def _line(prefix: str) -> tuple[Column, Column, Column]:
+    return F.col(f"{prefix}_months"), F.col(f"total_{prefix}"), F.col(f"{prefix}_sxy")
+
+
 def _next_month(prefix: str) -> Column:
-    """First of the three predicted values; it lies one month further than the last month plus one."""
-    ahead = F.col(f"{prefix}_intercept") + F.col(f"{prefix}_slope") * (F.col(f"{prefix}_months") + 1)
-    return F.when(F.col(f"{prefix}_months") >= 3, ahead)
+    """First of the three predicted values; it lies one month further than the month after the last."""
+    n, sy, sxy = _line(prefix)
+    return F.when(n >= 3, value_at(n + 1, n, sy, sxy))
 
 
 def _direction(prefix: str, flat: str) -> Column:
-    slope = F.col(f"{prefix}_slope")
-    text = F.when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise(flat)
+    rise = slope(*_line(prefix))
+    text = F.when(rise > 0, "increasing").when(rise < 0, "decreasing").otherwise(flat)
     return F.when(F.col(f"{prefix}_months") >= 3, text).otherwise("insufficient_data")
 
 
