@@ -1 +1,330 @@
-"""."""
+"""Statement import, categorisation, bank feed and stored tables."""
+
+from pyspark.sql import functions as F
+
+from tallyflow.catalog.registry import EVENTS, MIXED, big, dbl, micros, money, num, query, with_
+from tallyflow.functions import fixed_values as fv
+from tallyflow.functions.categorize import parse_rules, type_from_column, type_from_sign, with_category, word_list
+from tallyflow.functions.money import MONEY
+from tallyflow.plans import insights
+from tallyflow.session import shared_path
+from tallyflow.sources import feed, ledger, statement
+from tallyflow.sources.star import HOUSEHOLD_NAMES, event_ledger, mixed_event_ledger, statement_rows, table
+
+AS_OF = "2024-06-30 00:00:00"
+
+
+def any_of(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def case_sql(text: str, kind: str) -> str:
+    """The rule table in SQL, every word of it."""
+    arms = []
+    for rule in parse_rules():
+        if rule.txn_type == kind:
+            test = any_of(text, rule.words) + (f" AND NOT {any_of(text, rule.absent)}" if rule.absent else "")
+            arms.append(f"WHEN {test} THEN '{rule.category}'")
+    default = fv.DEFAULT_INCOME_CATEGORY if kind == "income" else fv.DEFAULT_EXPENSE_CATEGORY
+    return f"CASE {' '.join(arms)} ELSE '{default}' END"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, {case_sql('t', 'expense')} AS expense_category, {case_sql('t', 'income')} AS income_category FROM d""")
+def categorize_text(spark, sf_dir):
+    """Whole documents through both halves of the rule table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    as_expense = with_category(docs.withColumn("kind", F.lit("expense")), "text", "kind")
+    both = with_category(
+        as_expense.withColumnRenamed("category", "expense_category").withColumn("kind", F.lit("income")), "text", "kind"
+    )
+    return both.select("doc_id", "expense_category", F.col("category").alias("income_category"))
+
+
+ZERO_WORDS = word_list(fv.ZERO_AMOUNT_INCOME_WORDS)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, source, lower(text) AS t, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN n_chars ELSE -n_chars END AS amount FROM documents)
+SELECT doc_id, CASE WHEN amount > 0 THEN 'income' WHEN amount < 0 THEN 'expense' WHEN {any_of('t', ZERO_WORDS)} THEN 'income'
+            ELSE 'expense' END AS type_by_sign,
+       CASE WHEN {any_of('t', fv.INCOME_TYPE_WORDS)} THEN 'income' ELSE 'expense' END AS type_by_column FROM d""")
+def type_inference(spark, sf_dir):
+    """English documents have amount 0, so their words decide."""
+    n = F.col("n_chars")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.lower("text").alias("t"),
+        F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", n).otherwise(-n).alias("amount"),
+    )
+    return docs.select(
+        "doc_id", type_from_sign(F.col("amount"), F.col("t")).alias("type_by_sign"),
+        type_from_column(F.col("text")).alias("type_by_column"),
+    )
+
+
+_CASES = " ".join(f"WHEN '{k}' THEN '{v.upper()}'" for k, v in HOUSEHOLD_NAMES.items())
+STATEMENT = f"""raw AS (
+  SELECT o_custkey AS user_id, strftime(o_orderdate, '%m/%d/%Y') AS d, (CASE o_orderpriority {_CASES} END) || ' DEPOSIT' AS description,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS a FROM orders
+  UNION ALL
+  SELECT o_custkey, CASE WHEN l_linenumber = 3 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN l_linenumber = 5 THEN '13/45/2024'
+                         WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN '' ELSE strftime(l_shipdate, '%m/%d/%Y') END,
+         (CASE p_type {_CASES} END) || ' ' || p_name || ' ' || CAST(l_suppkey AS VARCHAR),
+         CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN '$' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)
+              WHEN l_quantity = 1 THEN '' WHEN l_quantity = 50 THEN '0'
+              ELSE '-' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+parsed AS (
+  SELECT user_id, d, description, lower(description) AS t, TRY_CAST(a AS DECIMAL(18,2)) AS signed, a,
+         COALESCE(try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%Y-%m-%d'), TIMESTAMP '{AS_OF}') AS ts FROM raw),
+typed AS (
+  SELECT *, abs(signed) AS amount,
+         CASE WHEN signed > 0 THEN 'income' WHEN signed < 0 THEN 'expense' WHEN {any_of('t', ZERO_WORDS)} THEN 'income' ELSE 'expense' END AS txn_type,
+         CASE WHEN signed IS NULL THEN 'amount' WHEN d = '' THEN 'date' END AS bad FROM parsed),
+named AS (
+  SELECT *, CASE WHEN txn_type = 'income' THEN {case_sql('t', 'income')} ELSE {case_sql('t', 'expense')} END AS category FROM typed),
+good AS (SELECT * FROM named WHERE bad IS NULL)"""
+
+
+def _normalised(spark, sf_dir):
+    raw = statement_rows(spark, sf_dir)
+    mapping = statement.default_mapping([c for c in raw.columns if c != "user_id"])
+    return statement.normalise(raw, mapping, AS_OF, ["user_id"])
+
+
+@query(with_(STATEMENT, select=f"""
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS date, description, {dbl('amount')} AS amount, txn_type, category FROM good"""))
+def statement_import(spark, sf_dir):
+    """Raw statement text to typed, categorised rows."""
+    good = statement.good_rows(_normalised(spark, sf_dir))
+    return good.select(
+        "user_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "description", money("amount"), "txn_type", "category"
+    )
+
+
+def _summary_sql(table_name, keys=""):
+    return f"""
+SELECT {keys} COUNT(*) AS total_transactions, COALESCE({dbl("SUM(amount) FILTER (txn_type = 'income')")}, 0.0) AS total_income,
+       COALESCE({dbl("SUM(amount) FILTER (txn_type = 'expense')")}, 0.0) AS total_expenses,
+       COUNT(*) FILTER (txn_type = 'income') AS income_count, COUNT(*) FILTER (txn_type = 'expense') AS expense_count,
+       {dbl("SUM(CASE txn_type WHEN 'income' THEN amount ELSE -amount END)")} AS savings
+FROM {table_name} {'GROUP BY ALL' if keys else ''}"""
+
+
+def _summary(out, *keys):
+    return out.select(
+        *keys, big("total_transactions"), money("total_income"), money("total_expenses"), big("income_count"),
+        big("expense_count"), money("savings"),
+    )
+
+
+@query(with_(STATEMENT, select=_summary_sql("good")))
+def import_preview(spark, sf_dir):
+    return _summary(statement.import_summary(statement.good_rows(_normalised(spark, sf_dir))))
+
+
+@query(with_(STATEMENT, select=_summary_sql("good", "user_id,")))
+def import_preview_by_user(spark, sf_dir):
+    return _summary(statement.import_summary(statement.good_rows(_normalised(spark, sf_dir)), ["user_id"]), "user_id")
+
+
+@query(with_(STATEMENT, select="""
+SELECT user_id, COUNT(*) FILTER (bad = 'amount') AS bad_amounts, COUNT(*) FILTER (bad = 'date') AS bad_dates
+FROM named WHERE bad IS NOT NULL GROUP BY 1"""))
+def import_errors(spark, sf_dir):
+    bad = _normalised(spark, sf_dir).filter("error IS NOT NULL")
+    return bad.groupBy("user_id").agg(
+        F.count_if(F.col("error") != "no date").alias("bad_amounts"), F.count_if(F.col("error") == "no date").alias("bad_dates")
+    )
+
+
+@query("""
+SELECT strftime(ts, '%Y-%m-%d') AS date, event_type || ' #' || event_id AS description,
+       CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+       CASE WHEN event_type = 'signup' THEN 'income' ELSE 'expense' END AS txn_type,
+       CASE WHEN event_type = 'signup' THEN 'Other Income' WHEN event_type = 'purchase' THEN 'Shopping' ELSE 'Other' END AS category
+FROM events""")
+def statement_csv(spark, sf_dir):
+    """Events written as statement CSV files to the shared folder and read back through the import."""
+    kind, value = F.col("event_type"), F.col("value").cast(MONEY)
+    rows = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "MM/dd/yyyy").alias("Date"),
+        F.concat_ws(" #", kind, F.col("event_id").cast("string")).alias("Description"),
+        F.when(kind == "signup", value).otherwise(-value).cast("string").alias("Amount"),
+        F.lit("0.00").alias("Balance"),
+    )
+    path = shared_path(spark, "statements")
+    rows.write.option("header", True).csv(path)
+    raw = statement.read_statements(spark, path, ["Date", "Description", "Amount", "Balance"])
+    good = statement.good_rows(statement.normalise(raw, statement.default_mapping(rows.columns), AS_OF))
+    return good.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "description", money("amount"), "txn_type", "category")
+
+
+# Every event is sent once in April of its day's data and again in each repeat of its value's class:
+# values below 50 arrive twice, and purchases are in the ledger already.
+FEED = """feed AS (
+  SELECT user_id, event_id AS seq, event_type || '-' || (props->>'$.k') AS name, CASE WHEN event_type = 'signup' THEN -value ELSE value END AS amount,
+         CAST(ts AS DATE) AS date, CASE WHEN event_type <> 'view' THEN event_type END AS first_category FROM events
+  UNION ALL
+  SELECT user_id, event_id + 1000000000, event_type || '-' || (props->>'$.k'), CASE WHEN event_type = 'signup' THEN value ELSE -value END,
+         CAST(ts AS DATE), 'again' FROM events WHERE value < 50),
+rows AS (
+  SELECT user_id, seq, name AS description, CAST(abs(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount, COALESCE(first_category, 'Other') AS category,
+         CASE WHEN amount > 0 THEN 'expense' ELSE 'income' END AS txn_type, CAST(date AS TIMESTAMP) AS ts FROM feed),
+stored AS (SELECT * FROM rows WHERE category = 'purchase'),
+fresh AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, description, amount, ts ORDER BY seq) AS rk FROM rows
+  WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.user_id = rows.user_id AND s.description = rows.description
+                    AND s.amount = rows.amount AND s.ts = rows.ts)
+  QUALIFY rk = 1)"""
+
+
+def feed_rows(events):
+    """A bank feed out of events: the second copy of a small value has the other sign and a category of its own."""
+    k = F.get_json_object("props", "$.k")
+    signup = F.col("event_type") == "signup"
+    value = F.col("value")
+    first = events.select(
+        "user_id",
+        F.col("event_id").alias("seq"),
+        F.concat_ws("-", "event_type", k).alias("name"),
+        F.when(signup, -value).otherwise(value).alias("amount"),
+        F.to_date("ts").alias("date"),
+        F.when(F.col("event_type") == "view", F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("category"),
+        value.alias("_value"),
+    )
+    again = first.filter(F.col("_value") < 50).withColumns({
+        "seq": F.col("seq") + 1_000_000_000, "amount": -F.col("amount"), "category": F.array(F.lit("again")),
+    })
+    return first.unionByName(again).drop("_value")
+
+
+def _feed_and_ledger(spark, sf_dir):
+    rows = feed.normalise_feed(feed_rows(table(spark, sf_dir, "events")))
+    return rows, rows.filter("category = 'purchase'")
+
+
+NEW = f"""
+SELECT user_id, seq, description, {dbl('amount')} AS amount, category, txn_type, epoch_us(ts) AS ts FROM fresh"""
+
+
+@query(with_(FEED, select=NEW))
+def feed_dedup(spark, sf_dir):
+    rows, stored = _feed_and_ledger(spark, sf_dir)
+    return feed.new_rows(rows, stored).select(
+        "user_id", "seq", "description", money("amount"), "category", "txn_type", micros("ts")
+    )
+
+
+@query(with_(FEED, select="""
+SELECT user_id, COUNT(*) AS total, COALESCE(any_value(n), 0) AS imported
+FROM rows LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM fresh GROUP BY 1) USING (user_id) GROUP BY 1"""))
+def sync_report(spark, sf_dir):
+    rows, stored = _feed_and_ledger(spark, sf_dir)
+    return feed.sync_report(rows, stored).select("user_id", big("total"), big("imported"))
+
+
+@query("SELECT c_custkey AS account_id, c_name AS account_name FROM customer WHERE c_acctbal > 0")
+def active_accounts(spark, sf_dir):
+    accounts = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("account_id"), F.col("c_name").alias("account_name"), (F.col("c_acctbal") > 0).alias("is_active")
+    )
+    return feed.active_accounts(accounts).drop("is_active")
+
+
+@query(f"""
+SELECT strftime(ts, '%Y-%m') AS month, event_type AS category, COUNT(*) AS n, {dbl('SUM(CAST(value AS DECIMAL(18,2)))')} AS total
+FROM events GROUP BY ALL""")
+def ledger_store(spark, sf_dir):
+    """Written in two appends, read back from the stored ledger."""
+    rows = event_ledger(spark, sf_dir)
+    path = shared_path(spark, "ledger")
+    ledger.append_ledger(rows.filter("category = 'click'"), path)
+    ledger.append_ledger(rows.filter("category <> 'click'"), path)
+    stored = ledger.read_ledger(spark, path)
+    return stored.groupBy("month", "category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("""
+SELECT l_orderkey AS order_key, l_linenumber::BIGINT AS line_number, l_partkey AS part_key, l_suppkey AS supp_key,
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+       strftime(CASE WHEN l_returnflag = 'R' THEN TIMESTAMP '2024-06-30' ELSE l_shipdate END, '%Y-%m-%d') AS date
+FROM lineitem""")
+def confirmed_import(spark, sf_dir):
+    """Rows a user confirmed, all as text; returned ones carry a date that cannot be read."""
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        F.col("l_orderkey").alias("user_id"),
+        F.col("l_extendedprice").cast(MONEY).cast("string").alias("amount"),
+        F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")]).alias("description"),
+        F.lit("Other").alias("category"),
+        F.lit("expense").alias("type"),
+        F.when(F.col("l_returnflag") == "R", "30.06.24").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+    )
+    parts = F.split("description", r"\|")
+    return statement.confirmed(rows, AS_OF).select(
+        F.col("user_id").alias("order_key"),
+        *[parts[i].cast("bigint").alias(n) for i, n in enumerate(("line_number", "part_key", "supp_key"))],
+        money("amount"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+    )
+
+
+def _stored_feed(spark, rows, created):
+    return insights.insight_feed(rows).withColumn("created_at", F.lit(created).cast("timestamp_ntz"))
+
+
+def _cols(out):
+    return out.select("user_id", big("rank"), "insight_type", "priority", num("value", 5), "subject")
+
+
+def _feed_sql():
+    from tallyflow.catalog.anomalies import FEED as select, feed_sql
+
+    return feed_sql(MIXED, "txn_id") + select
+
+
+@query(_feed_sql())
+def insight_store_replace(spark, sf_dir):
+    """A first set from purchases and views only, then replaced for all users by the full set."""
+    rows = mixed_event_ledger(spark, sf_dir)
+    path = shared_path(spark, "insights")
+    ledger.append_insights(_stored_feed(spark, rows.filter("category IN ('purchase', 'view')"), "2024-01-01"), path)
+    ledger.replace_insights(_stored_feed(spark, rows, "2024-01-02"), rows.select("user_id"), path)
+    return _cols(ledger.read_insights(spark, path))
+
+
+def _twice():
+    return f"SELECT * FROM ({_feed_sql()}) UNION ALL SELECT * FROM ({_feed_sql()})"
+
+
+@query(_twice())
+def insight_store_append(spark, sf_dir):
+    """The same set appended twice: the report adds its insights each time it runs."""
+    rows = mixed_event_ledger(spark, sf_dir)
+    path = shared_path(spark, "insights")
+    for created in ("2024-01-01", "2024-01-02"):
+        ledger.append_insights(_stored_feed(spark, rows, created), path)
+    return _cols(ledger.read_insights(spark, path))
+
+
+@query("""
+WITH stored AS (SELECT event_id AS insight_id, user_id, event_type AS insight_type, ts FROM events)
+SELECT user_id, insight_id, insight_type FROM stored
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, insight_id DESC) <= 20""")
+def latest_insights(spark, sf_dir):
+    """The newest 20 of each user, events standing for stored insights."""
+    stored = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("insight_id"), "user_id", F.col("event_type").alias("insight_type"), F.col("ts").alias("created_at")
+    )
+    return insights.latest_insights(stored).select("user_id", "insight_id", "insight_type")
+
+
+@query(with_(EVENTS, select=f"""
+SELECT user_id, txn_id, {dbl('amount')} AS amount, category FROM ledger WHERE category IN ('click') AND user_id = 3"""))
+def ledger_scan(spark, sf_dir):
+    """Stored ledger of one user and one month: the month prunes partitions, the user is pushed to the scan."""
+    path = shared_path(spark, "ledger")
+    ledger.append_ledger(event_ledger(spark, sf_dir), path)
+    rows = ledger.read_ledger(spark, path, user_id=3, txn_type="expense", months=("2024-01", "2024-01"))
+    return rows.filter("category = 'click'").select("user_id", "txn_id", money("amount"), "category")

@@ -1 +1,65 @@
-"""."""
+"""Streams over the test tables, run until their input is used up."""
+
+from pyspark.sql import functions as F
+
+from tallyflow.catalog.anomalies import spikes_sql
+from tallyflow.catalog.imports import FEED, feed_rows
+from tallyflow.catalog.registry import EVENTS, big, dbl, micros, money, num, query, r, with_
+from tallyflow.catalog.tasks import KNOWN, TASKS
+from tallyflow.session import shared_path
+from tallyflow.sources.star import events_as_ledger, events_as_tasks, table
+from tallyflow.streaming import alerts, ingest, totals
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query(spikes_sql(EVENTS, "ts, txn_id", ["txn_id"]) + f"""
+SELECT user_id, txn_id, category, {dbl('amount')} AS value, {r('mean', 5)} AS reference FROM spikes WHERE amount > mean + 2 * sd""")
+def stream_alerts(spark, sf_dir):
+    """Events arrive in time order, so the stream gives what the batch query gives."""
+    out, checkpoint = shared_path(spark, "alerts"), shared_path(spark, "alerts-checkpoint")
+    stream = alerts.transaction_alerts(events_as_ledger(_event_stream(spark, sf_dir)))
+    alerts.start_alerts(stream, out, checkpoint).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).filter("alert = 'spending_pattern'").select(
+        "user_id", "txn_id", "category", "value", num("reference", 5)
+    )
+
+
+@query(with_(EVENTS, select=f"""
+SELECT user_id, category, strftime(ts, '%Y-%m') AS month, {dbl('SUM(amount)')} AS total, COUNT(*) AS n FROM ledger GROUP BY ALL"""))
+def stream_month_totals(spark, sf_dir):
+    out, checkpoint = shared_path(spark, "totals"), shared_path(spark, "totals-checkpoint")
+    stream = totals.running_month_totals(events_as_ledger(_event_stream(spark, sf_dir)))
+    totals.start_latest(stream, out, checkpoint).awaitTermination()
+    last = totals.read_latest(spark, out, ["user_id", "category", "month"])
+    return last.select("user_id", "category", F.date_format("month", "yyyy-MM").alias("month"), money("total"), big("n"))
+
+
+@query(with_(TASKS, select=f"""
+SELECT agent_type, COUNT(*) AS task_count, {r('AVG(success::INT)')} AS success_rate FROM tasks WHERE {KNOWN} GROUP BY 1"""))
+def stream_agent_performance(spark, sf_dir):
+    out, checkpoint = shared_path(spark, "agents"), shared_path(spark, "agents-checkpoint")
+    stream = totals.running_agent_totals(events_as_tasks(_event_stream(spark, sf_dir)))
+    totals.start_latest(stream, out, checkpoint).awaitTermination()
+    last = totals.read_latest(spark, out, ["agent_type"])
+    return last.select("agent_type", big("task_count"), num("success_rate"))
+
+
+@query(with_(FEED, select=f"""
+SELECT user_id, description, {dbl('amount')} AS amount, category, txn_type, epoch_us(ts) AS ts FROM fresh
+UNION ALL SELECT user_id, description, {dbl('amount')}, category, txn_type, epoch_us(ts) FROM stored"""))
+def stream_feed_import(spark, sf_dir):
+    """Purchases are in the ledger before the feed is imported; importing it twice adds nothing more."""
+    from tallyflow.sources.feed import normalise_feed
+    from tallyflow.sources.ledger import append_ledger, read_ledger
+
+    path = shared_path(spark, "feed-ledger")
+    stored = normalise_feed(feed_rows(table(spark, sf_dir, "events"))).filter("category = 'purchase'")
+    append_ledger(stored.drop("seq"), path)
+    for _ in range(2):
+        feed = feed_rows(_event_stream(spark, sf_dir))
+        ingest.start_feed_import(feed, path, shared_path(spark, "feed-checkpoint")).awaitTermination()
+    return read_ledger(spark, path).select("user_id", "description", money("amount"), "category", "txn_type", micros("ts"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 DEPTH = 30
@@ -74,3 +75,15 @@ def transaction_alerts(ledger: DataFrame) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
     )
     return rows.groupBy("user_id").applyInPandasWithState(_advance, ALERTS, STATE, "append", "NoTimeout")
+
+
+def start_alerts(alerts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append alerts as parquet files, each exactly once."""
+    return (
+        alerts.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
