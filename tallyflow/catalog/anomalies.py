@@ -11,7 +11,7 @@ from tallyflow.sources.star import event_ledger, household_ledger, mixed_event_l
 
 
 @query(with_(EVENTS, """stats AS (
-  SELECT user_id, category, COUNT(*) AS n_rows, AVG(CAST(amount AS DOUBLE)) AS mean, stddev_pop(CAST(amount AS DOUBLE)) AS sd
+  SELECT user_id, category, COUNT(*) AS n_rows, CAST(SUM(amount) AS DOUBLE) / COUNT(*) AS mean, stddev_pop(CAST(amount AS DOUBLE)) AS sd
   FROM ledger GROUP BY ALL HAVING COUNT(*) >= 3)""", select=f"""
 SELECT user_id, category, txn_id, epoch_us(ts) AS ts, {dbl('amount')} AS amount, n_rows, {r('mean', 5)} AS mean, {r('sd', 5)} AS sd,
        CASE WHEN amount > mean + 4 * sd THEN 'high' ELSE 'medium' END AS severity
@@ -25,7 +25,7 @@ def anomalies_3sd(spark, sf_dir):
 
 
 @query(with_(STAR, """stats AS (
-  SELECT user_id, category, COUNT(*) AS n_rows, AVG(CAST(amount AS DOUBLE)) AS mean, stddev_pop(CAST(amount AS DOUBLE)) AS sd
+  SELECT user_id, category, COUNT(*) AS n_rows, CAST(SUM(amount) AS DOUBLE) / COUNT(*) AS mean, stddev_pop(CAST(amount AS DOUBLE)) AS sd
   FROM ledger WHERE txn_type = 'expense' GROUP BY ALL HAVING COUNT(*) >= 3)""", select=f"""
 SELECT user_id, category, k1 AS order_key, k2 AS line_number, k3 AS part_key, k4 AS supp_key, {dbl('amount')} AS amount,
        n_rows, {r('sd', 3)} AS sd
@@ -77,7 +77,7 @@ def spikes_sql(ledger, order, keys):
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS pos FROM ledger),
 spikes AS (
   SELECT a.user_id, a.category, a.ts, a.amount, {', '.join('a.' + k for k in keys)}, COUNT(*) AS n_rows,
-         AVG(CAST(b.amount AS DOUBLE)) AS mean, stddev_pop(CAST(b.amount AS DOUBLE)) AS sd
+         CAST(SUM(b.amount) AS DOUBLE) / COUNT(*) AS mean, stddev_pop(CAST(b.amount AS DOUBLE)) AS sd
   FROM placed a JOIN placed b ON a.user_id = b.user_id AND a.category = b.category AND b.txn_type = 'expense'
        AND b.pos BETWEEN a.pos - 29 AND a.pos
   WHERE a.txn_type = 'expense' AND a.pos >= 5

@@ -139,12 +139,12 @@ def import_errors(spark, sf_dir):
     )
 
 
-@query("""
-SELECT strftime(ts, '%Y-%m-%d') AS date, event_type || ' #' || event_id AS description,
-       CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount,
-       CASE WHEN event_type = 'signup' THEN 'income' ELSE 'expense' END AS txn_type,
-       CASE WHEN event_type = 'signup' THEN 'Other Income' WHEN event_type = 'purchase' THEN 'Shopping' ELSE 'Other' END AS category
-FROM events""")
+@query(f"""
+WITH e AS (SELECT ts, event_type || ' #' || event_id AS description, CAST(value AS DECIMAL(18,2)) AS amount,
+           CASE WHEN event_type = 'signup' THEN 'income' ELSE 'expense' END AS txn_type FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS date, description, CAST(amount AS DOUBLE) AS amount, txn_type,
+       CASE WHEN txn_type = 'income' THEN {case_sql('description', 'income')} ELSE {case_sql('description', 'expense')} END AS category
+FROM e""")
 def statement_csv(spark, sf_dir):
     """Events written as statement CSV files to the shared folder and read back through the import."""
     kind, value = F.col("event_type"), F.col("value").cast(MONEY)

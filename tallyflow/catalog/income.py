@@ -12,7 +12,7 @@ def _ledger(spark, sf_dir):
 
 
 INCOME = """per_user AS (
-  SELECT user_id, COUNT(*) AS n, AVG(y) AS mean, SUM(total) AS total, MIN(y) AS lo, MAX(y) AS hi, stddev_samp(y) AS sd,
+  SELECT user_id, COUNT(*) AS n, CAST(SUM(total) AS DOUBLE) / COUNT(*) AS mean, SUM(total) AS total, MIN(y) AS lo, MAX(y) AS hi, stddev_samp(y) AS sd,
          stddev_pop(y) AS sd_pop, regr_slope(y, x) AS slope
   FROM series WHERE txn_type = 'income' GROUP BY 1)"""
 CV = rat("COALESCE(sd, 0)", "mean")

@@ -116,7 +116,7 @@ sums AS (
          COUNT(*) FILTER (txn_type = 'expense') AS expense_months,
          COALESCE(stddev_samp(y) FILTER (txn_type = 'income'), 0) AS sd,
          COALESCE(stddev_pop(y) FILTER (txn_type = 'income'), 0) AS sd_pop,
-         AVG(y) FILTER (txn_type = 'income') AS mean
+         CAST(SUM(total) FILTER (txn_type = 'income') AS DOUBLE) / nullif(COUNT(*) FILTER (txn_type = 'income'), 0) AS mean
   FROM series GROUP BY user_id),
 metrics AS (
   SELECT sums.*, {rat('total_income - total_expenses', 'total_income')} AS savings_rate,

@@ -20,6 +20,12 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
+def mean_of(amount: Column | str) -> Column:
+    """Mean in double of an exact sum, the same in any order of rows; NULL over nothing."""
+    value = F.col(amount) if isinstance(amount, str) else amount
+    return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
+
+
 def sum_where(condition: Column, amount: Column) -> Column:
     """Conditional exact sum, 0 when nothing matches."""
     return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0).cast(MONEY))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions import scoring
-from tallyflow.functions.money import is_expense, is_income, ratio, sum_where
+from tallyflow.functions.money import is_expense, is_income, mean_of, ratio, sum_where
 from tallyflow.operators.spending import monthly_totals
 
 
@@ -17,7 +17,8 @@ def user_metrics(ledger: DataFrame) -> DataFrame:
     Rates are 0 without income; volatility is 0 below two income months. Both volatilities are given: sample
     (`volatility`) and population (`volatility_pop`).
     """
-    income_y = F.when(is_income(), F.col("total").cast("double"))
+    income = F.when(is_income(), F.col("total"))
+    income_y = income.cast("double")
     amount, rows = F.col("total"), F.col("n")
     per_user = monthly_totals(ledger).groupBy("user_id").agg(
         sum_where(is_income(), amount).alias("total_income"),
@@ -25,8 +26,8 @@ def user_metrics(ledger: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_income(), rows)), F.lit(0)).alias("n_income"),
         F.coalesce(F.sum(F.when(is_expense(), rows)), F.lit(0)).alias("n_expense"),
         F.count(income_y).alias("income_months"),
-        ratio(F.coalesce(F.stddev_samp(income_y), F.lit(0.0)), F.avg(income_y)).alias("volatility"),
-        ratio(F.coalesce(F.stddev_pop(income_y), F.lit(0.0)), F.avg(income_y)).alias("volatility_pop"),
+        ratio(F.coalesce(F.stddev_samp(income_y), F.lit(0.0)), mean_of(income)).alias("volatility"),
+        ratio(F.coalesce(F.stddev_pop(income_y), F.lit(0.0)), mean_of(income)).alias("volatility_pop"),
     )
     return with_rates(per_user)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.money import is_income, ratio
+from tallyflow.functions.money import is_income, mean_of, ratio
 from tallyflow.functions.scoring import variability_label
 from tallyflow.functions.trend import line_sums, slope, value_at
 from tallyflow.operators.spending import month_series, monthly_totals
@@ -22,7 +22,7 @@ def income_variability(ledger: DataFrame) -> DataFrame:
     """Sample coefficient of variation of monthly income with its label. Users without income have no row."""
     per_user = income_months(ledger).groupBy("user_id").agg(
         F.count("*").alias("n_months"),
-        F.avg("y").alias("average_income"),
+        mean_of("total").alias("average_income"),
         F.sum("total").alias("total_income"),
         F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("sd"),
     )
@@ -43,7 +43,7 @@ def income_stability(ledger: DataFrame) -> DataFrame:
         n.alias("n_months"),
         sy.alias("sy"),
         sxy.alias("sxy"),
-        F.avg("y").alias("average"),
+        mean_of("total").alias("average"),
         F.min("y").alias("lowest"),
         F.max("y").alias("highest"),
         F.stddev_samp("y").alias("sd"),
@@ -67,7 +67,7 @@ def income_volatility(ledger: DataFrame) -> DataFrame:
     """Sample coefficient of variation; 0 below two months or without positive mean."""
     per_user = income_months(ledger).groupBy("user_id").agg(
         F.count("*").alias("n_months"),
-        ratio(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), F.avg("y")).alias("volatility"),
+        ratio(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), mean_of("total")).alias("volatility"),
     )
     return per_user
 
@@ -75,7 +75,7 @@ def income_volatility(ledger: DataFrame) -> DataFrame:
 def income_volatility_population(ledger: DataFrame) -> DataFrame:
     """The agent's form: population coefficient of variation and stability 1 - CV, not below 0."""
     per_user = income_months(ledger).groupBy("user_id").agg(
-        F.count("*").alias("n_months"), ratio(F.stddev_pop("y"), F.avg("y")).alias("volatility")
+        F.count("*").alias("n_months"), ratio(F.stddev_pop("y"), mean_of("total")).alias("volatility")
     )
     return per_user.withColumn("stability_score", F.greatest(F.lit(0.0), 1.0 - F.col("volatility")))
 
@@ -146,7 +146,7 @@ def seasonality(ledger: DataFrame) -> DataFrame:
     monthly = (
         ledger.filter(is_income())
         .groupBy("user_id", F.month("ts").alias("month"))
-        .agg((F.sum("amount").cast("double") / F.count("*")).alias("mean"))
+        .agg(mean_of("amount").alias("mean"))
     )
     per_user = monthly.groupBy("user_id").agg(
         F.count("*").alias("n_months"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
-from tallyflow.functions.money import MONEY, is_expense, is_income, ratio
+from tallyflow.functions.money import MONEY, is_expense, is_income, mean_of, ratio
 from tallyflow.operators.income import income_months
 from tallyflow.operators.skew import SPLIT_ROWS, rank_within
 
@@ -14,7 +14,7 @@ from tallyflow.operators.skew import SPLIT_ROWS, rank_within
 def average_monthly_income(ledger: DataFrame) -> DataFrame:
     """Mean monthly income by user, for plans that are given no declared income."""
     return income_months(ledger).groupBy("user_id").agg(
-        (F.sum("total").cast("double") / F.count("*")).alias("monthly_income")
+        mean_of("total").alias("monthly_income")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions import scoring
-from tallyflow.functions.money import MONEY, is_expense, is_income, month_of, ratio
+from tallyflow.functions.money import MONEY, is_expense, is_income, mean_of, month_of, ratio
 from tallyflow.functions.trend import line_sums, slope, value_at
 from tallyflow.operators.anomaly import category_outliers
 from tallyflow.operators.health import with_profile, with_rates
@@ -33,7 +33,7 @@ def _month_numbers(ledger: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)).alias(f"n_{prefix}"),
             n.alias(f"{prefix}_months"),
             sxy.alias(f"{prefix}_sxy"),
-            F.avg(y).alias(f"{prefix}_mean"),
+            mean_of(total).alias(f"{prefix}_mean"),
             F.stddev_samp(y).alias(f"{prefix}_sd"),
         ]
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,48 +16,49 @@ ALERTS = "user_id long, txn_id long, alert string, priority string, category str
 STATE = "micros array<long>, ids array<long>, categories array<string>, types array<string>, cents array<long>"
 
 
-def _spike(recent: pd.DataFrame, row) -> tuple | None:
+# Positions in a held row; time and id come first, so that rows sort by them.
+MICROS, ID, CATEGORY, TYPE, CENTS = range(5)
+DAY = 86_400_000_000
+
+
+def _spike(recent: list[tuple], row: tuple) -> tuple | None:
     """Above mean + 2 population sd of the same category's recent expenses, in whole cents."""
-    same = recent[(recent["types"] == "expense") & (recent["categories"] == row.category)]["cents"].to_numpy(dtype=object)
-    n = len(same)
+    same = [r[CENTS] for r in recent if r[TYPE] == "expense" and r[CATEGORY] == row[CATEGORY]]
+    n, total = len(same), sum(same)
     if n < 3:
         return None
-    total, squares = int(same.sum()), int((same * same).sum())
-    excess = n * int(row.cents) - total
-    if excess > 0 and excess * excess > 4 * (n * squares - total * total):
-        return (row.txn_id, "spending_pattern", "high", row.category, row.cents / 100.0, total / 100.0 / n)
+    excess = n * row[CENTS] - total
+    if excess > 0 and excess * excess > 4 * (n * sum(c * c for c in same) - total * total):
+        return (row[ID], "spending_pattern", "high", row[CATEGORY], row[CENTS] / 100.0, total / 100.0 / n)
     return None
 
 
-def _gap(recent: pd.DataFrame, row) -> tuple | None:
+def _gap(recent: list[tuple], row: tuple) -> tuple | None:
     """Mean of the whole days between successive recent incomes, above 14."""
-    times = np.sort(recent[recent["types"] == "income"]["micros"].to_numpy(dtype=np.int64))
+    times = [r[MICROS] for r in recent if r[TYPE] == "income"]
     if len(times) < 3:
         return None
-    days = float(np.mean(np.diff(times) // 86_400_000_000))
-    return (row.txn_id, "income_alert", "medium", None, days, 14.0) if days > 14 else None
+    days = sum((b - a) // DAY for a, b in zip(times, times[1:])) / (len(times) - 1)
+    return (row[ID], "income_alert", "medium", None, days, 14.0) if days > 14 else None
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State is the 30 latest rows by (time, id). Input comes in Arrow batches, never as one whole group."""
-    columns = ["micros", "ids", "categories", "types", "cents"]
-    held = state.get if state.exists else ([], [], [], [], [])
-    rows = sorted(zip(*held))
+    recent = sorted(zip(*state.get)) if state.exists else []
     for batch in batches:
         out = []
-        for row in batch.sort_values(["micros", "txn_id"]).itertuples(index=False):
-            rows.append((row.micros, row.txn_id, row.category, row.txn_type, row.cents))
-            rows.sort(key=lambda r: r[:2])
-            del rows[:-DEPTH]
-            if len(rows) < 5:
+        columns = [batch[c].tolist() for c in ("micros", "txn_id", "category", "txn_type", "cents")]
+        for row in sorted(zip(*columns)):
+            insort(recent, row)
+            del recent[:-DEPTH]
+            if len(recent) < 5:
                 continue
-            recent = pd.DataFrame(rows, columns=columns)
-            alert = _spike(recent, row) if row.txn_type == "expense" else _gap(recent, row)
+            alert = _spike(recent, row) if row[TYPE] == "expense" else _gap(recent, row)
             if alert:
                 out.append((key[0], *alert))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "txn_id", "alert", "priority", "category", "value", "reference"])
-    state.update(tuple(list(c) for c in zip(*rows)))
+    state.update(tuple(list(c) for c in zip(*recent)))
 
 
 def transaction_alerts(ledger: DataFrame) -> DataFrame:
