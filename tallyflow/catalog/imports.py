@@ -140,8 +140,9 @@ def import_errors(spark, sf_dir):
 
 
 @query(f"""
-WITH e AS (SELECT ts, event_type || ' #' || event_id AS description, CAST(value AS DECIMAL(18,2)) AS amount,
-           CASE WHEN event_type = 'signup' THEN 'income' ELSE 'expense' END AS txn_type FROM events)
+WITH v AS (SELECT ts, event_type, event_type || ' #' || event_id AS description, CAST(value AS DECIMAL(18,2)) AS amount FROM events),
+e AS (SELECT *, CASE WHEN amount = 0 THEN CASE WHEN {any_of('description', ZERO_WORDS)} THEN 'income' ELSE 'expense' END
+                     WHEN event_type = 'signup' THEN 'income' ELSE 'expense' END AS txn_type FROM v)
 SELECT strftime(ts, '%Y-%m-%d') AS date, description, CAST(amount AS DOUBLE) AS amount, txn_type,
        CASE WHEN txn_type = 'income' THEN {case_sql('description', 'income')} ELSE {case_sql('description', 'expense')} END AS category
 FROM e""")
