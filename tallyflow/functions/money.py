@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
+def to_money(value: Column) -> Column:
+    """A non-negative double as money, rounded half up; much faster than a cast, which goes through text."""
+    cents = F.floor(value * 100.0 + 0.5).cast("decimal(18,0)")
+    return (cents * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator in double; 0 where the denominator is absent or not above zero."""
     top, bottom = numerator.cast("double"), denominator.cast("double")

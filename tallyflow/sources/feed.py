@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.functions.money import MONEY
+from tallyflow.functions.money import to_money
 
 SAME = ["user_id", "description", "amount", "ts"]
 
@@ -23,7 +23,7 @@ def normalise_feed(feed: DataFrame) -> DataFrame:
         "user_id",
         "seq",
         F.col("name").alias("description"),
-        F.abs(F.col("amount").cast(MONEY)).alias("amount"),
+        to_money(F.abs("amount")).alias("amount"),
         F.coalesce(first, F.lit("Other")).alias("category"),
         F.when(F.col("amount") > 0, "expense").otherwise("income").alias("txn_type"),
         F.col("date").cast("timestamp_ntz").alias("ts"),

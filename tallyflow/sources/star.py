@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
-from tallyflow.functions.money import MONEY
+from tallyflow.functions.money import MONEY, to_money
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,8 @@ def star_ledger(spark: SparkSession, sf_dir: str, with_category: bool = True) ->
     """
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
-    amount = F.col("l_extendedprice").cast(MONEY)
-    income_amount = F.col("o_totalprice").cast(MONEY)
+    amount = to_money(F.col("l_extendedprice"))
+    income_amount = to_money(F.col("o_totalprice"))
 
     income = orders.select(
         _star_id(F.col("o_orderkey"), F.lit(0), F.lit(0), F.lit(0), income_amount),
@@ -72,7 +72,7 @@ def events_as_ledger(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("txn_id"),
         "user_id",
-        F.col("value").cast(MONEY).alias("amount"),
+        to_money(F.col("value")).alias("amount"),
         F.col("event_type").alias("category"),
         F.lit("expense").alias("txn_type"),
         "ts",
@@ -116,7 +116,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(part, lines.l_partkey == part.p_partkey, "left")
     names = [c for pair in HOUSEHOLD_NAMES.items() for c in pair]
     household = F.create_map(*map(F.lit, names))
-    price = F.col("l_extendedprice").cast(MONEY).cast("string")
+    price = to_money(F.col("l_extendedprice")).cast("string")
     line = F.col("l_linenumber")
     amount = (
         F.when((line == 7) & (F.col("l_returnflag") == "R"), F.concat(F.lit("$"), price))
@@ -142,7 +142,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("Date"),
         F.concat(F.upper(household[F.col("o_orderpriority")]), F.lit(" DEPOSIT")).alias("Description"),
-        F.col("o_totalprice").cast(MONEY).cast("string").alias("Amount"),
+        to_money(F.col("o_totalprice")).cast("string").alias("Amount"),
     )
     return income.unionByName(expense)
 
@@ -165,7 +165,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def debts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice").cast(MONEY)
+    price = to_money(F.col("l_extendedprice"))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
         _star_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), price).alias(

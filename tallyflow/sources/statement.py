@@ -16,11 +16,8 @@ HEADER_WORDS = {
     "type": ("type",),
     "category": ("category",),
 }
-# Tried in turn; a day above 12 in the month's place makes the fifth match.
-DATE_FORMATS = (
-    "M/d/yyyy", "yyyy-M-d", "yyyy-M-d H:mm:ss", "yyyy-M-d'T'H:mm:ss", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy",
-    "MMM d, yyyy", "d MMM yyyy", "M/d/yy", "yyyyMMdd",
-)
+# Only for texts with a month name.
+NAMED_DATES = ("MMM d, yyyy", "MMM d yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMM-yyyy")
 
 
 def read_statements(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -49,11 +46,31 @@ def default_mapping(columns: list[str]) -> dict[str, str]:
     return mapping
 
 
-def parse_date(text: Column) -> Column:
-    """First format that fits, as timestamp_ntz; NULL if none does."""
+def with_date(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the parsed date as timestamp_ntz; NULL if the text is no date.
+
+    Numeric dates are put into year-month-day order and cast, which fails without raising: the year is the part
+    of four digits, else the last one in 20xx; the month comes first unless it exceeds 12. The parts are a
+    column of their own, so that a text is split once.
+    """
     trimmed = F.trim(text)
-    tries = [F.try_to_timestamp(trimmed, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    digits = trimmed.rlike(r"^\d{8}$")
+    compact = F.array(trimmed.substr(1, 4), trimmed.substr(5, 2), trimmed.substr(7, 2))
+    part = [F.try_element_at("_parts", F.lit(i)) for i in (1, 2, 3, 4)]
+    year_first = F.length(part[0]) == 4
+    swapped = part[0].try_cast("int") > 12
+    year = F.when(year_first, part[0]).when(F.length(part[2]) == 2, F.concat(F.lit("20"), part[2])).otherwise(part[2])
+    month = F.when(year_first | swapped, part[1]).otherwise(part[0])
+    day = F.when(year_first, part[2]).when(swapped, part[0]).otherwise(part[1])
+    numeric = F.concat_ws(" ", F.concat_ws("-", year, month, day), part[3]).try_cast("timestamp_ntz")
+    named = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(fmt)) for fmt in NAMED_DATES]).cast("timestamp_ntz")
+    parts = F.when(digits, compact).otherwise(F.split(trimmed, "[/. -]"))
+    value = (
+        F.when(trimmed.rlike("[A-Za-z]{3}"), named)
+        .when(F.size("_parts") >= 3, F.coalesce(numeric, trimmed.try_cast("timestamp_ntz")))
+        .otherwise(trimmed.try_cast("timestamp_ntz"))
+    )
+    return rows.withColumn("_parts", parts).withColumn(name, value).drop("_parts")
 
 
 def normalise(raw: DataFrame, mapping: dict[str, str], as_of: str, split_columns: list[str] | None = None) -> DataFrame:
@@ -83,11 +100,11 @@ def normalise(raw: DataFrame, mapping: dict[str, str], as_of: str, split_columns
         F.col("_signed").isNull(),
         F.concat(F.lit("could not convert to a number: '"), F.coalesce("_amount_text", F.lit("")), F.lit("'")),
     ).when(blank_date, F.lit("no date"))
-    rows = typed.withColumns(
+    rows = with_date(typed, "_date_text", "_date").withColumns(
         {
             "txn_type": kind,
             "amount": F.abs("_signed"),
-            "ts": F.coalesce(parse_date(F.col("_date_text")), F.lit(as_of).cast("timestamp_ntz")),
+            "ts": F.coalesce(F.col("_date"), F.lit(as_of).cast("timestamp_ntz")),
             "error": error,
         }
     )
