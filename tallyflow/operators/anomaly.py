@@ -67,28 +67,21 @@ def recent_and_unusual(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataF
     previous = (F.col("ts") >= last - F.expr("INTERVAL 60 DAYS")) & ~recent
     unusual = (n > 10) & moments.above(F.col("amount"), 2.0, n, s, q, sample=True)
     marked = joined.select(
-        "user_id", "category", "txn_id", "ts", "amount", n.alias("n"),
+        "user_id", "category", "txn_id", "ts", "amount",
         recent.alias("recent"), previous.alias("previous"), unusual.alias("unusual"),
     ).filter(F.col("recent") | F.col("previous") | F.col("unusual"))
 
     amount = F.col("amount")
-    windows = marked.groupBy("user_id").agg(
-        F.max("n").alias("n_expenses"),
+    largest_first = F.struct((-amount).alias("minus"), F.col("ts"), F.col("txn_id"), F.col("category"))
+    return marked.groupBy("user_id").agg(
         F.count_if(F.col("recent")).alias("n_recent"),
         F.count_if(F.col("previous")).alias("n_previous"),
         F.sum(F.when(F.col("recent"), amount)).alias("recent_total"),
         F.sum(F.when(F.col("previous"), amount)).alias("previous_total"),
         F.count_if(F.col("unusual")).alias("n_unusual"),
         F.max(F.when(F.col("unusual"), amount)).alias("largest_unusual"),
+        F.min(F.when(F.col("unusual"), largest_first))["category"].alias("unusual_category"),
     )
-    top = Window.partitionBy("user_id").orderBy(F.col("amount").desc(), F.col("ts"), F.col("txn_id"))
-    largest = (
-        marked.filter("unusual")
-        .withColumn("_rank", F.row_number().over(top))
-        .filter("_rank = 1")
-        .select("user_id", F.col("category").alias("unusual_category"))
-    )
-    return windows.join(largest, "user_id", "left")
 
 
 def spending_trend(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:

@@ -15,7 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The keyword rules make one generated method too large for the JVM to compile, and all that shares it then
+    # runs interpreted. At this limit Spark generates smaller methods for such a stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
