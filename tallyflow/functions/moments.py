@@ -16,11 +16,11 @@ def sums(amount: Column) -> list[Column]:
 
 
 def _spread(n: Column, s: Column, q: Column) -> Column:
-    """n*q - s*s in units of 1/10000, exact as long as it fits 38 digits and in double beyond."""
+    """n*q - s*s in units of 1/10000, a whole number: exact while it fits 38 digits, in double beyond."""
     wide = n.cast("decimal(20,0)")
-    exact = F.try_subtract(F.try_multiply(wide, q), F.try_multiply(s, s))
-    loose = n.cast("double") * q.cast("double") - s.cast("double") * s.cast("double")
-    return F.greatest(F.coalesce(exact.cast("double"), loose) * F.lit(1e4), F.lit(0.0))
+    exact = F.try_multiply(F.try_subtract(F.try_multiply(wide, q), F.try_multiply(s, s)), F.lit(10000))
+    loose = (n.cast("double") * q.cast("double") - s.cast("double") * s.cast("double")) * F.lit(1e4)
+    return F.greatest(F.coalesce(exact.cast("double"), loose), F.lit(0.0))
 
 
 def mean(n: Column, s: Column) -> Column:
@@ -38,7 +38,7 @@ def sd_samp(n: Column, s: Column, q: Column) -> Column:
 
 def above(amount: Column, times: float, n: Column, s: Column, q: Column, sample: bool = False) -> Column:
     """amount > mean + times * sd, multiplied through by n so that the left side stays exact."""
-    excess = (n.cast("decimal(20,0)") * amount - s).cast("double") * F.lit(100.0)
+    excess = ((n.cast("decimal(20,0)") * amount - s) * 100).cast("double")
     spread = _spread(n, s, q)
     if sample:
         spread = F.when(n > 1, spread * n / (n - 1))
