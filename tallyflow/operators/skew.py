@@ -42,7 +42,9 @@ def attach_group_stats(
     values = [c for c in stats.columns if c not in keys]
     large = largest_groups(stats, keys, n, split_rows)
     large = large.select(*keys, *[F.col(c).alias(f"_large_{c}") for c in values])
-    small = stats.select(*keys, F.lit(0).cast("bigint").alias("_salt"), *[F.col(c).alias(f"_small_{c}") for c in values])
+    # A count is never below 0, so this is 0; a literal would be folded out of the join keys and the salt with it.
+    zero = F.least(F.col(n), F.lit(0)).cast("bigint").alias("_salt")
+    small = stats.select(*keys, zero, *[F.col(c).alias(f"_small_{c}") for c in values])
 
     parts = F.ceil(F.col(f"_large_{n}") / F.lit(split_rows))
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), parts), F.lit(0)).cast("bigint")

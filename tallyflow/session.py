@@ -30,17 +30,22 @@ def build_session(app_name: str = "tallyflow", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a
-    local folder made, and it is then recorded in the session so that later calls agree.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a local
+    folder made, one per application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tallyflow-")
+    return _LOCAL_ROOTS[app]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -13,14 +13,16 @@ from tallyflow.operators.tasks import routed
 def running_month_totals(ledger: DataFrame, lateness: str | None = None) -> DataFrame:
     """Running expense totals by user, category and month; for update or complete output.
 
-    With `lateness` (an interval such as '40 days') rows later than it are dropped and finished months leave
-    the state; without it nothing is ever dropped. A watermark needs a plain timestamp, not timestamp_ntz.
+    With `lateness` (an interval such as '40 days') a month that starts more than that before the latest month
+    seen is closed: its later rows are dropped and it leaves the state. Without it nothing is ever dropped. The
+    watermark is on the month itself, since it only reaches a column that is grouped by as it is; it needs a
+    plain timestamp, not timestamp_ntz.
     """
-    rows = ledger.filter(is_expense()).withColumn("ts", F.col("ts").cast("timestamp"))
+    month = F.date_trunc("month", F.col("ts").cast("timestamp"))
+    rows = ledger.filter(is_expense()).withColumn("month", month)
     if lateness:
-        rows = rows.withWatermark("ts", lateness)
-    month = F.date_trunc("month", "ts").alias("month")
-    return rows.groupBy("user_id", "category", month).agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
+        rows = rows.withWatermark("month", lateness)
+    return rows.groupBy("user_id", "category", "month").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
 
 
 def running_agent_totals(tasks: DataFrame) -> DataFrame:
