@@ -24,7 +24,7 @@ HEADLINE = (
     "insights_feed recent_topk budget_plan debt_ranking comprehensive_report categorize_text statement_import feed_dedup "
     "agent_performance agent_running_success task_latest workflow_progress advice_extract"
 ).split()
-REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
 
 
 def run(spark, name: str, sf_dir: str) -> float:

@@ -103,6 +103,31 @@ def statement_import(spark, sf_dir):
     )
 
 
+@query(f"""
+WITH v AS (SELECT event_id, user_id, CAST(value AS DECIMAL(18,2)) AS amount, event_type || ' ' || (props->>'$.k') AS description,
+           CASE event_type WHEN 'signup' THEN 'Bank CREDIT' WHEN 'error' THEN 'Income' ELSE 'debit' END AS kind,
+           CASE WHEN value > 20 THEN 'Own ' || event_type END AS own FROM events),
+t AS (SELECT *, CASE WHEN kind = 'debit' THEN 'expense' ELSE 'income' END AS txn_type FROM v)
+SELECT event_id, user_id, CAST(amount AS DOUBLE) AS amount, txn_type,
+       COALESCE(own, CASE WHEN txn_type = 'income' THEN {case_sql('description', 'income')} ELSE {case_sql('description', 'expense')} END) AS category
+FROM t""")
+def statement_own_columns(spark, sf_dir):
+    """A statement with its own type and category columns: the type beats the sign, the category the rules."""
+    kind, value = F.col("event_type"), F.col("value")
+    raw = table(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        F.date_format("ts", "yyyy-MM-dd").alias("Posted"),
+        (-value.cast(MONEY)).cast("string").alias("Amount"),
+        F.concat_ws(" ", kind, F.get_json_object("props", "$.k")).alias("Memo"),
+        F.when(kind == "signup", "Bank CREDIT").when(kind == "error", "Income").otherwise("debit").alias("Entry type"),
+        F.when(value > 20, F.concat(F.lit("Own "), kind)).alias("Category"),
+    )
+    mapping = statement.default_mapping([c for c in raw.columns if not c.endswith("_id")])
+    good = statement.good_rows(statement.normalise(raw, mapping, AS_OF, ["event_id", "user_id"]))
+    return good.select("event_id", "user_id", money("amount"), "txn_type", "category")
+
+
 def _summary_sql(table_name, keys=""):
     return f"""
 SELECT {keys} COUNT(*) AS total_transactions, COALESCE({dbl("SUM(amount) FILTER (txn_type = 'income')")}, 0.0) AS total_income,

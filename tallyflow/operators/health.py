@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions import scoring
+from tallyflow.functions.literals import literal_rows
 from tallyflow.functions.money import is_expense, is_income, mean_of, ratio, sum_where
 from tallyflow.operators.spending import monthly_totals
 
@@ -100,7 +101,7 @@ def overall_risk(ledger: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def mitigations(spark: SparkSession) -> DataFrame:
     """Fixed table of three rows."""
-    return spark.createDataFrame(list(fv.MITIGATIONS), "risk string, strategy string, timeline string, priority string")
+    return literal_rows(spark, ("risk", "strategy", "timeline", "priority"), fv.MITIGATIONS)
 
 
 def mitigation_plan(ledger: DataFrame, profiles: DataFrame) -> DataFrame:

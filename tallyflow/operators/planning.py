@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
+from tallyflow.functions.literals import literal_rows
 from tallyflow.functions.money import MONEY, is_expense, is_income, mean_of, ratio
 from tallyflow.operators.income import income_months
 from tallyflow.operators.skew import SPLIT_ROWS, rank_within
@@ -53,8 +54,8 @@ def budget_plan(ledger: DataFrame, incomes: DataFrame) -> DataFrame:
 
 def strategies(spark: SparkSession) -> DataFrame:
     """Fixed table of three rows."""
-    schema = "strategy string, bonds int, stocks int, cash int, expected_return string, funds string"
-    return spark.createDataFrame(list(fv.INVESTMENT_STRATEGIES), schema)
+    names = ("strategy", "bonds", "stocks", "cash", "expected_return", "funds")
+    return literal_rows(spark, names, fv.INVESTMENT_STRATEGIES)
 
 
 def investment_plan(profiles: DataFrame, incomes: DataFrame) -> DataFrame:

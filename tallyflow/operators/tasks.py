@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
+from tallyflow.functions.literals import literal_rows
 from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats, ordered_chunks, running_offsets
 
 
@@ -76,7 +77,7 @@ def agent_performance(tasks: DataFrame) -> DataFrame:
     counted = routed(tasks).filter("valid").groupBy("agent_type").agg(
         F.count("*").alias("task_count"), F.count_if(F.col("success")).alias("n_success")
     )
-    agents = tasks.sparkSession.createDataFrame([(a,) for a in fv.AGENT_TYPES], "agent_type string")
+    agents = literal_rows(tasks.sparkSession, ("agent_type",), [(a,) for a in fv.AGENT_TYPES])
     n = F.coalesce("task_count", F.lit(0))
     joined = agents.join(counted, "agent_type", "left")
     return joined.select(
