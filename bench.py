@@ -1,6 +1,6 @@
 """Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and print one JSON line.
 
-Every query is run once to warm up and then REPEATS times into the noop sink, so all rows are produced and none
+Every query is run once to warm up and then REPEATS times (one by default) into the noop sink, so all rows are produced and none
 are collected. The figure of a query is its median; the metric is their sum.
 """
 
@@ -24,7 +24,7 @@ HEADLINE = (
     "insights_feed recent_topk budget_plan debt_ranking comprehensive_report categorize_text statement_import feed_dedup "
     "agent_performance agent_running_success task_latest workflow_progress advice_extract"
 ).split()
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
 
 
 def run(spark, name: str, sf_dir: str) -> float:

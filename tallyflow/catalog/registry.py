@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.functions.money import round_to
+from tallyflow.functions.money import round_to, wall_micros
 from tallyflow.sources.star import HOUSEHOLD_NAMES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ def day(name: str) -> Column:
 
 
 def micros(name: str) -> Column:
-    return F.unix_micros(F.col(name).cast("timestamp")).alias(name)
+    return wall_micros(name).alias(name)
 
 
 def star_keys() -> list[Column]:

@@ -56,6 +56,11 @@ def month_of(ts: str = "ts") -> Column:
     return F.trunc(F.col(ts), "month")
 
 
+def wall_micros(ts: str) -> Column:
+    """Microseconds of the wall-clock time since 1970, whatever the session's time zone and its summer time."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+
+
 def steps(value: Column, thresholds: list[tuple[Column | bool, int]]) -> Column:
     """Points of the first condition that holds, else 0."""
     chain = reduce(lambda acc, t: acc.when(t[0], t[1]), thresholds[1:], F.when(thresholds[0][0], thresholds[0][1]))

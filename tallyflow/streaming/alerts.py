@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from tallyflow.functions.money import wall_micros
+
 DEPTH = 30
 ALERTS = "user_id long, txn_id long, alert string, priority string, category string, value double, reference double"
 STATE = "micros array<long>, ids array<long>, categories array<string>, types array<string>, cents array<long>"
@@ -73,7 +75,7 @@ def transaction_alerts(ledger: DataFrame) -> DataFrame:
         "category",
         "txn_type",
         (F.col("amount") * 100).cast("bigint").alias("cents"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        wall_micros("ts").alias("micros"),
     )
     return rows.groupBy("user_id").applyInPandasWithState(_advance, ALERTS, STATE, "append", "NoTimeout")
 
