@@ -74,11 +74,11 @@ def rat(top: str, bottom: str) -> str:
 
 STAR = """ledger AS (
   SELECT o_custkey AS user_id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderpriority AS category,
-         'income' AS txn_type, o_orderdate AS ts, o_orderkey AS k1, 0 AS k2, 0 AS k3, 0 AS k4
+         'income' AS txn_type, o_orderdate AS ts, o_orderkey AS k1, 0::BIGINT AS k2, 0::BIGINT AS k3, 0::BIGINT AS k4
   FROM orders
   UNION ALL
   SELECT o_custkey, CAST(l_extendedprice AS DECIMAL(18,2)), p_type, 'expense', l_shipdate,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey
+         l_orderkey, l_linenumber::BIGINT, l_partkey, l_suppkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in HOUSEHOLD_NAMES.items())
