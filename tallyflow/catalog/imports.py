@@ -187,8 +187,7 @@ def statement_csv(spark, sf_dir):
     return good.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "description", money("amount"), "txn_type", "category")
 
 
-# Every event is sent once in April of its day's data and again in each repeat of its value's class:
-# values below 50 arrive twice, and purchases are in the ledger already.
+# Every event is a feed row; values below 50 arrive a second time, and purchases are in the ledger already.
 FEED = """feed AS (
   SELECT user_id, event_id AS seq, event_type || '-' || (props->>'$.k') AS name, CASE WHEN event_type = 'signup' THEN -value ELSE value END AS amount,
          CAST(ts AS DATE) AS date, CASE WHEN event_type <> 'view' THEN event_type END AS first_category FROM events

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyflow.catalog.registry import EVENTS, HOUSEHOLD, STAR, big, dbl, micros, money, num, query, r, rat, star_keys, with_
+from tallyflow.catalog.registry import EVENTS, HOUSEHOLD, STAR, big, dbl, micros, money, num, query, r, star_keys, with_
 from tallyflow.operators import recent, spending
 from tallyflow.sources.star import event_ledger, household_ledger, star_ledger
 
