@@ -27,3 +27,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that remain when strings of 400 bytes that start anywhere else go."""
+    from tallyflow.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
