@@ -61,3 +61,14 @@ marked AS (SELECT keyed.*, last IS NOT NULL AND doc_id < last AS gone FROM keyed
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in a word BPE, and whether they are over a context of 2,048."""
+    import public_tokenizers
+
+    from tallyflow.llm.token_counts import token_counts
+
+    out = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 2048)
