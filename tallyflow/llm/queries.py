@@ -72,3 +72,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 % of their five-word shingles."""
+    from tallyflow.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
