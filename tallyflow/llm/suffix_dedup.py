@@ -30,6 +30,8 @@ from tallyflow.llm.suffix_groups import common_prefixes, row_order
 
 LENGTH = 400
 GRAM = 64
+#: Fragments sorted together; those of one gram always are.
+AT_ONCE = 4096
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:int,end:int>>, kept binary"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _SCHEMA = pa.schema([
@@ -92,26 +94,25 @@ def _meet_grams(asked: list[bytes]) -> list[bytes]:
     return [np.packbits(twice[t - len(e) : t]).tobytes() for e, t in zip(entries, ends, strict=True)]
 
 
-def repeated_strings(fragments: np.ndarray, texts: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """For each fragment and offset of the anchor, whether the string of that offset occurs twice. ``texts`` holds the bytes of
-    all fragments in turn; column o of the result stands for the string that starts o bytes left of the anchor."""
+def repeated_strings(fragments: np.ndarray, start: np.ndarray, texts: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each fragment and offset of the anchor, whether the string of that offset occurs twice. ``start`` is where a fragment
+    begins in ``texts``; column o of the result stands for the string that starts o bytes left of the anchor."""
     reach = length - gram
     m = len(fragments)
     left, more = fragments["left"].astype(np.int64), fragments["more"].astype(np.int64)
-    sizes = more + length
-    start = np.cumsum(sizes) - sizes
     anchor = start + left
-    place = np.arange(max(length, reach))
-    texts = np.where(texts == 0, np.uint8(0xFF), texts)  # UTF-8 has no 0xFF; 0 pads
 
     def context(step: int, width: int, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index = anchor[:, None] + (place[:width] if step > 0 else -1 - place[:width])
-        inside = place[:width] < count[:, None]
-        rows = np.where(inside, texts[np.clip(index, 0, len(texts) - 1)], np.uint8(0))
+        place = np.arange(width, dtype=np.int32)
+        rows = np.empty((m, width), np.uint8)
+        for lo in range(0, m, 512):  # index arrays take eight times the room of the bytes
+            index = anchor[lo : lo + 512, None] + (place if step > 0 else -1 - place)
+            np.clip(index, 0, len(texts) - 1, out=index)
+            rows[lo : lo + 512] = np.where(place < count[lo : lo + 512, None], texts[index], np.uint8(0))
         order = row_order(rows, -(-width // 4))
         return order, common_prefixes(rows[order])
 
-    right, right_common = context(1, length, sizes - left)
+    right, right_common = context(1, length, more + length - left)
     back, back_common = context(-1, reach, left)
     out = np.zeros((m, reach + 1), bool)
     right_class, back_class = np.empty(m, np.int64), np.empty(m, np.int64)
@@ -133,15 +134,25 @@ def _meet_fragments(asked: list[bytes], length: int, gram: int) -> list[bytes]:
         k = int(np.frombuffer(m, np.uint32, 1)[0])
         heads.append(np.frombuffer(m, FRAGMENT, k, 4))
         texts.append(np.frombuffer(m, np.uint8, offset=4 + k * FRAGMENT.itemsize))
-    bits = np.packbits(repeated_strings(np.concatenate(heads), np.concatenate(texts), length, gram), axis=1)
+    fragments, text = np.concatenate(heads), np.concatenate(texts)
+    text[text == 0] = 0xFF  # UTF-8 has no 0xFF; 0 pads
+    size = fragments["more"].astype(np.int64) + length
+    start = np.cumsum(size) - size
+    # equal strings have the same gram: some grams at a time
+    order = np.argsort(fragments["gram"], kind="stable")
+    grams = fragments["gram"][order]
+    heads_at = np.concatenate([[0], np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(grams)]])
+    bits = np.zeros((len(fragments), (length - gram + 8) // 8), np.uint8)
+    lo = 0
+    while lo < len(grams):
+        hi = int(heads_at[max(np.searchsorted(heads_at, lo + AT_ONCE, "right") - 1, np.searchsorted(heads_at, lo, "right"))])
+        some = order[lo:hi]
+        bits[some] = np.packbits(repeated_strings(fragments[some], start[some], text, length, gram), axis=1)
+        lo = hi
     ends = np.cumsum([len(h) for h in heads])
     return [bits[e - len(h) : e].tobytes() for h, e in zip(heads, ends, strict=True)]
 
 
-def _by_bucket(told: dict[int, bytes], hashes: np.ndarray, n: int) -> list[np.ndarray]:
-    return [np.frombuffer(told[b], np.uint8) for b, _, _ in bucket_runs(hashes, n)]
-
-
 def _own_note(told: dict[int, bytes]) -> bytes:
     return next(v for b, v in told.items() if b < 0)
 
