@@ -80,3 +80,23 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyflow.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors nearest to every fiftieth one by inner product."""
+    from tallyflow.llm.impact_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op7_impact_search"] = """
+WITH components AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d, len(embedding) AS dims FROM embeddings),
+bad AS (SELECT DISTINCT vec_id FROM components WHERE x IS NULL OR NOT isfinite(x)),
+cells AS (
+  SELECT vec_id, d, dims, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM components WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM cells q JOIN cells c ON q.d = c.d AND q.dims = c.dims AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
