@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from tallyflow.llm.rendezvous import stored_bytes
 
 BLOCK_BYTES = 8 << 20
-STEP = 4  # values per posting segment
-LEVELS = 24  # quantised impacts
-FEW = 64  # possible members of a query and block that are rescored without further processing
+STEP = 8  # values per posting segment
+LEVELS = 8  # quantised impacts
+FEW = 64  # so few possible members, or a sixteenth of a block, are rescored without further processing
 _BLOCK = "block long, dims int, ids binary, vectors binary"
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -115,7 +115,7 @@ class Index:
             if len(lower) > k:
                 kth = int(np.partition(lower, len(lower) - k)[len(lower) - k])
                 members = np.flatnonzero((total + rest.sum()) * unit + slack >= kth * unit)
-                if len(members) <= max(FEW, 4 * k):
+                if len(members) <= max(FEW, n // 16):
                     break
         members = members[~own[members]]
         scores = self.vectors[members] @ query
