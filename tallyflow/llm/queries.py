@@ -100,3 +100,15 @@ scores AS (
   FROM cells q JOIN cells c ON q.d = c.d AND q.dims = c.dims AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and loss texts of all conversations and one full of control strings, read back from the packed prefix trees."""
+    from tallyflow.llm.chat_tree import chat_tree, read_back
+
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return read_back(*chat_tree(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)))
