@@ -112,3 +112,11 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\\### Assistant: </turn> ok").alias("text"),
     )
     return read_back(*chat_tree(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds a passage."""
+    from tallyflow.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
