@@ -120,3 +120,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyflow.llm.decontaminate import contaminated
 
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to the text."""
+    import public_tokenizers
+
+    from tallyflow.llm.sentence_pieces import byte_piece_ids, decode, encode, piece_numbers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs, path), path)
+    numbers = piece_numbers("piece_ids", byte_piece_ids(path))
+    return out.select("doc_id", *numbers, F.xxhash64("piece_ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
