@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyflow.llm.kernels import U, byte_ranges, runs, slices
+from tallyflow.llm.kernels import U, byte_ranges, mix, runs, slices
 from tallyflow.llm.rendezvous import answer, ask, bucket_runs, chunked, conclude, note, pieces
 from tallyflow.llm.suffix_groups import common_prefixes, row_order
 
@@ -80,7 +80,8 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, doc: int, length: int, gr
     out = np.zeros(len(first), ANCHOR)
     base = offsets[docs[first]]
     out["doc"], out["at"] = docs[first] + doc, owner[first] - base
-    out["first"], out["last"], out["gram"] = starts[first] - base, starts[last] - base, hashes[owner[first]]
+    out["first"], out["last"] = starts[first] - base, starts[last] - base
+    out["gram"] = mix(hashes[owner[first]])  # least hashes are small, and buckets go by size
     return out
 
 
