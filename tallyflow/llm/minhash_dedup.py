@@ -6,9 +6,10 @@
 2. 32 bands of 4 bins give bucket keys. At a similarity of 0.8, two documents share no bucket with probability below 10**-7.
 3. Documents of one shingle set are one node from here on. In a bucket, each member is paired with the smallest one only: a
    star, so pairs grow with members, not with their square. Pairs are confirmed on the full sets.
-4. A star can miss a link between two members that are both unlike its centre. So buckets whose members are
-   not yet in one component get further stars, from members outside their largest component, against members of other
-   components; a few centres per bucket and round, until every pair of a bucket is in one component or has been tested.
+4. A star can miss a link between two members that are both unlike its centre. So where the members of a star are not all in
+   one component by then, those outside its largest component are compared with all of them: blocks of at most about 256 by 256
+   documents meet, one product of incidence matrices counts all common shingles, and links alone come out. Pairs within the largest
+   component need no test. So no link between documents that share a bucket is lost, and no pair is emitted that isn't one.
 
 Components are found with ``components``. Nothing is collected but counts.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.components import connected_components
@@ -32,8 +33,8 @@ from tallyflow.llm.rendezvous import shared_folder
 WORDS = 5
 PERCENT = 85
 BANDS, BAND_BINS = 32, 4
-#: Further centres of a bucket in one round: so many, or more in a small bucket, up to so many pairs.
-CENTRES, STAR_PAIRS = 8, 4096
+#: Documents of a block in which members of a star are compared with each other.
+BLOCK = 256
 _BIN_BITS = 7
 BINS = 1 << _BIN_BITS
 _SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -138,6 +139,37 @@ def _confirm(percent: int):
     return confirm
 
 
+def _confirm_block(percent: int):
+    def confirm(rows: pa.Table) -> pa.Table:
+        """Links between the asking and the other documents of a block, from the product of their incidence matrices."""
+        asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, component = rows.column("m").to_numpy(), rows.column("component").to_numpy()
+        sets = [np.frombuffer(x, U) for x in rows.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        ours, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        common = np.zeros((len(ours), len(theirs)), np.float32)
+        turn = np.zeros(len(sets), np.int64)
+        turn[ours], turn[theirs] = np.arange(len(ours)), np.arange(len(theirs))
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(column.max(initial=-1)) + 1, 2048):
+            a, b = np.searchsorted(column, [lo, lo + 2048])
+            r, c = row[a:b], column[a:b] - lo
+            left, right = np.zeros((len(ours), 2048), np.float32), np.zeros((2048, len(theirs)), np.float32)
+            left[turn[r[asks[r]]], c[asks[r]]] = 1
+            right[c[~asks[r]], turn[r[~asks[r]]]] = 1
+            common += left @ right
+        common = common.astype(np.int64)
+        joint = size[ours][:, None] + size[theirs][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * joint) & (component[ours][:, None] != component[theirs][None, :]))
+        u, v = ids[ours[i]], ids[theirs[j]]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return confirm
+
+
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
@@ -165,7 +197,7 @@ def near_duplicates(
     like = F.expr(f"100 * least(n, centre_n) >= {int(percent)} * greatest(n, centre_n)")
     tested = members.where(F.col("doc_id") != F.col("centre")).where(like).select(*_pairs("doc_id", "centre")).distinct().checkpoint()
 
-    wanted = tested.select(F.explode(F.array("u", "v")).alias("doc_id")).union(members.where("members > 2").select("doc_id")).distinct()
+    wanted = members.select("doc_id").distinct()  # centres are members too
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), _SETS).checkpoint()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -174,31 +206,21 @@ def near_duplicates(
         return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long").distinct()
 
     links = confirmed(tested).union(copy_edges).checkpoint()
-    crowded = members.where("members > 2").select("key", "doc_id", "n", "members")
-    used = None
-    while True:
-        components = connected_components(links).checkpoint()
-        labelled = crowded.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        sizes = labelled.groupBy("key", "component").count()
-        open_ = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        rest = labelled.join(open_.drop("parts"), "key").checkpoint()
-        outside = rest.where("component <> largest")
-        if used is not None:
-            outside = outside.join(used, ["key", "doc_id"], "left_anti")
-        # one of each component first
-        turn = F.row_number().over(Window.partitionBy("key", "component").orderBy("doc_id"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("turn", "component"))
-        chosen = outside.withColumn("turn", turn).where(F.col("turn") * F.col("members") <= F.greatest(F.lit(STAR_PAIRS), CENTRES * F.col("members")))
-        chosen = chosen.withColumn("place", place).where(F.col("place") * F.col("members") <= F.greatest(F.lit(STAR_PAIRS), CENTRES * F.col("members")))
-        chosen = chosen.select("key", F.col("doc_id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("own")).checkpoint()
-        if chosen.isEmpty():
-            break
-        now = chosen.select("key", F.col("centre").alias("doc_id"))
-        used = now if used is None else used.union(now).checkpoint()
-        new = rest.join(chosen, "key").where("component <> own").where(like).select(*_pairs("doc_id", "centre")).distinct()
-        new = new.join(tested, ["u", "v"], "left_anti").checkpoint()
-        tested = tested.union(new).checkpoint()
-        links = links.union(confirmed(new)).checkpoint()
+    # members of a star that its centre doesn't hold together: those outside the largest component against all of it
+    star = members.select(F.col("centre").alias("c"), F.col("doc_id").alias("m")).distinct()
+    labels = connected_components(links).checkpoint().withColumnRenamed("node", "m")
+    star = star.join(labels, "m", "left").withColumn("component", F.coalesce("component", "m")).checkpoint()
+    sizes = star.groupBy("c", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("c").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    blocks = open_.select("c", "largest", F.ceil(F.col("all") / BLOCK).alias("mb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("ob"))
+    rest = star.join(blocks, "c")
+    block = lambda n: F.pmod(F.xxhash64("m"), F.col(n)).alias(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n)
+    here = rest.select("c", block("mb"), every("ob"), "m", "component", F.lit(False).alias("asks"))
+    there = rest.where("component <> largest").select("c", every("mb"), block("ob"), "m", "component", F.lit(True).alias("asks"))
+    met = here.union(there).join(sets.withColumnRenamed("doc_id", "m"), "m")
+    more = met.groupBy("c", "mb", "ob").applyInArrow(_confirm_block(percent), "u long, v long").distinct()
+    components = connected_components(links.union(more)).checkpoint()
     label = components.select(F.col("node").alias("doc_id"), "component")
     out = signed.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
