@@ -184,3 +184,19 @@ def insights_if_missing(spark, sf_dir):
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
     existing = ledger.filter("category = 'signup' AND amount > 200").select("user_id")
     return _feed_columns(insights.missing_insights(ledger, users, existing))
+
+
+@query(feed_sql(MIXED, "txn_id") + """
+SELECT i.user_id, CAST(rank AS BIGINT) AS rank, CASE insight_type
+  WHEN 'welcome' THEN 'Add transactions to see insights about your spending, savings and financial health.'
+  WHEN 'spending_pattern' THEN printf('%s takes %.1f%% of your expenses, %.2f in all.', subject, value, (SELECT CAST(total AS DOUBLE) FROM cats c WHERE c.user_id = i.user_id AND c.category = subject))
+  WHEN 'savings_alert' THEN printf('You save %.1f%% of your income; aim for 20%%.', value)
+  WHEN 'savings_success' THEN printf('You save %.1f%% of your income. Well done.', value)
+  WHEN 'trend_alert' THEN printf('Spending changed by %+.1f%% against the 30 days before.', value)
+  WHEN 'anomaly_detection' THEN printf('%d unusually large, the largest %.2f in %s.', n_unusual, value, subject)
+  ELSE printf('%s averages %.2f a time; set a limit.', subject, value) END AS content
+FROM insights i LEFT JOIN unusual u ON u.user_id = i.user_id""")
+def insight_text(spark, sf_dir):
+    """The sentences shown, with amounts and counts."""
+    out = insights.insight_text(insights.insight_feed(mixed_event_ledger(spark, sf_dir)))
+    return out.select("user_id", big("rank"), "content")

@@ -2,14 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from tallyflow.catalog.registry import EVENTS, MIXED, big, dbl, micros, money, num, query, with_
+from tallyflow.catalog.registry import MIXED, STRETCHED, big, dbl, micros, money, num, query, with_
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.categorize import parse_rules, type_from_column, type_from_sign, with_category, word_list
 from tallyflow.functions.money import MONEY
 from tallyflow.plans import insights
 from tallyflow.session import shared_path
 from tallyflow.sources import feed, ledger, statement
-from tallyflow.sources.star import HOUSEHOLD_NAMES, event_ledger, mixed_event_ledger, statement_rows, table
+from tallyflow.sources.star import (
+    HOUSEHOLD_NAMES, event_ledger, events_as_mixed_ledger, mixed_event_ledger, statement_rows, stretched, table,
+)
 
 AS_OF = "2024-06-30 00:00:00"
 
@@ -345,11 +347,66 @@ def latest_insights(spark, sf_dir):
     return insights.latest_insights(stored).select("user_id", "insight_id", "insight_type")
 
 
-@query(with_(EVENTS, select=f"""
-SELECT user_id, txn_id, {dbl('amount')} AS amount, category FROM ledger WHERE category IN ('click') AND user_id = 3"""))
+@query(with_(STRETCHED, select=f"""
+SELECT user_id, txn_id, {dbl('amount')} AS amount, category FROM ledger
+WHERE txn_type = 'expense' AND strftime(ts, '%Y-%m') BETWEEN '2024-03' AND '2024-08'
+  AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"""))
 def ledger_scan(spark, sf_dir):
-    """Stored ledger of one user and one month: the month prunes partitions, the user is pushed to the scan."""
+    """Stored ledger of requested users in some months: the months prune partitions, the type is pushed to the scan."""
     path = shared_path(spark, "ledger")
-    ledger.append_ledger(event_ledger(spark, sf_dir), path)
-    rows = ledger.read_ledger(spark, path, user_id=3, txn_type="expense", months=("2024-01", "2024-01"))
-    return rows.filter("category = 'click'").select("user_id", "txn_id", money("amount"), "category")
+    rows = events_as_mixed_ledger(stretched(table(spark, sf_dir, "events")))
+    ledger.append_ledger(rows, path)
+    users = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
+    stored = ledger.read_ledger(spark, path, users, txn_type="expense", months=("2024-03", "2024-08"))
+    return stored.select("user_id", "txn_id", money("amount"), "category")
+
+
+# Events as seven statement files; every eleventh amount and every thirteenth date is bad, both in every 143rd row.
+@query("""
+WITH files AS (SELECT event_id % 7 AS file, event_id, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS row FROM events)
+SELECT file, row, CASE WHEN event_id % 11 = 0 THEN 'could not convert to a number: ' || chr(39) || 'n/a' || chr(39) ELSE 'no date' END AS error
+FROM files WHERE event_id % 11 = 0 OR event_id % 13 = 0""")
+def import_row_errors(spark, sf_dir):
+    """Every error of every uploaded file, with its row number."""
+    number = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        (number % 7).alias("upload"),
+        number,
+        F.when(number % 13 != 0, F.date_format("ts", "MM/dd/yyyy")).alias("Date"),
+        F.col("event_type").alias("Description"),
+        F.when(number % 11 == 0, "n/a").otherwise(F.col("value").cast(MONEY).cast("string")).alias("Amount"),
+    )
+    path = shared_path(spark, "uploads")
+    one_file_each = rows.repartition("upload").sortWithinPartitions("upload", "event_id").drop("event_id")
+    one_file_each.write.partitionBy("upload").option("header", True).csv(path)
+    raw = statement.read_statements(spark, path, ["Date", "Description", "Amount"])
+    found = statement.row_errors(statement.normalise(raw, statement.default_mapping(["Date", "Description", "Amount"]), AS_OF))
+    return found.select(F.regexp_extract("file", r"upload=(\d+)", 1).cast("bigint").alias("file"), big("row"), "error")
+
+
+# How a time is written goes by the event's number; the SQL knows what each form keeps of it, not how it is read.
+FORMS = ("MM/dd/yyyy hh:mm a", "M/d/yy", "yyyy-MMM-dd", "MMM dd yyyy h:mm a", "dd-MMM-yy", "yyyy-MM-dd HH:mm:ss", "MMMM d, yyyy", "yyyyMMdd", "d MMM yyyy HH:mm")
+
+
+@query("""
+WITH e AS (SELECT event_id, CAST(value AS DECIMAL(18,2)) AS amount, event_id % 9 AS form,
+                  CASE WHEN event_id % 5 = 0 THEN ts - INTERVAL 30 YEAR ELSE ts END AS ts FROM events)
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'income' ELSE 'expense' END AS txn_type, CAST(amount AS DOUBLE) AS amount,
+       epoch_us(CASE WHEN form IN (0, 3, 8) THEN date_trunc('minute', ts) WHEN form = 5 THEN date_trunc('second', ts) ELSE date_trunc('day', ts) END) AS ts
+FROM e WHERE event_id % 6 > 0 AND amount > 0""")
+def statement_forms(spark, sf_dir):
+    """Statements with a debit and a credit column, a merchant, and dates in nine forms, some of the last century."""
+    number = F.col("event_id")
+    early = F.when(number % 5 == 0, F.expr("ts - INTERVAL 30 YEARS")).otherwise(F.col("ts"))
+    text = F.coalesce(*[F.when(number % 9 == i, F.date_format("_ts", form)) for i, form in enumerate(FORMS)])
+    amount = F.col("value").cast(MONEY).cast("string")
+    raw = table(spark, sf_dir, "events").filter(F.col("value").cast(MONEY) > 0).withColumn("_ts", early).select(
+        number,
+        text.alias("Transaction Date"),
+        F.concat(F.lit("Shop "), F.col("event_type")).alias("Merchant"),
+        F.when(number % 6 == 0, "").when(number % 4 == 0, F.lit(None)).when(number % 3 == 0, F.concat(F.lit("-"), amount)).otherwise(amount).alias("Debit"),
+        F.when(number % 6 == 0, " ").when(number % 4 == 0, amount).alias("Credit"),
+    )
+    mapping = statement.default_mapping([c for c in raw.columns if c != "event_id"])
+    good = statement.good_rows(statement.normalise(raw, mapping, AS_OF, ["event_id"]))
+    return good.select("event_id", "txn_type", money("amount"), micros("ts"))

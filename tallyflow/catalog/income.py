@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tallyflow.catalog.registry import MONTHS, STAR, big, dbl, money, num, query, r, rat, with_
+from tallyflow.catalog.registry import MONTHS, STAR, STRETCHED, big, dbl, money, num, query, r, rat, with_
 from tallyflow.operators import income
-from tallyflow.sources.star import star_ledger
+from tallyflow.sources.star import events_as_ledger, star_ledger, stretched, table
 
 
 def _ledger(spark, sf_dir):
@@ -50,6 +50,42 @@ def income_volatility(spark, sf_dir):
     return income.income_volatility(_ledger(spark, sf_dir)).select("user_id", big("n_months"), num("volatility"))
 
 
+EVERY = """months AS (
+  SELECT user_id, strftime(ts, '%Y-%m') AS month, SUM(amount) FILTER (txn_type = 'income') AS total FROM ledger GROUP BY 1, 2),
+everyone AS (
+  SELECT user_id, COUNT(total) AS n, COALESCE(CAST(SUM(total) AS DOUBLE) / nullif(COUNT(total), 0), 0) AS mean, COALESCE(SUM(total), 0) AS total,
+         stddev_samp(CAST(total AS DOUBLE)) AS sd, string_agg(month || '=' || CAST(total AS VARCHAR), ' ' ORDER BY month) FILTER (total IS NOT NULL) AS months
+  FROM months GROUP BY 1)"""
+# A ledger in which many users have no income: signups are the only one, and only those above 50.
+FEW = STRETCHED.replace("CASE WHEN event_type IN ('signup', 'purchase') THEN", "CASE WHEN event_type = 'signup' AND value > 50 THEN")
+
+
+def _few_incomes(spark, sf_dir):
+    rows = events_as_ledger(stretched(table(spark, sf_dir, "events")))
+    earned = (F.col("category") == "signup") & (F.col("amount") > 50)
+    return rows.withColumn("txn_type", F.when(earned, "income").otherwise("expense"))
+
+
+@query(with_(FEW, EVERY, select=f"""
+SELECT user_id, n AS n_months, {r('mean', 4)} AS average_income, {dbl('total')} AS total_income, {r(CV)} AS variability,
+       CASE WHEN n = 0 THEN NULL WHEN {CV} < 0.2 THEN 'stable' WHEN {CV} < 0.5 THEN 'moderate' ELSE 'highly_variable' END AS income_stability,
+       CASE WHEN n = 0 THEN 1.0::DOUBLE END AS stability_score, COALESCE(months, '') AS monthly_income
+FROM everyone"""))
+def income_variability_all_users(spark, sf_dir):
+    """With the users that have no income, and the map of months as text."""
+    out = income.income_variability(_few_incomes(spark, sf_dir))
+    entries = F.transform(F.map_entries("monthly_income"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return out.select(
+        "user_id", big("n_months"), num("average_income", 4), money("total_income"), num("variability"), "income_stability",
+        "stability_score", F.array_join(F.array_sort(entries), " ").alias("monthly_income"),
+    )
+
+
+@query(with_(FEW, EVERY, select=f"SELECT user_id, n AS n_months, {r(CV)} AS volatility FROM everyone"))
+def income_volatility_all_users(spark, sf_dir):
+    return income.income_volatility(_few_incomes(spark, sf_dir)).select("user_id", big("n_months"), num("volatility"))
+
+
 POP = rat("sd_pop", "mean")
 
 

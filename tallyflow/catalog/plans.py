@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyflow.catalog.health import OVERALL, RISKS, SCORE
 from tallyflow.catalog.registry import HOUSEHOLD, METRICS, PROFILES, STAR, big, dbl, money, num, query, r, rat, with_
 from tallyflow.functions import fixed_values as fv
+from tallyflow.functions.money import round_to
 from tallyflow.operators import planning
 from tallyflow.plans.report import comprehensive_report, reports_for
 from tallyflow.sources.star import debts, household_ledger, profiles, star_ledger, table
@@ -44,7 +45,7 @@ _STRATEGIES = ", ".join(str(s) for s in fv.INVESTMENT_STRATEGIES)
 
 
 @query(with_(STAR, PROFILES, INCOMES, select=f"""
-SELECT user_id, strategy, bonds::BIGINT AS bonds, stocks::BIGINT AS stocks, cash::BIGINT AS cash, expected_return,
+SELECT user_id, strategy, bonds::BIGINT AS bonds, stocks::BIGINT AS stocks, cash::BIGINT AS cash, expected_return, funds,
        {r('COALESCE(monthly_income, 0) * 0.2::DOUBLE', 4)} AS monthly_investment
 FROM profiles LEFT JOIN incomes USING (user_id)
 JOIN (VALUES {_STRATEGIES}) AS t(strategy, bonds, stocks, cash, expected_return, funds)
@@ -52,7 +53,7 @@ JOIN (VALUES {_STRATEGIES}) AS t(strategy, bonds, stocks, cash, expected_return,
 def investment_plan(spark, sf_dir):
     out = planning.investment_plan(profiles(spark, sf_dir), _incomes(spark, sf_dir))
     return out.select(
-        "user_id", "strategy", big("bonds"), big("stocks"), big("cash"), "expected_return", num("monthly_investment", 4)
+        "user_id", "strategy", big("bonds"), big("stocks"), big("cash"), "expected_return", "funds", num("monthly_investment", 4)
     )
 
 
@@ -126,17 +127,31 @@ REPORT = with_(HOUSEHOLD, PROFILES, METRICS, RISKS, OVERALL, f"""lines AS (
 ahead AS (
   SELECT user_id, txn_type, n, (n * sxy - sx * sy)::HUGEINT AS rise,
          CASE WHEN n >= 3 THEN (sy * sxx - sx * sxy + (n + 1) * (n * sxy - sx * sy))::HUGEINT::DOUBLE
-              / (nullif(n * sxx - sx * sx, 0)::DOUBLE * 100.0) END AS next
+              / (nullif(n * sxx - sx * sx, 0)::DOUBLE * 100.0) END AS next,
+         CASE WHEN n >= 3 THEN (sy * sxx - sx * sxy + (n + 3) * (n * sxy - sx * sy))::HUGEINT::DOUBLE
+              / (nullif(n * sxx - sx * sx, 0)::DOUBLE * 100.0) END AS third
   FROM lines),
+fits AS (SELECT user_id, txn_type, COALESCE(regr_r2(y, x), 1) AS r2 FROM series GROUP BY ALL HAVING COUNT(*) >= 3),
 words AS (
   SELECT *, CASE WHEN n < 3 THEN 'insufficient_data' WHEN rise > 0 THEN 'increasing' ELSE 'decreasing' END AS word,
          CASE WHEN n < 3 THEN 'insufficient_data' WHEN rise > 0 THEN 'increasing' WHEN rise < 0 THEN 'decreasing' ELSE 'stable' END AS word3
   FROM ahead),
 cats AS (SELECT user_id, category, SUM(amount) AS total, COUNT(*) AS n, AVG(amount::DOUBLE) AS mean, stddev_pop(amount::DOUBLE) AS sd
          FROM ledger WHERE txn_type = 'expense' GROUP BY ALL),
-top AS (SELECT user_id, category, COUNT(*) OVER (PARTITION BY user_id) AS n_categories,
+maps AS (SELECT user_id, string_agg(category || '=' || n || '=' || CAST(total AS VARCHAR), ' ' ORDER BY category) AS categories FROM cats GROUP BY 1),
+sources AS (SELECT user_id, string_agg(category || '=' || CAST(total AS VARCHAR), ' ' ORDER BY category) AS sources
+            FROM (SELECT user_id, category, SUM(amount) AS total FROM ledger WHERE txn_type = 'income' GROUP BY ALL) GROUP BY 1),
+trends AS (SELECT user_id, string_agg(strftime(month, '%Y-%m') || '=' || CAST(total AS VARCHAR), ' ' ORDER BY month) AS trends
+           FROM months WHERE txn_type = 'expense' GROUP BY 1),
+spans AS (SELECT user_id, MIN(y) AS lo, MAX(y) AS hi, AVG(y) AS mean FROM series WHERE txn_type = 'income' GROUP BY 1 HAVING COUNT(*) >= 3),
+seasons AS (SELECT user_id, month(ts) AS m, CAST(SUM(amount) AS DOUBLE) / COUNT(*) AS v FROM ledger WHERE txn_type = 'income' GROUP BY ALL),
+swing AS (SELECT user_id, stddev_samp(v) / AVG(v) AS cv, arg_max(m, v) AS peak FROM seasons GROUP BY 1 HAVING COUNT(*) >= 3),
+daily AS (SELECT user_id, CAST(ts AS DATE) AS d, CAST(SUM(amount) AS DOUBLE) AS v FROM ledger WHERE txn_type = 'expense' GROUP BY ALL),
+bars AS (SELECT user_id, quantile_cont(v, 0.9) AS bar FROM daily GROUP BY 1),
+high AS (SELECT user_id, COUNT(*) FILTER (v > bar) AS n_high FROM daily JOIN bars USING (user_id) GROUP BY 1),
+top AS (SELECT user_id, category, CAST(total AS DOUBLE) / CAST(SUM(total) OVER (PARTITION BY user_id) AS DOUBLE) * 100.0::DOUBLE AS share, COUNT(*) OVER (PARTITION BY user_id) AS n_categories,
         row_number() OVER (PARTITION BY user_id ORDER BY total DESC, category) AS rk FROM cats),
-odd AS (SELECT user_id, COUNT(*) AS n FROM ledger JOIN cats USING (user_id, category)
+odd AS (SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (amount > mean + 4 * sd) AS n_high FROM ledger JOIN cats USING (user_id, category)
         WHERE txn_type = 'expense' AND cats.n >= 3 AND amount > mean + 3 * sd GROUP BY 1),
 full_report AS (
   SELECT m.user_id, m.total_expenses::DOUBLE AS total_expenses, m.expense_months AS expenses_months, t.n_categories,
@@ -149,12 +164,29 @@ full_report AS (
          (savings_rate < 0.1)::BIGINT + irregular::BIGINT AS n_recommendations,
          {r('i.next', 2)} AS next_income, COALESCE(i.word, 'insufficient_data') AS income_trend,
          {r('e.next', 2)} AS next_expenses, COALESCE(e.word, 'insufficient_data') AS expenses_trend,
-         n_risks, overall_risk AS overall_risk_level
+         n_risks, overall_risk AS overall_risk_level, COALESCE(odd.n_high, 0) AS n_high_anomalies,
+         COALESCE(maps.categories, '') AS category_analysis, COALESCE(trends.trends, '') AS monthly_trends, COALESCE(sources.sources, '') AS income_sources,
+         concat_ws(' ', CASE WHEN t.share > 40 THEN 'concentration_risk' END, CASE WHEN high.n_high > 0 THEN 'high_spending_days' END) AS spending_insights,
+         CASE WHEN high.n_high > 0 THEN high.n_high END AS n_high_days, spans.lo AS min_income, spans.hi AS max_income, {r('spans.mean', 4)} AS average_income,
+         COALESCE(swing.cv > 0.3, FALSE) AS seasonality_detected, CASE WHEN swing.cv > 0.3 THEN CAST(swing.peak AS BIGINT) END AS peak_month,
+         CASE WHEN i.n >= 3 THEN CASE WHEN i.n >= 6 THEN 'medium' ELSE 'low' END END AS confidence,
+         {r('i.third', 2)} AS third_income, {r('e.third', 2)} AS third_expenses, {r('fi.r2')} AS income_r_squared, {r('fe.r2')} AS expenses_r_squared,
+         n_risks AS n_mitigations
   FROM metrics m JOIN overall USING (user_id)
   LEFT JOIN words i ON i.user_id = m.user_id AND i.txn_type = 'income'
   LEFT JOIN words e ON e.user_id = m.user_id AND e.txn_type = 'expense'
   LEFT JOIN top t ON t.user_id = m.user_id AND t.rk = 1
-  LEFT JOIN odd ON odd.user_id = m.user_id)""", select="")
+  LEFT JOIN odd ON odd.user_id = m.user_id
+  LEFT JOIN fits fi ON fi.user_id = m.user_id AND fi.txn_type = 'income'
+  LEFT JOIN fits fe ON fe.user_id = m.user_id AND fe.txn_type = 'expense'
+  LEFT JOIN maps ON maps.user_id = m.user_id LEFT JOIN sources ON sources.user_id = m.user_id LEFT JOIN trends ON trends.user_id = m.user_id
+  LEFT JOIN spans ON spans.user_id = m.user_id LEFT JOIN swing ON swing.user_id = m.user_id LEFT JOIN high ON high.user_id = m.user_id)""", select="")
+
+
+def _text(name, value):
+    """A map as text, in order of its keys."""
+    entries = F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], value(e["value"])))
+    return F.array_join(F.array_sort(entries), " ")
 
 
 def _flat(report):
@@ -168,7 +200,17 @@ def _flat(report):
         num("predictions.next_income", 2), "predictions.income_trend", num("predictions.next_expenses", 2),
         "predictions.expenses_trend",
         F.when(F.col("health").isNotNull(), F.size("risk.risks")).cast("bigint").alias("n_risks"),
-        "risk.overall_risk_level",
+        "risk.overall_risk_level", big("spending.n_high_anomalies"),
+        _text("spending.category_analysis", lambda v: F.concat_ws("=", v["count"].cast("string"), v["sum"].cast("string"))).alias("category_analysis"),
+        _text("spending.monthly_trends", lambda v: v.cast("string")).alias("monthly_trends"),
+        _text("income.income_sources", lambda v: v.cast("string")).alias("income_sources"),
+        F.array_join(F.transform("spending.insights", lambda i: i["insight"]), " ").alias("spending_insights"),
+        F.filter("spending.insights", lambda i: i["insight"] == "high_spending_days")[0]["value"].cast("bigint").alias("n_high_days"),
+        "income.min_income", "income.max_income", num("income.average_income", 4), "income.seasonality_detected",
+        F.col("income.peak_months")[0].cast("bigint").alias("peak_month"), "income.confidence",
+        round_to(F.col("predictions.income")[2], 2).alias("third_income"), round_to(F.col("predictions.expenses")[2], 2).alias("third_expenses"),
+        num("predictions.income_r_squared"), num("predictions.expenses_r_squared"),
+        F.size("risk.mitigation").cast("bigint").alias("n_mitigations"),
     ]
 
 

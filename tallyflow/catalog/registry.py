@@ -93,6 +93,10 @@ MIXED = """ledger AS (
   SELECT event_id AS txn_id, user_id, CAST(value AS DECIMAL(18,2)) AS amount, event_type AS category,
          CASE WHEN event_type IN ('signup', 'purchase') THEN 'income' ELSE 'expense' END AS txn_type, ts FROM events)"""
 
+STRETCHED = MIXED.replace(
+    "ts FROM events", "TIMESTAMP '2024-01-01' + to_microseconds(20 * date_diff('microsecond', TIMESTAMP '2024-01-01', ts)) AS ts FROM events"
+)
+
 PROFILES = """profiles AS (
   SELECT c_custkey AS user_id,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'gig' WHEN 'HOUSEHOLD' THEN 'informal' ELSE 'formal' END AS employment_type,

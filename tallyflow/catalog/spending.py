@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.catalog.registry import EVENTS, HOUSEHOLD, STAR, big, dbl, micros, money, num, query, r, star_keys, with_
 from tallyflow.operators import recent, spending
-from tallyflow.sources.star import event_ledger, household_ledger, star_ledger
+from tallyflow.sources.star import event_ledger, household_ledger, star_ledger, table
 
 
 @query(with_(STAR, select=f"""
@@ -121,19 +121,21 @@ def recent_summary(spark, sf_dir):
     return out.select("user_id", big("n_rows"), money("recent_income"), money("recent_expenses"), money("net_income"))
 
 
-@query("""
+LISTING = """
 SELECT event_id AS id, user_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount, event_type AS category,
-       'expense' AS transaction_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date
-FROM events ORDER BY ts DESC, event_id DESC""")
+       event_type || ' #' || event_id AS description, 'expense' AS transaction_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS position
+FROM events"""
+
+
+@query(LISTING)
 def transaction_listing(spark, sf_dir):
-    """Newest first in API shape."""
+    """Every user's list in API shape; position 1 is the newest."""
     return recent.api_rows(recent.newest_first(event_ledger(spark, sf_dir)))
 
 
-@query("""
-SELECT event_id AS id, user_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount, event_type AS category,
-       'expense' AS transaction_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date
-FROM events WHERE user_id = 7""")
+@query(LISTING + " WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)")
 def transactions_of_user(spark, sf_dir):
-    """One user's listing: the user filter is pushed to the scan."""
-    return recent.api_rows(recent.newest_first(event_ledger(spark, sf_dir), user_id=7))
+    """The lists of requested users: customers with a large balance."""
+    users = table(spark, sf_dir, "customer").filter("c_acctbal > 8000").select(F.col("c_custkey").alias("user_id"))
+    return recent.api_rows(recent.newest_first(event_ledger(spark, sf_dir), users))

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from tallyflow.catalog.anomalies import spikes_sql
 from tallyflow.catalog.imports import FEED, feed_rows
-from tallyflow.catalog.registry import EVENTS, big, dbl, micros, money, num, query, r, with_
+from tallyflow.catalog.registry import EVENTS, STRETCHED, big, dbl, micros, money, num, query, r, with_
 from tallyflow.catalog.tasks import KNOWN, TASKS
 from tallyflow.session import shared_path
-from tallyflow.sources.star import events_as_ledger, events_as_tasks, table
+from tallyflow.sources.star import events_as_ledger, events_as_mixed_ledger, events_as_tasks, stretched, table
 from tallyflow.streaming import alerts, ingest, totals
 
 
@@ -16,16 +16,26 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-@query(spikes_sql(EVENTS, "ts, txn_id", ["txn_id"]) + f"""
-SELECT user_id, txn_id, category, {dbl('amount')} AS value, {r('mean', 5)} AS reference FROM spikes WHERE amount > mean + 2 * sd""")
+GAPS = f"""
+SELECT user_id, txn_id, 'income_alert' AS alert, NULL AS category, {r('gap', 5)} AS value, 14.0 AS reference FROM (
+  SELECT e.user_id, e.txn_id, count(*) AS n, (sum(g) / (count(*) - 1)) AS gap FROM (
+    SELECT l.user_id, l.txn_id, h.ts,
+           date_sub('microsecond', lag(h.ts) OVER (PARTITION BY l.user_id, l.txn_id ORDER BY h.ts, h.txn_id), h.ts) // 86400000000 AS g
+    FROM placed l JOIN placed h ON h.user_id = l.user_id AND h.place BETWEEN l.place - 29 AND l.place AND h.txn_type = 'income'
+    WHERE l.txn_type = 'income' AND l.place >= 5) e
+  GROUP BY ALL) WHERE n >= 3 AND gap > 14"""
+
+
+@query(spikes_sql(STRETCHED, "ts, txn_id", ["txn_id"]) + f""", placed AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, txn_id) AS place FROM ledger)
+SELECT user_id, txn_id, 'spending_pattern' AS alert, category, {r('amount', 5)} AS value, {r('mean', 5)} AS reference
+FROM spikes WHERE amount > mean + 2 * sd UNION ALL""" + GAPS)
 def stream_alerts(spark, sf_dir):
-    """Events arrive in time order, so the stream gives what the batch query gives."""
+    """Both kinds of alert on the mixed ledger, its month stretched to years. The whole table arrives at once, so the stream gives what the batch rules give."""
     out, checkpoint = shared_path(spark, "alerts"), shared_path(spark, "alerts-checkpoint")
-    stream = alerts.transaction_alerts(events_as_ledger(_event_stream(spark, sf_dir)))
+    stream = events_as_mixed_ledger(stretched(_event_stream(spark, sf_dir)))
     alerts.start_alerts(stream, out, checkpoint).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).filter("alert = 'spending_pattern'").select(
-        "user_id", "txn_id", "category", "value", num("reference", 5)
-    )
+    return spark.read.parquet(out).select("user_id", "txn_id", "alert", "category", num("value", 5), num("reference", 5))
 
 
 @query(with_(EVENTS, select=f"""
@@ -33,8 +43,9 @@ SELECT user_id, category, strftime(ts, '%Y-%m') AS month, {dbl('SUM(amount)')} A
 def stream_month_totals(spark, sf_dir):
     out, checkpoint = shared_path(spark, "totals"), shared_path(spark, "totals-checkpoint")
     stream = totals.running_month_totals(events_as_ledger(_event_stream(spark, sf_dir)))
-    totals.start_latest(stream, out, checkpoint).awaitTermination()
-    last = totals.read_latest(spark, out, ["user_id", "category", "month"])
+    keys = ["user_id", "category", "month"]
+    totals.start_latest(stream, out, checkpoint, keys).awaitTermination()
+    last = totals.read_latest(spark, out, keys)
     return last.select("user_id", "category", F.date_format("month", "yyyy-MM").alias("month"), money("total"), big("n"))
 
 
@@ -43,7 +54,7 @@ SELECT agent_type, COUNT(*) AS task_count, {r('AVG(success::INT)')} AS success_r
 def stream_agent_performance(spark, sf_dir):
     out, checkpoint = shared_path(spark, "agents"), shared_path(spark, "agents-checkpoint")
     stream = totals.running_agent_totals(events_as_tasks(_event_stream(spark, sf_dir)))
-    totals.start_latest(stream, out, checkpoint).awaitTermination()
+    totals.start_latest(stream, out, checkpoint, ["agent_type"]).awaitTermination()
     last = totals.read_latest(spark, out, ["agent_type"])
     return last.select("agent_type", big("task_count"), num("success_rate"))
 

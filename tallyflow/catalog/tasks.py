@@ -49,15 +49,16 @@ def task_status(spark, sf_dir):
         .when(value > 150, '{"error": "timeout"}')
         .otherwise(F.concat(F.lit('{"success": '), (value < 100).cast("string"), F.lit("}")))
     )
-    values = table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), "value")
-    log = task_log(spark, sf_dir).join(values, "task_id").withColumn("result", result)
+    log = task_log(spark, sf_dir).withColumn("result", result)
     return tasks.task_status(log).select("task_id", "status")
 
 
-@query(with_(TASKS, select="SELECT task_id, user_id, agent_type, (props->>'$.k')::BIGINT AS k FROM tasks"))
+@query(with_(TASKS, select="""
+SELECT task_id, user_id, agent_type, (props->>'$.k')::BIGINT AS k,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, task_id DESC) AS INTEGER) AS position FROM tasks"""))
 def task_listing(spark, sf_dir):
     out = tasks.task_listing(task_log(spark, sf_dir), "k bigint")
-    return out.select("task_id", "user_id", "agent_type", "parsed.k")
+    return out.select("task_id", "user_id", "agent_type", "parsed.k", "position")
 
 
 @query(with_(TASKS, select="""
@@ -69,27 +70,41 @@ def owned_tasks(spark, sf_dir):
     return tasks.owned_tasks(task_log(spark, sf_dir), requests).select("task_id", "user_id", "agent_type")
 
 
+# Every third change names no status and every fifth no result; reruns and deletes name nothing.
 CHANGES = """changes AS (
   SELECT event_id AS change_id, user_id * 100 + (props->>'$.k')::BIGINT AS task_id, ts AS updated_at,
          CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'rerun' ELSE 'update' END AS op,
-         CASE WHEN value < 100 THEN 'completed' ELSE 'failed' END AS status, props AS result FROM events),
-last AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY updated_at DESC, change_id DESC) = 1)"""
+         CASE WHEN event_id % 3 = 0 THEN NULL WHEN value < 100 THEN 'completed' ELSE 'failed' END AS status,
+         CASE WHEN event_id % 5 > 0 THEN props END AS result,
+         CASE WHEN value < 100 THEN event_id END AS completed_at, 'p' || (event_id % 4) AS priority FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY updated_at, change_id) AS i FROM changes),
+resets AS (SELECT task_id, max(i) AS i, arg_max(op, i) AS op FROM numbered WHERE op <> 'update' GROUP BY 1),
+since AS (SELECT n.*, r.i AS reset, r.op AS reset_op FROM numbered n LEFT JOIN resets r USING (task_id))"""
 
 
 @query(with_(CHANGES, select="""
-SELECT task_id, change_id, CASE op WHEN 'rerun' THEN 'pending' ELSE status END AS status,
-       CASE WHEN op <> 'rerun' THEN result END AS result FROM last WHERE op <> 'delete'"""))
+SELECT task_id, arg_max(change_id, i) AS change_id,
+       COALESCE(arg_max(status, i) FILTER (status IS NOT NULL AND op = 'update' AND i > COALESCE(reset, 0)),
+                CASE WHEN any_value(reset_op) = 'rerun' THEN 'pending' END) AS status,
+       arg_max(result, i) FILTER (result IS NOT NULL AND op = 'update' AND i > COALESCE(reset, 0)) AS result,
+       arg_max(completed_at, i) FILTER (completed_at IS NOT NULL AND op = 'update' AND i > COALESCE(reset, 0)) AS completed_at,
+       arg_max(priority, i) FILTER (op = 'update') AS priority
+FROM since GROUP BY task_id HAVING arg_max(op, i) <> 'delete'"""))
 def task_latest(spark, sf_dir):
-    kind = F.col("event_type")
+    """Edits name only some fields; a rerun clears status, result and completion."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    done = F.when(F.col("value") < 100, "completed").otherwise("failed")
     changes = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("change_id"),
+        number.alias("change_id"),
         (F.col("user_id") * 100 + F.get_json_object("props", "$.k").cast("bigint")).alias("task_id"),
         F.col("ts").alias("updated_at"),
         F.when(kind == "error", "delete").when(kind == "signup", "rerun").otherwise("update").alias("op"),
-        F.when(F.col("value") < 100, "completed").otherwise("failed").alias("status"),
-        F.col("props").alias("result"),
+        F.when(number % 3 != 0, done).alias("status"),
+        F.when(number % 5 > 0, F.col("props")).alias("result"),
+        F.when(F.col("value") < 100, number).alias("completed_at"),
+        F.concat(F.lit("p"), (number % 4).cast("string")).alias("priority"),
     )
-    return tasks.latest_tasks(changes).select("task_id", "change_id", "status", "result")
+    return tasks.latest_tasks(changes).select("task_id", "change_id", "status", "result", "completed_at", "priority")
 
 
 STEPS = """steps AS (

@@ -7,16 +7,16 @@ from tallyflow.functions import fixed_values as fv
 from tallyflow.operators import advice
 from tallyflow.sources.star import table
 
-# User turns become a JSON list, assistant turns bullet lines, system turns other JSON.
+# User turns become a JSON list, assistant turns bullet lines with tabs and carriage returns, system turns other JSON.
 RESPONSES = """responses AS (
   SELECT conv_id, turn, CASE role WHEN 'user' THEN CAST(to_json([text, 'and ' || role]) AS VARCHAR)
-         WHEN 'assistant' THEN '* ' || replace(text, '. ', E' .\\n- ') ELSE '{"k": ' || length(text) || '}' END AS text FROM conversations)"""
+         WHEN 'assistant' THEN '* ' || replace(text, '. ', E' .\\t\\r\\n-\\t') ELSE '{"k": ' || length(text) || '}' END AS text FROM conversations)"""
 
 
 def _responses(spark, sf_dir):
     role, text = F.col("role"), F.col("text")
     as_list = F.to_json(F.array(text, F.concat(F.lit("and "), role)))
-    as_lines = F.concat(F.lit("* "), F.replace(text, F.lit(". "), F.lit(" .\n- ")))
+    as_lines = F.concat(F.lit("* "), F.replace(text, F.lit(". "), F.lit(" .\t\r\n-\t")))
     as_json = F.concat(F.lit('{"k": '), F.length(text).cast("string"), F.lit("}"))
     made = F.when(role == "user", as_list).when(role == "assistant", as_lines).otherwise(as_json)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("text"))
@@ -32,7 +32,7 @@ lists AS (
   SELECT conv_id, turn, CASE WHEN json_valid(text) THEN
            CASE WHEN json_type(text) = 'ARRAY' THEN from_json(text, '["VARCHAR"]') ELSE {_sentences(fv.NON_LIST_ADVICE)} END
          ELSE list_transform(list_filter(string_split(text, E'\\n'), lambda l: regexp_matches(l, '^[-•*]')),
-                             lambda l: trim(trim(l, '-•* '), E' \\n'))[1:5] END AS items FROM responses)
+                             lambda l: trim(trim(l, '-•* '), E' \\t\\r\\n')) END AS items FROM responses)
 SELECT conv_id, turn, pos, items[pos] AS advice FROM (SELECT conv_id, turn, items, unnest(range(1, len(items) + 1)) AS pos FROM lists)""")
 def advice_lists(spark, sf_dir):
     out = advice.with_advice_list(_responses(spark, sf_dir))
@@ -45,7 +45,7 @@ def advice_lists(spark, sf_dir):
 WITH marked AS (
   SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Recommendation: ' || text WHEN 'assistant' THEN text || ' My ADVICE: ' || text || ' A suggestion' || text
          ELSE '[{"category": "' || role || '", "priority": "high", "action": "a' || length(text) || '"}]' END AS text FROM conversations),
-found AS (SELECT conv_id, turn, regexp_extract_all(text, '(?i)(?:recommendation|advice|suggestion)[:\s]*([^.!?]*[.!?])', 1) AS hits
+found AS (SELECT conv_id, turn, regexp_extract_all(text, '(?i)""" + fv.ADVICE_PATTERN + r"""', 1) AS hits
           FROM marked WHERE NOT json_valid(text))
 SELECT conv_id, turn, pos, 'general' AS category, 'medium' AS priority, regexp_replace(hits[pos], '^\s+|\s+$', '', 'g') AS action,
        'positive' AS impact, 'immediate' AS timeline

@@ -15,24 +15,25 @@ def _texts(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def bullet_lines(text: Column) -> Column:
-    """The first five lines that start with a bullet, without bullets and blanks at their ends."""
+def bullet_lines(text: Column, most: int | None = None) -> Column:
+    """The lines that start with a bullet, without bullets and white space at their ends; the first `most` of them if given."""
     marked = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"^[-•*]"))
-    stripped = F.transform(marked, lambda line: F.trim(F.regexp_replace(line, r"^[-•* ]+|[-•* ]+$", "")))
-    return F.slice(stripped, 1, 5)
+    bare = F.transform(marked, lambda line: F.regexp_replace(line, r"^[-•* ]+|[-•* ]+$", ""))
+    stripped = F.transform(bare, lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return stripped if most is None else F.slice(stripped, 1, most)
 
 
-def with_advice_list(responses: DataFrame, text: str = "text", name: str = "advice") -> DataFrame:
+def with_advice_list(responses: DataFrame, text: str = "text", name: str = "advice", most: int | None = None) -> DataFrame:
     """A list of advice per response.
 
-    A JSON list is taken as it is, other JSON gives three standing sentences, plain text gives its bullet lines,
-    and a missing response gives three other sentences.
+    A JSON list is taken as it is, other JSON gives three standing sentences, plain text gives its bullet lines (`most` of them,
+    if given), and a missing response gives three other sentences.
     """
     parsed = responses.withColumn("_json", F.try_parse_json(F.col(text)))
     is_list = F.schema_of_variant("_json").startswith("ARRAY")
     value = (
         F.when(F.col(text).isNull(), _texts(fv.FAILED_ADVICE))
-        .when(F.col("_json").isNull(), bullet_lines(F.col(text)))
+        .when(F.col("_json").isNull(), bullet_lines(F.col(text), most))
         .when(is_list, F.try_variant_get("_json", "$", "array<string>"))
         .otherwise(_texts(fv.NON_LIST_ADVICE))
     )

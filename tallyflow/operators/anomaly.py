@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions import moments
 from tallyflow.functions.money import is_expense, is_income
 from tallyflow.operators.recent import latest_rows
-from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats, ordered_chunks, split_large, with_carried_rows
+from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats, with_carried_rows
 
 ORDER = ["ts", "txn_id"]
 
@@ -28,7 +28,7 @@ def category_outliers(ledger: DataFrame, times: float = 3.0, split_rows: int = S
     n, s, q = F.col("n"), F.col("s"), F.col("q")
     keys = ["user_id", "category"]
     stats = _amount_sums(rows, keys).filter((n >= 3) & moments.above(F.col("largest"), times, n, s, q)).drop("largest")
-    joined = attach_group_stats(rows, stats, keys, "n", ["txn_id"], split_rows)
+    joined = attach_group_stats(rows, stats, keys, "n", ["txn_id"], split_rows, "inner")
     severe = moments.above(F.col("amount"), times + 1.0, n, s, q)
     return joined.filter(moments.above(F.col("amount"), times, n, s, q)).select(
         "user_id",
@@ -62,7 +62,7 @@ def recent_and_unusual(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataF
     """
     rows = ledger.filter(is_expense()).select("user_id", "category", "txn_id", "ts", "amount")
     n, s, q, last = F.col("n"), F.col("s"), F.col("q"), F.col("last_ts")
-    joined = attach_group_stats(rows, expense_profile(ledger), ["user_id"], "n", ["txn_id"], split_rows)
+    joined = attach_group_stats(rows, expense_profile(ledger), ["user_id"], "n", ["txn_id"], split_rows, "inner")
     recent = F.col("ts") >= last - F.expr("INTERVAL 30 DAYS")
     previous = (F.col("ts") >= last - F.expr("INTERVAL 60 DAYS")) & ~recent
     unusual = (n > 10) & moments.above(F.col("amount"), 2.0, n, s, q, sample=True)
@@ -91,7 +91,7 @@ def spending_trend(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame
     """
     rows = ledger.filter(is_expense()).select("user_id", "txn_id", "ts", "amount")
     last = rows.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))
-    joined = attach_group_stats(rows, last, ["user_id"], "n", ["txn_id"], split_rows)
+    joined = attach_group_stats(rows, last, ["user_id"], "n", ["txn_id"], split_rows, "inner")
     recent = F.col("ts") >= F.col("last_ts") - F.expr("INTERVAL 30 DAYS")
     near = joined.filter(F.col("ts") >= F.col("last_ts") - F.expr("INTERVAL 60 DAYS"))
     out = near.groupBy("user_id").agg(
@@ -109,20 +109,18 @@ def change_percent(recent, previous):
 
 
 def spending_spikes(
-    ledger: DataFrame, times: float = 2.0, depth: int = 30, split_rows: int = SPLIT_ROWS
+    ledger: DataFrame, times: float = 2.0, depth: int = 30, chunk_by: str = "month"
 ) -> DataFrame:
     """Each expense against its category among the user's latest 30 rows up to it, in date order.
 
     A spike is above mean + 2 population sd of at least 3 such expenses (itself among them), once the user has 5
     rows. `position` numbers the user's rows; a range of 29 positions within the category is the same set of
-    rows as a filter over the last 30, without building an array per row.
+    rows as a filter over the last 30, without building an array per row. A user's rows are windowed by calendar
+    chunks (`chunk_by`: month, week, day, ...), each with the 29 rows before it, so a user of any size is spread over tasks.
     """
     rows = ledger.select("user_id", "ts", "txn_id", "category", "txn_type", "amount")
-    small, large, n_chunks = split_large(rows, "user_id", split_rows)
-    framed = small.withColumns({"chunk": F.lit(0), "carried": F.lit(False)})
-    if large is not None:
-        chunked = ordered_chunks(large, "user_id", [F.col(c) for c in ORDER], n_chunks)
-        framed = framed.unionByName(with_carried_rows(chunked, "user_id", ORDER, depth - 1))
+    chunked = rows.withColumn("chunk", F.date_trunc(chunk_by, "ts"))
+    framed = with_carried_rows(chunked, "user_id", ORDER, depth - 1)
     in_order = Window.partitionBy("user_id", "chunk").orderBy(*ORDER)
     same = (
         Window.partitionBy("user_id", "chunk", "category")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.money import is_income, mean_of, ratio
+from tallyflow.functions.money import MONEY, is_income, mean_of, ratio
 from tallyflow.functions.scoring import variability_label
 from tallyflow.functions.trend import line_sums, slope, value_at
 from tallyflow.operators.spending import month_series, monthly_totals
@@ -18,16 +18,34 @@ def income_months(ledger: DataFrame) -> DataFrame:
     return monthly_totals(ledger.filter(is_income())).withColumn("y", F.col("total").cast("double"))
 
 
+def _of_all_users(ledger: DataFrame, *columns: Column) -> DataFrame:
+    """Aggregates of monthly incomes for every user of the ledger, those without income too: their months are NULL."""
+    monthly = monthly_totals(ledger)
+    kept = [F.when(is_income(), F.col(c)).alias(c) for c in ("month", "total")]
+    income = monthly.select("user_id", *kept).withColumn("y", F.col("total").cast("double"))
+    return income.groupBy("user_id").agg(*columns)
+
+
 def income_variability(ledger: DataFrame) -> DataFrame:
-    """Sample coefficient of variation of monthly income with its label. Users without income have no row."""
-    per_user = income_months(ledger).groupBy("user_id").agg(
-        F.count("*").alias("n_months"),
-        mean_of("total").alias("average_income"),
-        F.sum("total").alias("total_income"),
+    """Sample coefficient of variation of monthly income with its label and the months as a map.
+
+    A user without income has zeros, no months and no label, but a stability score of 1.
+    """
+    entry = F.struct(F.date_format("month", "yyyy-MM").alias("month"), "total")
+    per_user = _of_all_users(
+        ledger,
+        F.count("total").alias("n_months"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("total").isNotNull(), entry)))).alias("monthly_income"),
+        F.coalesce(mean_of("total"), F.lit(0.0)).alias("average_income"),
+        F.coalesce(F.sum("total"), F.lit(0).cast(MONEY)).alias("total_income"),
         F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("sd"),
     )
     out = per_user.withColumn("variability", ratio(F.col("sd"), F.col("average_income")))
-    return out.withColumn("income_stability", variability_label(F.col("variability"))).drop("sd")
+    some = F.col("n_months") > 0
+    return out.withColumns({
+        "income_stability": F.when(some, variability_label(F.col("variability"))),
+        "stability_score": F.when(~some, F.lit(1.0)),
+    }).drop("sd")
 
 
 def _unless_short(value: Column) -> Column:
@@ -64,12 +82,9 @@ def income_stability(ledger: DataFrame) -> DataFrame:
 
 
 def income_volatility(ledger: DataFrame) -> DataFrame:
-    """Sample coefficient of variation; 0 below two months or without positive mean."""
-    per_user = income_months(ledger).groupBy("user_id").agg(
-        F.count("*").alias("n_months"),
-        ratio(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), mean_of("total")).alias("volatility"),
-    )
-    return per_user
+    """Sample coefficient of variation; 0 below two months, without positive mean and without income."""
+    cv = ratio(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), F.coalesce(mean_of("total"), F.lit(0.0)))
+    return _of_all_users(ledger, F.count("total").alias("n_months"), cv.alias("volatility"))
 
 
 def income_volatility_population(ledger: DataFrame) -> DataFrame:

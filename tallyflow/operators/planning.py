@@ -9,7 +9,7 @@ from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.literals import literal_rows
 from tallyflow.functions.money import MONEY, is_expense, is_income, mean_of, ratio
 from tallyflow.operators.income import income_months
-from tallyflow.operators.skew import SPLIT_ROWS, rank_within
+from tallyflow.operators.skew import rank_within
 
 
 def average_monthly_income(ledger: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def investment_plan(profiles: DataFrame, incomes: DataFrame) -> DataFrame:
     joined = profiles.join(incomes, "user_id", "left").withColumn("strategy", chosen).join(table, "strategy")
     monthly = F.coalesce(F.col("monthly_income"), F.lit(0.0)) * 0.2
     return joined.select(
-        "user_id", "strategy", "bonds", "stocks", "cash", "expected_return", monthly.alias("monthly_investment")
+        "user_id", "strategy", "bonds", "stocks", "cash", "expected_return", "funds", monthly.alias("monthly_investment")
     )
 
 
@@ -85,12 +85,18 @@ def debt_totals(debts: DataFrame, incomes: DataFrame) -> DataFrame:
     )
 
 
-def debt_ranking(debts: DataFrame, method: str = "avalanche", split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Payoff order: highest interest first, or (snowball) smallest amount first; ties by debt id."""
-    by_method = {"avalanche": F.col("interest_rate").desc(), "snowball": F.col("amount").asc()}
+def debt_ranking(debts: DataFrame, method: str = "avalanche", rate_step: float = 0.01, amount_step: float = 1000.0) -> DataFrame:
+    """Payoff order: highest interest first, or (snowball) smallest amount first; ties by debt id.
+
+    A user's debts are numbered by steps of the rate or amount, so a user of any size is spread over tasks.
+    """
+    value, step, falling = ("interest_rate", rate_step, True) if method == "avalanche" else ("amount", amount_step, False)
     columns = ["user_id", "debt_id", "amount", "monthly_payment", "interest_rate"]
-    order = [by_method[method], F.col("debt_id").asc()]
-    return rank_within(debts.select(*columns), "user_id", order, "payoff_order", split_rows)
+    cell = F.floor(F.col(value).cast("double") / F.lit(step))
+    # NULL sorts last when falling and first when rising
+    chunk = F.coalesce(-cell, F.lit(2**62)) if falling else F.coalesce(cell, F.lit(-(2**62)))
+    order = [F.col(value).desc() if falling else F.col(value).asc(), F.col("debt_id").asc()]
+    return rank_within(debts.select(*columns), "user_id", chunk, order, "payoff_order")
 
 
 def recommendation_context(ledger: DataFrame, profiles: DataFrame) -> DataFrame:

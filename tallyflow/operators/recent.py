@@ -18,22 +18,33 @@ def latest_rows(rows: DataFrame, k: int, key: str = "user_id", ts: str = "ts", t
     return rows.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= k)
 
 
-def newest_first(rows: DataFrame, user_id: int | None = None, ts: str = "ts", tie: str = "txn_id") -> DataFrame:
-    """A listing by date, newest first; of one user or of all. The sort is a range-partitioned one."""
-    if user_id is not None:
-        rows = rows.filter(F.col("user_id") == user_id)
-    return rows.orderBy(F.col(ts).desc(), F.col(tie).desc())
+def newest_first(rows: DataFrame, users: DataFrame | None = None, ts: str = "ts", tie: str = "txn_id") -> DataFrame:
+    """A listing per user: `position` 1 is the newest row, ties by id; of the users in the frame `users`, or of all.
+
+    Users ask for their own list only, so nothing is sorted across users.
+    """
+    if users is not None:
+        rows = rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    newest = Window.partitionBy("user_id").orderBy(F.col(ts).desc(), F.col(tie).desc())
+    return rows.withColumn("position", F.row_number().over(newest))
 
 
 def api_rows(ledger: DataFrame) -> DataFrame:
-    """Transactions in API shape, dates as ISO text."""
+    """Transactions in API shape, dates as ISO text; the position in a listing is kept if there is one.
+
+    A ledger without descriptions gives NULL ones.
+    """
+    kept = [c for c in ("position",) if c in ledger.columns]
+    described = "description" in ledger.columns
     return ledger.select(
         F.col("txn_id").alias("id"),
         "user_id",
         F.col("amount").cast("double").alias("amount"),
         "category",
+        F.col("description") if described else F.lit(None).cast("string").alias("description"),
         F.col("txn_type").alias("transaction_type"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        *kept,
     )
 
 

@@ -2,28 +2,18 @@
 
 One user (or category, or agent) can own a third of the ledger. Nothing here gathers such a group in one task:
 aggregates are partial before their shuffle, per-group statistics are attached with a salted join, and
-groups that must be put in order are cut into chunks of that order. No row is dropped or capped.
+groups that must be put in order are cut into chunks of that order whose bounds (days, months, ranges of a value) are
+arguments that don't depend on the data. There is one path for all sizes; no row is dropped or capped, and no job runs while
+a plan is built.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.session import shared_path
-
-# Rows of one group that a single task may hold. Above it the group is spread over n / SPLIT_ROWS tasks.
+# Rows of one group that a single task of a salted join may hold. Above it the group is spread over n / SPLIT_ROWS tasks.
 SPLIT_ROWS = 1_000_000
-# Bound of the broadcast table of large groups. Groups beyond the bound are the smaller ones: each holds less
-# than 1 / MAX_LARGE_GROUPS of all rows, and they are handled by the ordinary shuffled path, not dropped.
-MAX_LARGE_GROUPS = 5_000
-
-
-def largest_groups(stats: DataFrame, keys: list[str], n: str, split_rows: int) -> DataFrame:
-    """The groups above `split_rows`, at most MAX_LARGE_GROUPS of them: safe to broadcast."""
-    return stats.filter(F.col(n) > split_rows).orderBy(F.col(n).desc(), *keys).limit(MAX_LARGE_GROUPS)
 
 
 def attach_group_stats(
@@ -33,56 +23,20 @@ def attach_group_stats(
     n: str,
     salt_by: list[str],
     split_rows: int = SPLIT_ROWS,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of `stats` (one row per key, with its row count in column `n`) onto `rows`.
+    """Join of `stats` (one row per key, with its row count in column `n`) onto `rows`, left or inner.
 
-    Large groups get their statistics from a broadcast and are salted in the shuffle, so their rows spread
-    evenly; all other rows meet the statistics in an ordinary shuffled join on the keys.
+    A group of more than `split_rows` rows is spread over as many salts as it has that many rows, and its statistics are copied to
+    each. The salts of these groups are broadcast: there is at most one such group for every `split_rows` rows.
     """
     values = [c for c in stats.columns if c not in keys]
-    large = largest_groups(stats, keys, n, split_rows)
-    large = large.select(*keys, *[F.col(c).alias(f"_large_{c}") for c in values])
-    # A count is never below 0, so this is 0; a literal would be folded out of the join keys and the salt with it.
-    zero = F.least(F.col(n), F.lit(0)).cast("bigint").alias("_salt")
-    small = stats.select(*keys, zero, *[F.col(c).alias(f"_small_{c}") for c in values])
-
-    parts = F.ceil(F.col(f"_large_{n}") / F.lit(split_rows))
-    salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), parts), F.lit(0)).cast("bigint")
-    joined = rows.join(F.broadcast(large), keys, "left").withColumn("_salt", salt).join(small, [*keys, "_salt"], "left")
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col(f"_large_{c}"), F.col(f"_small_{c}")).alias(c) for c in values],
-    )
-
-
-def split_large(
-    rows: DataFrame, key: str, split_rows: int = SPLIT_ROWS
-) -> tuple[DataFrame, DataFrame | None, int]:
-    """Separate the rows of large groups, for operators that must order a group.
-
-    Returns the other rows, the rows of large groups (None when there are none, the usual case) and the number of
-    chunks to cut the latter into. One number comes back to the driver.
-    """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    large = largest_groups(sizes, [key], "_n", split_rows)
-    n_large = large.agg(F.sum("_n")).first()[0]
-    if not n_large:
-        return rows, None, 0
-    names = F.broadcast(large.select(key))
-    return rows.join(names, key, "left_anti"), rows.join(names, key, "left_semi"), math.ceil(n_large / split_rows)
-
-
-def ordered_chunks(rows: DataFrame, key: str, order: list[Column], n_chunks: int) -> DataFrame:
-    """Rows with `chunk`, ascending in (key, order), of about equal size whatever the sizes of the groups.
-
-    The chunks are written to the shared folder: every branch that reads them sees the same cut, also after an
-    executor was lost.
-    """
-    spark = rows.sparkSession
-    path = shared_path(spark, "chunks")
-    chunked = rows.repartitionByRange(max(1, n_chunks), F.col(key), *order).withColumn("chunk", F.spark_partition_id())
-    chunked.write.parquet(path)
-    return spark.read.schema(chunked.schema).parquet(path)
+    parts = F.greatest(F.ceil(F.col(n) / F.lit(split_rows)), F.lit(1)).cast("bigint")
+    large = stats.filter(F.col(n) > split_rows).select(*keys, parts.alias("_parts"))
+    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    salt = F.pmod(F.xxhash64(*salt_by), F.coalesce("_parts", F.lit(1)))
+    spread = rows.join(F.broadcast(large), keys, "left").withColumn("_salt", salt).drop("_parts")
+    return spread.join(salted, [*keys, "_salt"], how).select(*rows.columns, *values)
 
 
 def with_carried_rows(chunked: DataFrame, key: str, order: list[str], preceding: int) -> DataFrame:
@@ -109,17 +63,16 @@ def with_carried_rows(chunked: DataFrame, key: str, order: list[str], preceding:
     return chunked.withColumn("carried", F.lit(False)).unionByName(carried)
 
 
-def rank_within(rows: DataFrame, key: str, order: list[Column], name: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Number each group's rows 1, 2, 3, ... in `order` (a total order), large groups chunk by chunk."""
-    small, large, n_chunks = split_large(rows, key, split_rows)
-    ranked = small.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    if large is None:
-        return ranked
-    chunked = ordered_chunks(large, key, order, n_chunks)
+def rank_within(rows: DataFrame, key: str, chunk: Column, order: list[Column], name: str) -> DataFrame:
+    """Number each group's rows 1, 2, 3, ... in `order` (a total order), chunk by chunk.
+
+    `chunk` is a number that never falls along the order and is not NULL.
+    """
+    chunked = rows.withColumn("chunk", chunk)
     within = F.row_number().over(Window.partitionBy(key, "chunk").orderBy(*order))
     offsets = running_offsets(chunked, key, {"_before": F.count("*")})
     numbered = chunked.join(offsets, [key, "chunk"]).withColumn(name, (within + F.col("_before")).cast("int"))
-    return ranked.unionByName(numbered.drop("chunk", "_before"))
+    return numbered.drop("chunk", "_before")
 
 
 def running_offsets(chunked: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:

@@ -64,16 +64,13 @@ def spending_summary(ledger: DataFrame) -> DataFrame:
 
 
 def top_categories(totals: DataFrame) -> DataFrame:
-    """From category totals: each user's largest category (ties: first by name) and its share in percent."""
-    laid_out = totals.repartition("user_id")
-    everything = Window.partitionBy("user_id")
-    ranked = laid_out.withColumn(
-        "rank", F.row_number().over(everything.orderBy(F.col("total").desc(), F.col("category")))
-    ).withColumn("total_expenses", F.sum("total").over(everything))
-    share = F.col("total").cast("double") / F.col("total_expenses").cast("double") * 100.0
-    return ranked.filter("rank = 1").select(
-        "user_id", F.col("category").alias("top_category"), F.col("total").alias("top_total"), "total_expenses",
-        share.alias("top_percent"),
+    """From category totals: each user's largest category (ties: first by name) and its share in percent, by one aggregate."""
+    largest = F.min(F.struct((-F.col("total")).alias("minus"), F.col("category")))
+    per_user = totals.groupBy("user_id").agg(largest.alias("top"), F.sum("total").alias("total_expenses"))
+    top = -F.col("top.minus")
+    share = top.cast("double") / F.col("total_expenses").cast("double") * 100.0
+    return per_user.select(
+        "user_id", F.col("top.category").alias("top_category"), top.alias("top_total"), "total_expenses", share.alias("top_percent")
     )
 
 

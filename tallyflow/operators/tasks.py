@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.literals import literal_rows
-from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats, ordered_chunks, running_offsets
+from tallyflow.operators.skew import running_offsets
 
 
 def known_agent(agent: Column) -> Column:
@@ -39,12 +37,11 @@ def task_status(tasks: DataFrame) -> DataFrame:
 
 
 def task_listing(tasks: DataFrame, result_schema: str, user_id: int | None = None) -> DataFrame:
-    """Tasks newest first with the parsed result, of one owner or of all."""
+    """Tasks with the parsed result and their `position` in their owner's list, newest first; of one owner or of all."""
     if user_id is not None:
         tasks = tasks.filter(F.col("user_id") == user_id)
-    return tasks.withColumn("parsed", F.from_json("result", result_schema)).orderBy(
-        F.col("ts").desc(), F.col("task_id").desc()
-    )
+    newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("task_id").desc())
+    return tasks.withColumn("parsed", F.from_json("result", result_schema)).withColumn("position", F.row_number().over(newest))
 
 
 def owned_tasks(tasks: DataFrame, requests: DataFrame) -> DataFrame:
@@ -52,20 +49,31 @@ def owned_tasks(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     return tasks.join(requests.select("task_id", "user_id").distinct(), ["task_id", "user_id"], "left_semi")
 
 
-def latest_tasks(changes: DataFrame) -> DataFrame:
+def latest_tasks(changes: DataFrame, fields: tuple[str, ...] = ("status", "result")) -> DataFrame:
     """Current state of a change log with `op` update, rerun or delete.
 
-    The last change of an id wins; a deleted task is gone; a rerun is pending again and has no result. The
-    rank filter limits every id to one row before the shuffle as well as after it.
+    An update sets the fields it names and leaves those that are NULL in it as they were; a rerun sets a task back to pending
+    without result and without time of completion; a deleted task is gone. So each field is the last one named since the
+    last rerun or delete. One aggregate; nothing is sorted.
     """
-    newest = Window.partitionBy("task_id").orderBy(F.col("updated_at").desc(), F.col("change_id").desc())
-    last = changes.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    place = F.struct("updated_at", "change_id")
     rerun = F.col("op") == "rerun"
-    return last.filter("op <> 'delete'").withColumns(
-        {
-            "status": F.when(rerun, "pending").otherwise(F.col("status")),
-            "result": F.when(~rerun, F.col("result")),
-        }
+    reset = F.col("op") != "update"
+    columns = [f.name for f in changes.schema.fields if f.name not in ("task_id", "op", "updated_at", "change_id", *fields)]
+    named = [F.max(F.when(F.col(f).isNotNull() & ~reset, F.struct(place.alias("at"), F.col(f).alias("value")))).alias(f) for f in (*fields, *columns)]
+    last = changes.groupBy("task_id").agg(
+        F.max(F.struct(place.alias("at"), F.col("op"))).alias("_last"), F.max(F.when(reset, F.struct(place.alias("at"), rerun.alias("rerun")))).alias("_reset"), *named
+    )
+    cleared = {"status", "result", "completed_at"}
+
+    def value(name: str) -> Column:
+        named_since = F.col("_reset").isNull() | (F.col(f"{name}.at") > F.col("_reset.at"))
+        kept = F.when(named_since, F.col(f"{name}.value")) if name in cleared else F.col(f"{name}.value")
+        return F.coalesce(kept, F.when(F.col("_reset.rerun"), "pending")).alias(name) if name == "status" else kept.alias(name)
+
+    return last.filter("_last.op <> 'delete'").select(
+        "task_id", F.col("_last.at.change_id").alias("change_id"), F.col("_last.at.updated_at").alias("updated_at"), F.col("_last.op").alias("op"),
+        *[value(f) for f in (*fields, *columns)],
     )
 
 
@@ -87,16 +95,15 @@ def agent_performance(tasks: DataFrame) -> DataFrame:
     )
 
 
-def running_performance(tasks: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def running_performance(tasks: DataFrame, chunk_by: str = "day") -> DataFrame:
     """After every task: the agent's task count and success rate so far.
 
-    There are four agents, so each holds a large part of all rows. The log is cut into chunks of time order; a
+    There are four agents, so each holds a large part of all rows. The log is cut by calendar (`chunk_by`: day, hour, ...); a
     running sum within a chunk starts from the totals of the agent's earlier chunks.
     """
     log = routed(tasks).filter("valid").select("agent_type", "ts", "task_id", "success")
-    n_chunks = math.ceil(log.count() / split_rows)
     order = [F.col("ts"), F.col("task_id")]
-    chunked = ordered_chunks(log, "agent_type", order, n_chunks)
+    chunked = log.withColumn("chunk", F.date_trunc(chunk_by, "ts"))
     offsets = running_offsets(
         chunked, "agent_type", {"_n": F.count("*"), "_ok": F.count_if(F.col("success"))}
     )
@@ -130,27 +137,17 @@ def collaboration_outcomes(steps: DataFrame, runs: DataFrame | None = None) -> D
     )
 
 
-def _stopping_points(steps: DataFrame) -> DataFrame:
-    """Per workflow: its size and the first step with an unknown agent, which ends the run."""
-    stop = F.when(~known_agent(F.col("agent_type")), F.col("step"))
-    return steps.groupBy("workflow_id").agg(F.count("*").alias("n_steps"), F.min(stop).alias("stop_step"))
-
-
-def steps_with_outcome(steps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Steps with the size and stopping point of their workflow; `step` counts from 0."""
-    return attach_group_stats(steps, _stopping_points(steps), ["workflow_id"], "n_steps", ["step"], split_rows)
-
-
-def workflow_progress(steps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def workflow_progress(steps: DataFrame) -> DataFrame:
     """Steps done, failed tasks among them, next agent and status.
 
     Only an unknown agent fails a workflow, at the step that names it. A step without success is a failed task
-    and the run goes on.
+    and the run goes on. The stop is the least such step of the workflow's window; the aggregate shares its shuffle.
     """
+    stop = F.min(F.when(~known_agent(F.col("agent_type")), F.col("step"))).over(Window.partitionBy("workflow_id"))
     stopped = F.col("stop_step").isNotNull()
     done = ~stopped | (F.col("step") < F.col("stop_step"))
     at_stop = F.col("step") == F.col("stop_step")
-    return steps_with_outcome(steps, split_rows).groupBy("workflow_id").agg(
+    return steps.withColumn("stop_step", stop).groupBy("workflow_id").agg(
         F.count_if(done).alias("current_step"),
         F.count_if(done & ~F.col("success")).alias("n_failed_tasks"),
         F.max(F.when(at_stop, F.col("agent_type"))).alias("next_agent"),
@@ -167,13 +164,15 @@ def next_steps(workflows: DataFrame) -> DataFrame:
     )
 
 
-def previous_results(steps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Results available to the step a workflow has reached: those of its earlier steps, in order, not NULL."""
-    done = F.col("stop_step").isNull() | (F.col("step") < F.col("stop_step"))
-    return (
-        steps_with_outcome(steps, split_rows)
-        .filter(done & F.col("result").isNotNull())
-        .select("workflow_id", "step", "agent_type", "result")
+def previous_results(steps: DataFrame) -> DataFrame:
+    """Results available to the step a workflow has reached: those of its earlier steps, in order, not NULL.
+
+    A running flag along the steps tells what lies before the first unknown agent.
+    """
+    so_far = Window.partitionBy("workflow_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = F.bool_and(known_agent(F.col("agent_type"))).over(so_far)
+    return steps.withColumn("_open", open_).filter(F.col("_open") & F.col("result").isNotNull()).select(
+        "workflow_id", "step", "agent_type", "result"
     )
 
 

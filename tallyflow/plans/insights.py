@@ -43,21 +43,30 @@ def insight_inputs(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame
     return per_user.join(recent_and_unusual(ledger, split_rows), "user_id", "left")
 
 
-def _insight(rank: int, kind: str, priority: Column | str, value: Column, subject: Column | None = None) -> Column:
+def _insight(rank: int, kind: str, priority: Column | str, value: Column, subject: Column | None = None, amount: Column | None = None, count: Column | None = None) -> Column:
+    metrics = F.struct(
+        (amount if amount is not None else F.lit(None)).cast("double").alias("amount"), (count if count is not None else F.lit(None)).cast("bigint").alias("count")
+    )
     return F.struct(
         F.lit(rank).alias("rank"),
         F.lit(kind).alias("insight_type"),
         (priority if isinstance(priority, Column) else F.lit(priority)).alias("priority"),
         value.cast("double").alias("value"),
         (subject if subject is not None else F.lit(None).cast("string")).alias("subject"),
+        metrics.alias("metrics"),
     )
 
 
 def insight_feed(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """user_id, rank, insight_type, priority, value, subject. Below three rows only a welcome.
+    """user_id, rank, insight_type, priority, value, subject, metrics. Below three rows only a welcome.
 
-    `value` is the number behind the insight: a share, rate, change or mean, or the largest unusual amount.
+    `value` is the number behind the insight: a share, rate, change or mean, or the largest unusual amount; `metrics` are the other
+    numbers that its sentence needs.
     """
+    return _insights_of(insight_inputs(ledger, split_rows))
+
+
+def _insights_of(inputs: DataFrame) -> DataFrame:
     spent = F.col("total_expenses").cast("double")
     share = F.when(spent != 0, -F.col("top.minus").cast("double") / spent * 100.0)
     income = F.col("total_income").cast("double")
@@ -70,32 +79,33 @@ def insight_feed(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     kinds = present(
         F.when(
             share > 30,
-            _insight(1, "spending_pattern", F.when(share > 50, "high").otherwise("medium"), share, F.col("top.category")),
+            _insight(1, "spending_pattern", F.when(share > 50, "high").otherwise("medium"), share, F.col("top.category"), -F.col("top.minus")),
         ),
         F.when(both & (savings < 10), _insight(2, "savings_alert", "high", savings)),
         F.when(both & (savings >= 20), _insight(2, "savings_success", "low", savings)),
         F.when(compared & (F.abs(change) > 20), _insight(3, "trend_alert", "medium", change)),
         F.when(
             F.col("n_unusual") > 0,
-            _insight(4, "anomaly_detection", "medium", F.col("largest_unusual"), F.col("unusual_category")),
+            _insight(4, "anomaly_detection", "medium", F.col("largest_unusual"), F.col("unusual_category"), count=F.col("n_unusual")),
         ),
         F.when(F.col("tip").isNotNull(), _insight(5, "recommendation", "low", F.col("tip.mean"), F.col("tip.category"))),
     )
     welcome = F.array(_insight(0, "welcome", "low", F.lit(None)))
     chosen = F.when(F.col("n_rows") < MIN_ROWS, welcome).otherwise(kinds)
-    return insight_inputs(ledger, split_rows).select("user_id", F.inline(chosen))
+    return inputs.select("user_id", F.inline(chosen))
 
 
 def insight_text(feed: DataFrame) -> DataFrame:
     """Add `content`, the sentence shown. For display only: it rounds half up."""
     kind, value, subject = F.col("insight_type"), F.col("value"), F.col("subject")
+    amount, count = F.col("metrics.amount"), F.col("metrics.count")
     content = (
         F.when(kind == "welcome", "Add transactions to see insights about your spending, savings and financial health.")
-        .when(kind == "spending_pattern", F.format_string("%s takes %.1f%% of your expenses.", subject, value))
+        .when(kind == "spending_pattern", F.format_string("%s takes %.1f%% of your expenses, %.2f in all.", subject, value, amount))
         .when(kind == "savings_alert", F.format_string("You save %.1f%% of your income; aim for 20%%.", value))
         .when(kind == "savings_success", F.format_string("You save %.1f%% of your income. Well done.", value))
         .when(kind == "trend_alert", F.format_string("Spending changed by %+.1f%% against the 30 days before.", value))
-        .when(kind == "anomaly_detection", F.format_string("Unusually large: %.2f in %s.", value, subject))
+        .when(kind == "anomaly_detection", F.format_string("%d unusually large, the largest %.2f in %s.", count, value, subject))
         .when(kind == "recommendation", F.format_string("%s averages %.2f a time; set a limit.", subject, value))
     )
     return feed.withColumn("content", content)
@@ -107,9 +117,10 @@ def latest_insights(insights: DataFrame, k: int = 20) -> DataFrame:
 
 
 def missing_insights(ledger: DataFrame, users: DataFrame, insights: DataFrame) -> DataFrame:
-    """Insights for the users that have none yet. Users without any transaction get the welcome."""
+    """Insights for the users that have none yet. Users without any transaction get the welcome.
+
+    The per-user numbers are small, so users are chosen among them and not in the ledger; idle users come out of the same join.
+    """
     lacking = users.select("user_id").distinct().join(insights.select("user_id").distinct(), "user_id", "left_anti")
-    made = insight_feed(ledger.join(lacking, "user_id", "left_semi"))
-    idle = lacking.join(ledger.select("user_id").distinct(), "user_id", "left_anti")
-    welcome = _insight(0, "welcome", "low", F.lit(None))
-    return made.unionByName(idle.select("user_id", F.inline(F.array(welcome))))
+    inputs = lacking.join(insight_inputs(ledger), "user_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return _insights_of(inputs)

@@ -1,43 +1,89 @@
-"""The comprehensive report: spending, income, health, recommendations, predictions and risks per user."""
+"""The comprehensive report: spending, income, health, recommendations, predictions and risks per user.
+
+Two passes over the ledger: one aggregate by several sets of keys at once (category, month, day, month of the year) feeds every
+number of a user; outlying rows take a second pass, joined to the few groups that can hold any.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.functions import scoring
-from tallyflow.functions.money import MONEY, is_expense, is_income, mean_of, month_of, ratio
+from tallyflow.functions import fixed_values as fv
+from tallyflow.functions import moments, scoring
+from tallyflow.functions.money import MONEY, is_expense, is_income, mean_of, ratio
 from tallyflow.functions.trend import line_sums, slope, value_at
 from tallyflow.operators.anomaly import category_outliers
 from tallyflow.operators.health import with_profile, with_rates
-from tallyflow.operators.skew import SPLIT_ROWS
-
-
-def _month_numbers(ledger: DataFrame) -> DataFrame:
-    """Per user: totals, monthly statistics and trend lines of income and expenses, from one monthly aggregate."""
-    by_month = Window.partitionBy("user_id", "txn_type").orderBy("month")
-    monthly = (
-        ledger.groupBy("user_id", "txn_type", month_of().alias("month"))
-        .agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-        .repartition("user_id")
-        .withColumn("x", F.row_number().over(by_month) - 1)
-        .withColumn("y", F.col("total").cast("double"))
+from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats
+
+KEYS = ("category", "month", "day", "season")
+
+
+def _cells(ledger: DataFrame) -> DataFrame:
+    """Sums by user, type and each of KEYS in turn; the other keys are NULL. `by` names the key.
+
+    Laid out by user, so that what follows needs no more shuffles.
+    """
+    n, s, q = moments.sums(F.col("amount"))
+    rows = ledger.select(
+        "user_id", "txn_type", "category", "amount", F.date_trunc("month", "ts").alias("month"), F.to_date("ts").alias("day"), F.month("ts").alias("season")
     )
+    sets = rows.groupingSets([["user_id", "txn_type", k] for k in KEYS], "user_id", "txn_type", *KEYS)
+    mark = F.coalesce(*[F.when(F.grouping(k) == 0, k) for k in KEYS])
+    cells = sets.agg(n.alias("n"), s.alias("total"), q.alias("q"), F.max("amount").alias("largest"), mark.alias("by")).repartition("user_id")
+    in_order = Window.partitionBy("user_id", "txn_type", "by").orderBy("month")
+    x = F.when(F.col("by") == "month", F.row_number().over(in_order) - 1)
+    return cells.withColumn("x", x).withColumn("y", F.col("total").cast("double"))
+
+
+def _entries(where: Column, key: Column | str, value: Column | str) -> Column:
+    """Map of the cells that a condition chooses, in order of the key."""
+    return F.map_from_entries(F.array_sort(F.collect_list(F.when(where, F.struct(key, value)))))
+
+
+def _numbers(cells: DataFrame) -> DataFrame:
+    """Per user: totals, monthly statistics, trend lines, maps and daily totals."""
     zero = F.lit(0).cast(MONEY)
+    by = {k: F.col("by") == k for k in KEYS}
 
-    def of(kind: Column, prefix: str) -> list[Column]:
-        x, total, y = (F.when(kind, F.col(c)) for c in ("x", "total", "y"))
+    def monthly(kind: Column, prefix: str) -> list[Column]:
+        chosen = kind & by["month"]
+        x, total, y, n_rows = (F.when(chosen, F.col(c)) for c in ("x", "total", "y", "n"))
         n, sy, sxy = line_sums(x, total)
         return [
             F.coalesce(sy, zero).alias(f"total_{prefix}"),
-            F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)).alias(f"n_{prefix}"),
+            F.coalesce(F.sum(n_rows), F.lit(0)).alias(f"n_{prefix}"),
             n.alias(f"{prefix}_months"),
             sxy.alias(f"{prefix}_sxy"),
             mean_of(total).alias(f"{prefix}_mean"),
             F.stddev_samp(y).alias(f"{prefix}_sd"),
+            F.min(y).alias(f"{prefix}_low"),
+            F.max(y).alias(f"{prefix}_high"),
+            F.regr_r2(y, x).alias(f"{prefix}_r2"),
         ]
 
-    per_user = monthly.groupBy("user_id").agg(*of(is_income(), "income"), *of(is_expense(), "expenses"))
+    spent, earned = is_expense() & by["category"], is_income() & by["category"]
+    mean = F.col("total").cast("double") / F.col("n")
+    season = F.when(is_income() & by["season"], mean)
+    day = F.when(is_expense() & by["day"], F.col("y"))
+    named = F.date_format("month", "yyyy-MM").alias("month")
+    analysis = F.struct(F.col("total").alias("sum"), F.col("n").alias("count"), mean.alias("mean"))
+    per_user = cells.groupBy("user_id").agg(
+        *monthly(is_income(), "income"),
+        *monthly(is_expense(), "expenses"),
+        F.count_if(spent).alias("n_categories"),
+        F.min(F.when(spent, F.struct((-F.col("total")).alias("minus"), F.col("category")))).alias("top"),
+        _entries(spent, "category", analysis.alias("analysis")).alias("category_analysis"),
+        _entries(earned, "category", "total").alias("income_sources"),
+        _entries(is_expense() & by["month"], named, "total").alias("monthly_trends"),
+        F.percentile(day, F.lit(0.9)).alias("day_threshold"),
+        F.collect_list(day).alias("days"),
+        F.count(season).alias("seasons"),
+        ratio(F.stddev_samp(season), F.avg(season)).alias("season_cv"),
+        F.array_sort(F.collect_list(F.when(season.isNotNull(), F.struct((-mean).alias("key"), F.col("season"))))).alias("high_first"),
+        F.array_sort(F.collect_list(F.when(season.isNotNull(), F.struct(mean.alias("key"), F.col("season"))))).alias("low_first"),
+    )
     volatility = F.when(F.col("income_months") >= 2, ratio(F.col("income_sd"), F.col("income_mean"))).otherwise(0.0)
     return with_rates(per_user).withColumn("volatility", volatility)
 
@@ -46,33 +92,103 @@ def _line(prefix: str) -> tuple[Column, Column, Column]:
     return F.col(f"{prefix}_months"), F.col(f"total_{prefix}"), F.col(f"{prefix}_sxy")
 
 
-def _next_month(prefix: str) -> Column:
-    """First of the three predicted values; it lies one month further than the month after the last."""
+def _enough(prefix: str, value: Column) -> Column:
+    """NULL below three months."""
+    return F.when(F.col(f"{prefix}_months") >= 3, value)
+
+
+def _next_months(prefix: str) -> Column:
+    """The three predicted values; the first lies one month further than the month after the last."""
     n, sy, sxy = _line(prefix)
-    return F.when(n >= 3, value_at(n + 1, n, sy, sxy))
+    return _enough(prefix, F.array(*[value_at(n + k, n, sy, sxy) for k in (1, 2, 3)]))
 
 
 def _direction(prefix: str, flat: str) -> Column:
     rise = slope(*_line(prefix))
     text = F.when(rise > 0, "increasing").when(rise < 0, "decreasing").otherwise(flat)
-    return F.when(F.col(f"{prefix}_months") >= 3, text).otherwise("insufficient_data")
+    return F.coalesce(_enough(prefix, text), F.lit("insufficient_data"))
 
 
-def _category_numbers(ledger: DataFrame) -> DataFrame:
-    """Per user with expenses: the largest category (ties by name) and the number of categories."""
-    cells = ledger.filter(is_expense()).groupBy("user_id", "category").agg(F.sum("amount").alias("total"))
-    return cells.groupBy("user_id").agg(
-        F.count("*").alias("n_categories"),
-        F.min(F.struct((-F.col("total")).alias("minus"), "category"))["category"].alias("top_category"),
+def _fit(prefix: str) -> Column:
+    """A constant series has r squared 1."""
+    return _enough(prefix, F.coalesce(f"{prefix}_r2", F.lit(1.0)))
+
+
+def _spending() -> Column:
+    """Spending patterns; insights are the concentration of spending and the days above the user's 90th percentile."""
+    share = -F.col("top.minus").cast("double") / F.col("total_expenses").cast("double") * 100.0
+    high_days = F.size(F.filter("days", lambda v: v > F.col("day_threshold")))
+    insights = F.filter(
+        F.array(
+            F.when(share > 40, F.struct(F.lit("concentration_risk").alias("insight"), F.col("top.category").alias("subject"), share.alias("value"))),
+            F.when(high_days > 0, F.struct(F.lit("high_spending_days").alias("insight"), F.lit(None).cast("string").alias("subject"), high_days.cast("double").alias("value"))),
+        ),
+        lambda i: i.isNotNull(),
+    )
+    return F.struct(
+        "total_expenses", "expenses_months", "n_categories", F.col("top.category").alias("top_category"),
+        F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"), F.coalesce("n_high_anomalies", F.lit(0)).alias("n_high_anomalies"),
+        "category_analysis", "monthly_trends", insights.alias("insights"),
+    )
+
+
+def _income() -> Column:
+    seasonal = (F.col("seasons") >= 3) & (F.col("season_cv") > 0.3)
+    three = lambda name: F.when(seasonal, F.transform(F.slice(name, 1, 3), lambda e: e["season"]))
+    confidence = F.when(F.col("income_months") >= 6, "medium").otherwise("low")
+    return F.struct(
+        "total_income",
+        "income_months",
+        F.coalesce(_enough("income", F.greatest(F.lit(0.0), 1.0 - F.col("volatility"))), F.lit(0.5)).alias("stability_score"),
+        F.coalesce(_enough("income", F.col("volatility")), F.lit(0.0)).alias("volatility"),
+        _direction("income", "stable").alias("trend"),
+        _enough("income", F.col("income_mean")).alias("average_income"),
+        _enough("income", F.col("income_low")).alias("min_income"),
+        _enough("income", F.col("income_high")).alias("max_income"),
+        "income_sources",
+        F.coalesce(seasonal, F.lit(False)).alias("seasonality_detected"),
+        F.when(seasonal, F.col("season_cv")).alias("variation_coefficient"),
+        three("high_first").alias("peak_months"),
+        three("low_first").alias("low_months"),
+        F.when(F.col("income_months") >= 3, "available").otherwise("insufficient_data").alias("projection"),
+        _next_months("income").alias("next_3_months"),
+        _enough("income", slope(*_line("income"))).alias("trend_slope"),
+        _enough("income", confidence).alias("confidence"),
     )
 
 
+def _mitigation(risks: Column) -> Column:
+    """Strategy, timeline and priority for each risk, from the fixed table."""
+    names = ("risk", "strategy", "timeline", "priority")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in fv.MITIGATIONS])
+    return F.flatten(F.transform(risks, lambda r: F.filter(table, lambda t: t["risk"] == r["risk"])))
+
+
+def report_anomalies(ledger: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The list behind the report's number of anomalies: a row for each, as a user may have very many."""
+    return category_outliers(ledger, split_rows=split_rows)
+
+
+def _anomalies(ledger: DataFrame, cells: DataFrame, split_rows: int) -> DataFrame:
+    """Outlying expenses per user, all and those of high severity, with the statistics taken from the cells."""
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    stats = cells.filter((F.col("by") == "category") & is_expense()).select("user_id", "category", "n", F.col("total").alias("s"), "q", "largest")
+    stats = stats.filter((n >= 3) & moments.above(F.col("largest"), 3.0, n, s, q)).drop("largest")
+    rows = ledger.filter(is_expense()).select("user_id", "category", "txn_id", "amount")
+    joined = attach_group_stats(rows, stats, ["user_id", "category"], "n", ["txn_id"], split_rows, "inner")
+    severe = moments.above(F.col("amount"), 4.0, n, s, q)
+    odd = joined.filter(moments.above(F.col("amount"), 3.0, n, s, q))
+    return odd.groupBy("user_id").agg(F.count("*").alias("n_anomalies"), F.count_if(severe).alias("n_high_anomalies"))
+
+
 def comprehensive_report(ledger: DataFrame, profiles: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """One row per user with transactions, in struct columns; the parts meet on the user after aggregation."""
-    outliers = category_outliers(ledger, split_rows=split_rows).groupBy("user_id").agg(F.count("*").alias("n_anomalies"))
-    numbers = with_profile(_month_numbers(ledger), profiles)
-    wide = numbers.join(_category_numbers(ledger), "user_id", "left").join(outliers, "user_id", "left")
+    """One row per user with transactions, in struct columns; the parts meet on the user after aggregation.
 
+    Maps and arrays of a user are bounded by its categories and the calendar; the anomalies themselves are the rows
+    of `report_anomalies`.
+    """
+    cells = _cells(ledger)
+    wide = with_profile(_numbers(cells), profiles).join(_anomalies(ledger, cells, split_rows), "user_id", "left")
     savings, expense_ratio, volatility = F.col("savings_rate"), F.col("expense_ratio"), F.col("volatility")
     employment = F.col("employment_type")
     risks = scoring.assessed_risks(
@@ -80,19 +196,10 @@ def comprehensive_report(ledger: DataFrame, profiles: DataFrame, split_rows: int
         F.col("n_expenses"), volatility, employment,
     )
     wide = wide.withColumn("risks", risks)
-    enough = F.col("income_months") >= 3
     return wide.select(
         "user_id",
-        F.struct(
-            "total_expenses", "expenses_months", "n_categories", "top_category",
-            F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"),
-        ).alias("spending"),
-        F.struct(
-            "total_income",
-            "income_months",
-            F.when(enough, F.greatest(F.lit(0.0), 1.0 - volatility)).otherwise(0.5).alias("stability_score"),
-            _direction("income", "stable").alias("trend"),
-        ).alias("income"),
+        _spending().alias("spending"),
+        _income().alias("income"),
         F.struct(
             scoring.health_score(savings, expense_ratio, volatility, employment).alias("health_score"),
             savings.alias("savings_rate"),
@@ -102,12 +209,16 @@ def comprehensive_report(ledger: DataFrame, profiles: DataFrame, split_rows: int
         ).alias("health"),
         scoring.recommendations(savings, employment).alias("recommendations"),
         F.struct(
-            _next_month("income").alias("next_income"),
+            _next_months("income")[0].alias("next_income"),
             _direction("income", "decreasing").alias("income_trend"),
-            _next_month("expenses").alias("next_expenses"),
+            _next_months("expenses")[0].alias("next_expenses"),
             _direction("expenses", "decreasing").alias("expenses_trend"),
+            _next_months("income").alias("income"),
+            _fit("income").alias("income_r_squared"),
+            _next_months("expenses").alias("expenses"),
+            _fit("expenses").alias("expenses_r_squared"),
         ).alias("predictions"),
-        F.struct("risks", scoring.overall_risk(F.col("risks")).alias("overall_risk_level")).alias("risk"),
+        F.struct("risks", scoring.overall_risk(F.col("risks")).alias("overall_risk_level"), _mitigation(F.col("risks")).alias("mitigation")).alias("risk"),
     )
 
 

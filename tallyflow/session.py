@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,24 +29,26 @@ def build_session(app_name: str = "tallyflow", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a local
-    folder made, one per application.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, a local master takes a folder below the
+    warehouse; on any other master executors would write to their own disks, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tallyflow-")
-    return _LOCAL_ROOTS[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyflow-shared"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, for tables written between jobs and for stream checkpoints."""
     return f"{shared_root(spark)}/tallyflow/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table below the shared folder that is no longer read."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 INSIGHT_BUCKETS = 256
 
@@ -17,19 +18,30 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     with_month.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
+def ledger_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been appended yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def read_ledger(
     spark: SparkSession,
     path: str,
-    user_id: int | None = None,
+    users: DataFrame | None = None,
     txn_type: str | None = None,
     months: tuple[str, str] | None = None,
+    schema: StructType | None = None,
 ) -> DataFrame:
-    """The ledger, optionally of one user, one type or an inclusive range of months (partition pruning)."""
-    rows = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    """The ledger, optionally of some users, of one type or of an inclusive range of months (partition pruning).
+
+    With a schema no file is opened to infer one.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(path).withColumn("month", F.col("month").cast("string"))
     if months:
         rows = rows.filter(F.col("month").between(*months))
-    if user_id is not None:
-        rows = rows.filter(F.col("user_id") == user_id)
+    if users is not None:
+        rows = rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
     if txn_type:
         rows = rows.filter(F.col("txn_type") == txn_type)
     return rows

@@ -74,6 +74,7 @@ def events_as_ledger(events: DataFrame) -> DataFrame:
         "user_id",
         to_money(F.col("value")).alias("amount"),
         F.col("event_type").alias("category"),
+        F.concat_ws(" #", "event_type", F.col("event_id").cast("string")).alias("description"),
         F.lit("expense").alias("txn_type"),
         "ts",
     )
@@ -89,6 +90,13 @@ def events_as_mixed_ledger(events: DataFrame) -> DataFrame:
     return events_as_ledger(events).withColumn("txn_type", kind)
 
 
+def stretched(events: DataFrame, times: int = 20) -> DataFrame:
+    """Events whose distance from the start of 2024 is multiplied, so that a month of them fills some years."""
+    start = "TIMESTAMP_NTZ '2024-01-01'"
+    later = F.expr(f"timestampadd(MICROSECOND, {times} * timestampdiff(MICROSECOND, {start}, CAST(ts AS TIMESTAMP_NTZ)), {start})")
+    return events.withColumn("ts", later)
+
+
 # Household names for the part types and order priorities of the test tables.
 HOUSEHOLD_NAMES = {
     "STANDARD": "Groceries", "ECONOMY": "Dining", "MEDIUM": "Loan", "PROMO": "Shopping", "SMALL": "Stocks",
@@ -196,6 +204,7 @@ def events_as_tasks(events: DataFrame) -> DataFrame:
         ok.alias("success"),
         "ts",
         F.col("props").alias("result"),
+        "value",
     )
 
 

@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.sources.feed import new_rows, normalise_feed
-from tallyflow.sources.ledger import append_ledger, read_ledger
+from tallyflow.sources.ledger import append_ledger, ledger_exists, read_ledger
 
 
 def import_batch(feed: DataFrame, ledger_path: str) -> None:
     """Append the rows of one feed batch that the ledger lacks. Running it again adds nothing.
 
     Only the months of the batch are read from the ledger. There are at most a few thousand months, hence the
-    broadcast, which prunes the ledger's partitions at run time.
+    broadcast, which prunes the ledger's partitions at run time. The batch is evaluated once.
     """
     spark = feed.sparkSession
-    rows = normalise_feed(feed).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    months = rows.select("month").distinct()
+    rows = normalise_feed(feed).withColumn("month", F.date_format("ts", "yyyy-MM")).persist()
     try:
-        stored = read_ledger(spark, ledger_path)
-    except Exception as error:  # the ledger does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        stored = rows.limit(0)
-    stored = stored.join(F.broadcast(months), "month", "left_semi")
-    append_ledger(new_rows(rows, stored).drop("seq", "month"), ledger_path)
+        if ledger_exists(spark, ledger_path):
+            stored = read_ledger(spark, ledger_path, schema=rows.drop("seq").schema)
+            stored = stored.join(F.broadcast(rows.select("month").distinct()), "month", "left_semi")
+        else:
+            stored = rows.filter(F.lit(False))
+        fresh = new_rows(rows, stored)
+        append_ledger(fresh.drop("seq", "month"), ledger_path)
+    finally:
+        rows.unpersist()
 
 
 def start_feed_import(feed: DataFrame, ledger_path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.functions.money import is_expense
 from tallyflow.operators.tasks import routed
+from tallyflow.streaming.keyed import read_keyed, write_keyed
 
 
 def running_month_totals(ledger: DataFrame, lateness: str | None = None) -> DataFrame:
@@ -33,18 +34,14 @@ def running_agent_totals(tasks: DataFrame) -> DataFrame:
     )
 
 
-def start_latest(totals: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write every batch of changed totals, tagged with its batch number; see `read_latest`.
+def start_latest(totals: DataFrame, path: str, checkpoint: str, keys: list[str], **trigger) -> StreamingQuery:
+    """Keep the last value of every key in a table that is compacted now and then; see `read_latest`.
 
-    Files of one batch are overwritten when the batch is run again after a failure.
+    What a batch wrote is overwritten when it is run again after a failure.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
     return (
         totals.writeStream.outputMode("update")
-        .foreachBatch(write)
+        .foreachBatch(lambda batch, batch_id: write_keyed(batch, path, keys, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -53,6 +50,4 @@ def start_latest(totals: DataFrame, path: str, checkpoint: str, **trigger) -> St
 
 def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
     """The last written value of every key."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
+    return read_keyed(spark, path, keys)

@@ -72,9 +72,59 @@ def test_normalise(normalised):
     assert good["Day first"]["ts"] == dt.datetime(2024, 1, 13)
 
 
-def test_row_errors_are_numbered_and_limited(normalised):
-    assert [(r["row"], r["error"][:7]) for r in statement.row_errors(normalised).collect()] == [(4, "no date"), (5, "could n"), (6, "could n")]
-    assert statement.row_errors(normalised, limit=1).count() == 1
+def test_row_errors_are_numbered(normalised):
+    assert sorted((r["row"], r["error"][:7]) for r in statement.row_errors(normalised).collect()) == [(4, "no date"), (5, "could n"), (6, "could n")]
+
+
+def test_row_errors_of_every_file_are_complete(spark, tmp_path):
+    """Files of several blocks, each with more errors than a screen holds."""
+    columns = ["Date", "Description", "Amount"]
+    want = set()
+    for f in range(3):
+        lines = []
+        for i in range(400):
+            bad = i % 17 == f
+            lines.append(f"01/05/2024,row {i} of file {f} with some more text,{'bad' if bad else '1.00'}")
+            if bad:
+                want.add((f"{f}.csv", i + 1))
+        (tmp_path / f"{f}.csv").write_text("\n".join([",".join(columns), *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        raw = statement.read_statements(spark, str(tmp_path), columns)
+        assert raw.select("file", "block").distinct().count() > 9
+        found = statement.row_errors(statement.normalise(raw, statement.default_mapping(columns), "2030-01-01")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r["file"].rsplit("/")[-1], r["row"]) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("05/01/2024 10:30 PM", "2024-05-01 22:30:00"), ("05/01/2024 12:05 am", "2024-05-01 00:05:00"), ("05/01/2024 12:00 p.m.", "2024-05-01 12:00:00"),
+    ("05/01/99", "1999-05-01 00:00:00"), ("05/01/68", "2068-05-01 00:00:00"), ("05/01/69", "1969-05-01 00:00:00"), ("2024-Jan-05", "2024-01-05 00:00:00"),
+    ("Jan 05 2024 3:04 PM", "2024-01-05 15:04:00"), ("5 January 2024", "2024-01-05 00:00:00"), ("05-Jan-24", "2024-01-05 00:00:00"), ("Sept. 3, 2023", "2023-09-03 00:00:00"),
+    ("20240105", "2024-01-05 00:00:00"), ("2024/01/05 07:08:09", "2024-01-05 07:08:09"), ("2024-01-05T07:08:09", "2024-01-05 07:08:09"), ("31.12.2023", "2023-12-31 00:00:00"),
+    ("13/45/2024", None), ("30/02/2024", None), ("05/01/2024 13:00 PM", None), ("05/01/2024 25:00", None), ("soon", None), ("", None), ("Foo 5 2024", None), ("2024-13-01", None),
+])
+def test_dates(spark, text, want):
+    row = statement.with_date(spark.createDataFrame([(text,)], "t string").withColumn("t", F.col("t")), F.col("t"), "d").first()
+    assert row["d"] == (dt.datetime.fromisoformat(want) if want else None)
+
+
+def test_headers_of_banks():
+    assert statement.default_mapping(["Posting Date", "Merchant", "Debit", "Credit", "Balance"]) == {"date": "Posting Date", "description": "Merchant", "debit": "Debit", "credit": "Credit"}
+    assert statement.default_mapping(["Date", "Payee", "Amount", "Credit"]) == {"date": "Date", "description": "Payee", "amount": "Amount"}
+    assert statement.default_mapping(["Value date", "Particulars", "Withdrawal Amount", "Deposit Amount"]) == {"date": "Value date", "description": "Particulars", "debit": "Withdrawal Amount", "credit": "Deposit Amount"}
+
+
+def test_debit_and_credit(spark):
+    rows = [("5.00", None), ("-5", " "), (None, "7"), ("", ""), ("2", "3"), ("x", None), ("x", "1")]
+    raw = spark.createDataFrame(rows, "Debit string, Credit string").withColumn("Date", F.lit("2024-01-01")).withColumn("Merchant", F.lit("Shop"))
+    out = statement.normalise(raw, statement.default_mapping(raw.columns), "2030-01-01").collect()
+    got = [(r["txn_type"], None if r["amount"] is None else float(r["amount"]), r["error"]) for r in out]
+    assert got[:3] == [("expense", 5.0, None), ("expense", 5.0, None), ("income", 7.0, None)] and got[4] == ("income", 1.0, None)
+    assert [g[2].split(": ")[1] for g in got if g[2]] == [repr(""), repr("x"), repr("x 1")]
 
 
 def test_import_summary(normalised):
@@ -92,7 +142,7 @@ def test_type_column_beats_the_sign(spark):
 def test_statement_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Date,Description,Amount,Balance\n01/05/2024,"Rent, May",-5.00,1\n01/06/2024,"two\nlines",bad,1\n')
     (tmp_path / "b.csv").write_text("Date,Description,Amount,Balance\n01/05/2024,Salary,7,1\n")
-    raw = statement.read_statements(spark, str(tmp_path))
+    raw = statement.read_statements(spark, str(tmp_path), multi_line=True)
     out = statement.normalise(raw, statement.default_mapping(raw.columns), "2030-01-01")
     assert {r["description"] for r in statement.good_rows(out).collect()} == {"Rent, May", "Salary"}
     assert [r["row"] for r in statement.row_errors(out).collect()] == [2]
@@ -127,7 +177,8 @@ def test_import_twice_adds_nothing(spark, tmp_path):
         import_batch(batch, path)
     stored = ledger.read_ledger(spark, path)
     assert stored.count() == 4
-    assert ledger.read_ledger(spark, path, user_id=1, txn_type="income", months=("2024-01", "2024-01")).count() == 2
+    one = spark.createDataFrame([(1,)], "user_id bigint")
+    assert ledger.read_ledger(spark, path, one, txn_type="income", months=("2024-01", "2024-01")).count() == 2
 
 
 def test_ledger_month_is_a_partition(spark, tmp_path, make_ledger):
@@ -152,7 +203,9 @@ def test_replacing_insights_keeps_other_users(spark, tmp_path):
 def test_advice_lists(spark):
     texts = [('["a", "b"]',), ('{"a": 1}',), ("7",), ("- one \n* two *\n  - indented\nplain\n•three\n-\n-6\n-7",), (None,), ("",)]
     out = [r["advice"] for r in advice.with_advice_list(spark.createDataFrame(texts, "text string")).collect()]
-    assert out == [["a", "b"], list(fv.NON_LIST_ADVICE), list(fv.NON_LIST_ADVICE), ["one", "two", "three", "", "6"], list(fv.FAILED_ADVICE), []]
+    assert out == [["a", "b"], list(fv.NON_LIST_ADVICE), list(fv.NON_LIST_ADVICE), ["one", "two", "three", "", "6", "7"], list(fv.FAILED_ADVICE), []]
+    first = advice.with_advice_list(spark.createDataFrame([("- Save more\r\n*\tCut costs\n- x\n- y",)], "text string"), most=2).first()
+    assert first["advice"] == ["Save more", "Cut costs"]
 
 
 def test_recommendations_from_text_and_json(spark):

@@ -8,6 +8,7 @@ import pytest
 
 from tallyflow.session import shared_root
 from tallyflow.streaming import alerts, ingest, totals
+from tallyflow.streaming.keyed import read_keyed, write_keyed
 
 LEDGER = "txn_id bigint, user_id bigint, amount decimal(18,2), category string, txn_type string, ts timestamp_ntz"
 
@@ -65,26 +66,73 @@ def brute_force_alerts(batches):
     return found
 
 
+def run_alerts(spark, source, folder, files=1):
+    stream = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", files).parquet(source)
+    out = str(folder / "out")
+    alerts.start_alerts(stream, out, str(folder / "cp")).awaitTermination()
+    return {(r["txn_id"], r["alert"]) for r in spark.read.parquet(out).collect()}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_alerts_in_order_of_arrival(spark, tmp_path, seed):
     rows = arrivals(seed)
     batches = [rows[i : i + 80] for i in range(0, len(rows), 80)]
-    source = write_batches(spark, str(tmp_path), batches)
-    stream = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    alerts.start_alerts(alerts.transaction_alerts(stream), out, str(tmp_path / "cp")).awaitTermination()
-    got = {(r["txn_id"], r["alert"]) for r in spark.read.parquet(out).collect()}
+    got = run_alerts(spark, write_batches(spark, str(tmp_path), batches), tmp_path)
     want = brute_force_alerts(batches)
     assert got == want and {kind for _, kind in want} == {"spending_pattern", "income_alert"}
 
 
+def test_alerts_do_not_depend_on_layout(spark, tmp_path):
+    """One batch of many shuffled files, one user with over a third of the rows, whatever the size of Arrow batches."""
+    rows = arrivals(4, 600)
+    want = brute_force_alerts([rows])
+    shuffled = random.Random(1).sample(rows, len(rows))
+    for k, (size, n_files) in enumerate(((10, 12), (10_000, 12), (10, 1))):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        step = -(-len(shuffled) // n_files)
+        source = write_batches(spark, str(folder), [shuffled[i : i + step] for i in range(0, len(shuffled), step)])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            assert run_alerts(spark, source, folder, files=100) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r[1] == 0 for r in rows) > len(rows) / 3
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    rows = arrivals(5, 120)
+    frames = [spark.createDataFrame(part, LEDGER) for part in (rows[:60], rows[60:])]
+    out, state = str(tmp_path / "out"), str(tmp_path / "held")
+    for batch_id, frame in ((0, frames[0]), (1, frames[1]), (1, frames[1])):
+        alerts.alert_batch(frame, batch_id, out, state)
+    got = [(r["txn_id"], r["alert"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(brute_force_alerts([rows[:60], rows[60:]]))
+
+
+def test_keyed_table_is_compacted(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "keyed")
+    assert read_keyed(spark, path, ["k"]) is None
+    want = {}
+    for batch in range(9):
+        rows = [(k, batch * 10 + k) for k in range(batch % 4 + 1)]
+        want |= dict(rows)
+        write_keyed(spark.createDataFrame(rows, "k long, v long"), path, ["k"], batch, every=2)
+        assert {r["k"]: r["v"] for r in read_keyed(spark, path, ["k"]).collect()} == want
+    assert len(os.listdir(path)) <= 6
+    before = {r["k"]: r["v"] for r in read_keyed(spark, path, ["k"], before=8).collect()}
+    assert before == {0: 70, 1: 71, 2: 72, 3: 73}
+
+
 def test_month_totals_over_batches_and_after_restart(spark, tmp_path):
     rows = arrivals(3)
     source = write_batches(spark, str(tmp_path), [rows[:100], rows[100:]])
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     for _ in range(2):  # the second start finds nothing new
         stream = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", 1).parquet(source)
-        totals.start_latest(totals.running_month_totals(stream), out, checkpoint).awaitTermination()
+        totals.start_latest(totals.running_month_totals(stream), out, checkpoint, ["user_id", "category", "month"]).awaitTermination()
     got = {(r["user_id"], r["category"], r["month"].strftime("%Y-%m")): (r["total"], r["n"]) for r in totals.read_latest(spark, out, ["user_id", "category", "month"]).collect()}
     want = {}
     for _, user, amount, category, kind, when in rows:
@@ -103,8 +151,8 @@ def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
     source = write_batches(spark, str(tmp_path), batches, LEDGER.replace("decimal(18,2)", "int"))
     stream = spark.readStream.schema(LEDGER.replace("decimal(18,2)", "int")).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
-    totals.start_latest(totals.running_month_totals(stream, "40 days"), out, str(tmp_path / "cp")).awaitTermination()
-    got = {r["month"].strftime("%Y-%m"): r["n"] for r in totals.read_latest(spark, out, ["month"]).collect()}
+    totals.start_latest(totals.running_month_totals(stream, "40 days"), out, str(tmp_path / "cp"), ["user_id", "category", "month"]).awaitTermination()
+    got = {r["month"].strftime("%Y-%m"): r["n"] for r in totals.read_latest(spark, out, ["user_id", "category", "month"]).collect()}
     assert got == {"2024-01": 1, "2024-06": 3}
 
 
