@@ -9,7 +9,8 @@ A key is a line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z in lowe
 hashes are.
 
 Defined results: a null or empty text is one empty line; keys below ``min_chars`` code points stay; rows of the same id are one document,
-so what it holds twice in a row or in two rows counts once; rows without an id are left out; other columns are not read.
+so what it holds twice in a row or in two rows counts once; rows without an id have no bitmap and keep their text, null n_lines and
+n_dropped; other columns are kept, but for such as are called n_lines or n_dropped.
 """
 
 from __future__ import annotations
@@ -222,7 +223,7 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     left = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
     right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    joined = left.drop(text_col).join(right, ["_id", "_hash"])
+    joined = left.drop(text_col).join(right, ["_id", "_hash"], "left")
     out = joined.mapInArrow(_apply, joined.schema)
     return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 

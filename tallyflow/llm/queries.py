@@ -134,3 +134,13 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode(encode(docs, path), path)
     numbers = piece_numbers("piece_ids", byte_piece_ids(path))
     return out.select("doc_id", *numbers, F.xxhash64("piece_ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    from tallyflow.llm.toxicity import fit, fold, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")), score="score")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
