@@ -221,11 +221,14 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     """``docs`` with the kept lines as text, and n_lines and n_dropped in columns of that name (replaced if there are such)."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    left = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    # the other columns travel in one, so that their names can't clash
+    others = F.struct(*(F.col(f"`{c}`") for c in columns if c != text_col)).alias("_row")
+    left = docs.select(others, F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
     right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    joined = left.drop(text_col).join(right, ["_id", "_hash"], "left")
+    joined = left.join(right, ["_id", "_hash"], "left")
     out = joined.mapInArrow(_apply, joined.schema)
-    return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    kept = [F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns]
+    return out.select(*kept, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -84,6 +84,8 @@ def row_order(rows: np.ndarray, block: int) -> np.ndarray:
     Bytes of 0 pad short rows.
     """
     m, width = rows.shape
+    if not width:
+        return np.arange(m)
     per_row = -(-width // block)
     padded = np.zeros((m, per_row * block), np.uint8)
     padded[:, :width] = rows
@@ -97,7 +99,7 @@ def row_order(rows: np.ndarray, block: int) -> np.ndarray:
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
     """Bytes that each row shares with the one before it; 0 for the first row."""
     out = np.zeros(len(rows), np.int64)
-    if len(rows) > 1:
+    if len(rows) > 1 and rows.shape[1]:
         differ = rows[1:] != rows[:-1]
         at = differ.argmax(axis=1)
         out[1:] = np.where(differ[np.arange(len(at)), at], at, rows.shape[1])

@@ -43,7 +43,7 @@ FOLDS = 5
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„‟«»‹›]|(?<!\\w)['‘’]|['‘’](?!\\w)")
 _REPORTS = frozenset("said says called calls quote quoted quotes word words term wrote insult sagte nannte zitat wort dit appelle citation mot dijo llama cita palabra".split())
-_CACHE = 1 << 20
+_CACHE = 1 << 21
 HIT = StructType([StructField("term", StringType()), StructField("word", StringType()), StructField("place", IntegerType()), StructField("edits", IntegerType()), StructField("quoted", BooleanType())])
 _HIT = pa.struct([("term", pa.string()), ("word", pa.string()), ("place", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())])
 
@@ -64,31 +64,51 @@ class Hit:
 
 
 class Reader:
-    """Finds the hits of documents. Looked-up words are remembered, up to a bounded number."""
+    """Finds the hits of documents. Tokens are looked up once: hashes of those without hits are kept in one array, up to a bounded
+    number, and the hits of the others, which are few, by hash."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
-        self.known: dict[bytes, list[tuple[str, tuple[str, float, int]]]] = {}
+        self.clean = np.zeros(0, U)
+        self.hits: dict[int, list[tuple[str, tuple[str, float, int]]]] = {}
 
     def _look_up(self, token: bytes) -> list[tuple[str, tuple[str, float, int]]]:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= _CACHE:
-                self.known.clear()
-            words = _WORD.findall(token.decode().lower())
-            found = self.known[token] = [(w, hit) for w in words if (hit := self.lexicon.look_up(w))]
-        return found
+        return [(w, hit) for w in _WORD.findall(token.decode().lower()) if (hit := self.lexicon.look_up(w))]
+
+    def _of(self, words: Words, data: bytes, hashes: np.ndarray, pick: np.ndarray) -> dict[int, list]:
+        """Hits by number of the distinct token."""
+        if len(self.clean) + len(hashes) > _CACHE:
+            self.clean = np.zeros(0, U)
+        at = np.searchsorted(self.clean, hashes)
+        known = np.zeros(len(hashes), bool)
+        if len(self.clean):
+            known = self.clean[np.minimum(at, len(self.clean) - 1)] == hashes
+        out, none = {}, []
+        rest = np.flatnonzero(~known)
+        for i, name, s, e in zip(rest.tolist(), hashes[rest].tolist(), words.start[pick[rest]].tolist(), words.end[pick[rest]].tolist(), strict=True):
+            found = self.hits.get(name)
+            if found is None:
+                found = self._look_up(data[s:e])
+                if not found:
+                    none.append(i)
+                    continue
+                if len(self.hits) < _CACHE:
+                    self.hits[name] = found
+            out[i] = found
+        self.clean = np.insert(self.clean, at[none], hashes[none])
+        return out
 
     def read(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[Hit]]]:
         """(document of the slice, hits) of the documents that have hits."""
         words = Words(buf, offsets)
         if not len(words):
             return
-        _, pick, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        hashes, pick, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         data = buf.tobytes()
-        tokens = [data[s:e] for s, e in zip(words.start[pick].tolist(), words.end[pick].tolist(), strict=True)]
-        hits = [self._look_up(t) for t in tokens]
-        places = np.flatnonzero(np.array([bool(h) for h in hits])[which])
+        hits = self._of(words, data, hashes, pick)
+        flags = np.zeros(len(hashes), bool)
+        flags[list(hits)] = True
+        places = np.flatnonzero(flags[which])
         docs = words.doc[places]
         for doc in np.unique(docs).tolist():
             first, end = int(words.first[doc]), int(words.first[doc + 1])

@@ -190,7 +190,7 @@ def test_lexicon():
 def test_quotation():
     assert quoted('he wrote "you idiot', 'idiot" to me', "idiot")
     assert quoted("the word idiot", "idiot is old", "idiot")
-    assert not quoted('a "quoted" idiot', "idiot here", "idiot")
+    assert not quoted('a "nice" idiot', "idiot here", "idiot")
     assert not quoted("you idiot", "idiot", "idiot")
 
 
@@ -198,7 +198,7 @@ def test_quotation():
 def labelled():
     rnd = random.Random(6)
     vocabulary = ["".join(rnd.choice("abcdefghik") for _ in range(rnd.randint(2, 8))) for _ in range(500)]
-    insults = ["wretch", "villainous", "blockhead"] + ["snark" + rnd.choice(vocabulary) for _ in range(40)]
+    insults = ["wretch", "villainous", "blockhead"] * 13 + ["snark" + rnd.choice(vocabulary) for _ in range(40)]
     rows, labels = [], []
     for i in range(1500):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randint(5, 60))]
