@@ -306,12 +306,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         reader = Reader(given.value.lexicon)
         none = given.value.score([])
         for batch in batches:
-            scores, found = np.full(batch.num_rows, none), [[] for _ in range(batch.num_rows)]
-            for lo, _, buf, offsets in slices(batch.column(batch.schema.get_field_index(text_col))):
+            for lo, hi, buf, offsets in slices(batch.column(batch.schema.get_field_index(text_col))):
+                scores, found = np.full(hi - lo, none), [[] for _ in range(hi - lo)]
                 for doc, own in reader.read(buf, offsets):
-                    scores[lo + doc] = given.value.score(own)
-                    found[lo + doc] = [{"term": h.term, "word": h.word, "place": h.place, "edits": h.edits, "quoted": h.quoted} for h in own]
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(found, pa.list_(_HIT))], names=schema.names)
+                    scores[doc] = given.value.score(own)
+                    found[doc] = [{"term": h.term, "word": h.word, "place": h.place, "edits": h.edits, "quoted": h.quoted} for h in own]
+                columns = [batch.column(batch.schema.get_field_index(f.name)).slice(lo, hi - lo) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(found, pa.list_(_HIT))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
