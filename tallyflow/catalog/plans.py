@@ -143,7 +143,7 @@ sources AS (SELECT user_id, string_agg(category || '=' || CAST(total AS VARCHAR)
             FROM (SELECT user_id, category, SUM(amount) AS total FROM ledger WHERE txn_type = 'income' GROUP BY ALL) GROUP BY 1),
 trends AS (SELECT user_id, string_agg(strftime(month, '%Y-%m') || '=' || CAST(total AS VARCHAR), ' ' ORDER BY month) AS trends
            FROM months WHERE txn_type = 'expense' GROUP BY 1),
-spans AS (SELECT user_id, MIN(y) AS lo, MAX(y) AS hi, AVG(y) AS mean FROM series WHERE txn_type = 'income' GROUP BY 1 HAVING COUNT(*) >= 3),
+spans AS (SELECT user_id, MIN(y) AS lo, MAX(y) AS hi, CAST(SUM(total) AS DOUBLE) / COUNT(*) AS mean FROM series WHERE txn_type = 'income' GROUP BY 1 HAVING COUNT(*) >= 3),
 seasons AS (SELECT user_id, month(ts) AS m, CAST(SUM(amount) AS DOUBLE) / COUNT(*) AS v FROM ledger WHERE txn_type = 'income' GROUP BY ALL),
 swing AS (SELECT user_id, stddev_samp(v) / AVG(v) AS cv, arg_max(m, v) AS peak FROM seasons GROUP BY 1 HAVING COUNT(*) >= 3),
 daily AS (SELECT user_id, CAST(ts AS DATE) AS d, CAST(SUM(amount) AS DOUBLE) AS v FROM ledger WHERE txn_type = 'expense' GROUP BY ALL),

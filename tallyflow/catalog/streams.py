@@ -21,12 +21,12 @@ SELECT user_id, txn_id, 'income_alert' AS alert, NULL AS category, {r('gap', 5)}
   SELECT e.user_id, e.txn_id, count(*) AS n, (sum(g) / (count(*) - 1)) AS gap FROM (
     SELECT l.user_id, l.txn_id, h.ts,
            date_sub('microsecond', lag(h.ts) OVER (PARTITION BY l.user_id, l.txn_id ORDER BY h.ts, h.txn_id), h.ts) // 86400000000 AS g
-    FROM placed l JOIN placed h ON h.user_id = l.user_id AND h.place BETWEEN l.place - 29 AND l.place AND h.txn_type = 'income'
+    FROM numbered l JOIN numbered h ON h.user_id = l.user_id AND h.place BETWEEN l.place - 29 AND l.place AND h.txn_type = 'income'
     WHERE l.txn_type = 'income' AND l.place >= 5) e
   GROUP BY ALL) WHERE n >= 3 AND gap > 14"""
 
 
-@query(spikes_sql(STRETCHED, "ts, txn_id", ["txn_id"]) + f""", placed AS (
+@query(spikes_sql(STRETCHED, "ts, txn_id", ["txn_id"]) + f""", numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, txn_id) AS place FROM ledger)
 SELECT user_id, txn_id, 'spending_pattern' AS alert, category, {r('amount', 5)} AS value, {r('mean', 5)} AS reference
 FROM spikes WHERE amount > mean + 2 * sd UNION ALL""" + GAPS)

@@ -4,9 +4,9 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from tallyflow.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +19,9 @@ def test_query_equals_sql(spark, con, name):
     assert differences(spark, con, SF_DIR, QUERIES[name], ORACLES[name]) == []
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
