@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tallyflow.llm.kernels import LOWER, SPACE, U, Ranges, mix, slices
+from tallyflow.llm.rendezvous import bound_batches
 
 Q = 12
 PROBE = 96
@@ -182,6 +183,7 @@ def with_held_items(
 ) -> DataFrame:
     """``docs`` with a column of the benchmark items that each document holds, an array of (item_id, edits)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     out = docs.withColumn(held, F.lit(None).cast(_HELD))
     schema = out.schema
     for items in _blocks(benchmark, item_id, item_text, block_bytes):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 
@@ -39,7 +39,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     up, down = _POWERS.get(base, (np.zeros(0, U), None))
     if len(up) < n:
-        n = max(n, 1 << 21)
+        n = -(-n // (1 << 16)) << 16
         up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.kernels import _BYTE_VALUES, LOWER, SPACE, Ranges, mix, slices
-from tallyflow.llm.rendezvous import shared_folder
+from tallyflow.llm.rendezvous import bound_batches, shared_folder
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -184,6 +184,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_dropped, keep) for every distinct (id, text): ``keep`` is a zlib-compressed bitmap with a bit per line."""
     shared_folder(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     lines = texts.mapInArrow(_find_lines(min_chars), _LINES).checkpoint()  # read twice: ranges are drawn from a first pass

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.components import connected_components
 from tallyflow.llm.kernels import U, Words, mix, slices
-from tallyflow.llm.rendezvous import shared_folder
+from tallyflow.llm.rendezvous import bound_batches, shared_folder
 
 WORDS = 5
 PERCENT = 85
@@ -180,6 +180,7 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept): documents are linked if 100 * |intersection| >= percent * |union| of their shingles;
     ``component_id`` is the smallest id reachable over links, and ``kept`` says that it is the document's own."""
     shared_folder(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     signed = texts.mapInArrow(_signatures(words, bands, band_bins), _SIGNATURES).checkpoint()
 

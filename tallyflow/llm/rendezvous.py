@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 3 << 20
+#: Texts that a Python worker is sent at once. A batch is held twice, on either side.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BATCH_BYTES = 8 << 20
 MESSAGES = "chunk long, bucket long, message binary"
 REPLIES = "chunk long, bucket long, reply binary"
 _MESSAGES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("message", pa.binary())])
@@ -39,6 +42,7 @@ def pieces(df: DataFrame, size: int = CHUNK_BYTES) -> int:
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(chunk, doc_id, text) of the rows that have an id."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), "doc_id", "text")
 
@@ -102,6 +106,12 @@ def in_order(told: dict[int, bytes]) -> list[bytes]:
     return [told[b] for b in sorted(told) if b >= 0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send at most MOST_BATCH_BYTES to a Python worker at once; a smaller setting stays."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES)) > MOST_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, str(MOST_BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: spark.checkpoint.dir. Where it is unset, only a local master may use one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)

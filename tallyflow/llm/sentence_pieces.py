@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallyflow.llm.kernels import byte_ranges, slices
+from tallyflow.llm.rendezvous import bound_batches
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words are walked one by one, as a matrix of them would be large.
 MATRIX_BYTES = 64
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 @dataclass
@@ -273,6 +274,7 @@ def _with_column(batch: pa.RecordBatch, lo: int, hi: int, names: list[str], colu
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """``docs`` with the piece ids of the texts."""
+    bound_batches(docs.sparkSession)
     model = PieceModel(model_path)
     t = model.trie
     model.lists = (t.base.tolist(), t.check.tolist(), t.value.tolist(), model.scores.tolist())

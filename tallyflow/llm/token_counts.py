@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.kernels import Words, slices
-from tallyflow.llm.rendezvous import MESSAGES, answer, bucket_runs, messages, note, pieces
+from tallyflow.llm.rendezvous import MESSAGES, answer, bound_batches, bucket_runs, messages, note, pieces
 
 CHUNK_TEXT = 16 << 20
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -168,6 +168,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     for probe in _PROBES:
         if piece_counts(tokenizer, [probe]) != [sum(piece_counts(tokenizer, probe.split()))]:
             raise ValueError("this tokenizer doesn't treat words between white space by themselves")
+    bound_batches(docs.sparkSession)
     n = pieces(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     # in a fixed order, so that a recomputed task makes the same chunks

@@ -31,6 +31,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 from tallyflow.llm.kernels import U, Words, mix, slices
 from tallyflow.llm.lexicon import Lexicon
 from tallyflow.llm.minhash_dedup import shingle_sets
+from tallyflow.llm.rendezvous import bound_batches
 
 SAMPLE = 20_000
 MAX_TERMS = 20_000
@@ -220,6 +221,7 @@ def _look_alikes(lexicon: Lexicon):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, max_terms: int = MAX_TERMS, folds: int = FOLDS) -> ToxicityModel:
     """A model learned from documents outside fold 0."""
     spark = docs.sparkSession
+    bound_batches(spark)
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marked = marked.where(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -298,6 +300,7 @@ def _learned(spark, rows: DataFrame, words: DataFrame, n: dict, totals: dict, ma
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score: str = "toxicity", hits: str = "toxic_hits") -> DataFrame:
     """``docs`` with the score and the hits of every text."""
+    bound_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in (score, hits)]
     schema = StructType([*kept, StructField(score, DoubleType()), StructField(hits, ArrayType(HIT))])
