@@ -9,6 +9,10 @@ exact for that reason. Characters are code points; A-Z are lowered and white spa
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast is bounded whatever its size: a larger
 benchmark takes more passes. Documents are only mapped, never shuffled.
 
+With ``passage`` = n, items are also cut into probes of n - STEP + 1 characters every ``STEP`` characters, as long as a probe has ``min_chars``.
+Every passage of n characters of an item then holds a whole such probe wherever it starts, so a document that quotes n
+characters is found, and with up to rate * (n - STEP + 1) edits in them too (two of 50).
+
 Defined results: null texts are empty; items below ``min_chars`` code points are no evidence and match nothing, longer ones are found if one
 probe of theirs is; items of the same id count as one; rows without an id are left out of the pairs, and stay as they are in the filter.
 """
@@ -31,6 +35,8 @@ Q = 12
 PROBE = 96
 MIN_CHARS = 24
 EDIT_RATE = 0.05
+#: Characters of the shortest passage of a longer item that the query and the pipeline look for, and the step of its probes.
+PASSAGE, STEP = 50, 7
 BLOCK_BYTES = 4 << 20
 _BASE = 0xE7037ED1A0B428DB | 1
 _FILTER_BITS = 22
@@ -58,7 +64,9 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
 class Probes:
     """Probes of some items with an index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, probe: int, min_chars: int, rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], q: int, probe: int, min_chars: int, rate: float, passage: int | None = None) -> None:
+        if passage is not None and passage - STEP + 1 < max(min_chars, q):
+            raise ValueError(f"a passage must have at least {max(min_chars, q) + STEP - 1} characters")
         self.q = q
         texts, self.item = [], []
         for item, text in items:
@@ -66,10 +74,14 @@ class Probes:
             points, _ = code_points(data, np.array([0, len(data)]))
             if len(points) < max(min_chars, q):
                 continue
-            last = max(len(points) - probe, 0)
-            for at in sorted({*range(0, last, max(probe // 2, 1)), last}):
-                texts.append(points[at : at + probe])
-                self.item.append(item)
+            cuts = [(probe, max(probe // 2, 1))]
+            if passage is not None and len(points) >= passage:
+                cuts.append((passage - STEP + 1, STEP))
+            for size, step in cuts:
+                last = max(len(points) - size, 0)
+                for at in sorted({*range(0, last, step), last}):
+                    texts.append(points[at : at + size])
+                    self.item.append(item)
         self.item = np.array(self.item, np.int64)
         self.size = np.array([len(t) for t in texts], np.int64)
         self.edits = np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q)
@@ -180,8 +192,10 @@ _HELD_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())
 def with_held_items(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", held: str = "held_items", item_id: str = "item_id", item_text: str = "text",
     q: int = Q, probe: int = PROBE, min_chars: int = MIN_CHARS, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES,
+    passage: int | None = None,
 ) -> DataFrame:
-    """``docs`` with a column of the benchmark items that each document holds, an array of (item_id, edits)."""
+    """``docs`` with a column of the benchmark items that each document holds, an array of (item_id, edits). Without ``passage``,
+    excerpts shorter than ``probe`` of longer items are not looked for."""
     spark = docs.sparkSession
     bound_batches(spark)
     out = docs.withColumn(held, F.lit(None).cast(_HELD))
@@ -190,7 +204,7 @@ def with_held_items(
         given = spark.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            probes = Probes(given.value, q, probe, min_chars, rate)
+            probes = Probes(given.value, q, probe, min_chars, rate, passage)
             for batch in batches:
                 before = batch.column(batch.schema.get_field_index(held)).to_pylist()
                 texts = batch.column(batch.schema.get_field_index(text_col))

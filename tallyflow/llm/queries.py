@@ -117,9 +117,9 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds a passage."""
-    from tallyflow.llm.decontaminate import contaminated
+    from tallyflow.llm.decontaminate import PASSAGE, contaminated
 
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), passage=PASSAGE)
 
 
 @query

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
-from tallyflow.llm.decontaminate import Probes, contaminated, decontaminate
+from tallyflow.llm.decontaminate import PASSAGE, Probes, contaminated, decontaminate
 from tallyflow.llm.lexicon import LevenshteinAutomaton, Lexicon
 from tallyflow.llm.sentence_pieces import PieceModel, decode, double_array, encode, encode_slice
 from tallyflow.llm.token_counts import token_counts
@@ -151,6 +151,33 @@ def test_decontaminate_keeps_clean_rows_as_they_are(spark, table, benchmark_item
     assert decontaminate(docs, items.limit(0)).count() == len(suspects)
 
 
+def test_every_passage_of_an_item_is_found():
+    """Against all substrings of an item, whole and with two edits, and with one word in ten replaced."""
+    rnd = random.Random(8)
+    words = lambda n, letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(4, 8))) for _ in range(n))
+    items = [(0, words(40, "abcdefgh")), (1, words(12, "abcdefgh"))]
+    probes = Probes(items, 12, 96, 24, 0.05, PASSAGE)
+
+    def found(texts):
+        data = [t.encode() for t in texts]
+        doc, item, _ = probes.find(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+        return list(zip(doc.tolist(), item.tolist(), strict=True))
+
+    for item, text in items:
+        for size in (PASSAGE, 61, 95):
+            cut = [text[at : at + size] for at in range(len(text) - size + 1)]
+            quotes = [words(9, "uvwxyz") + " " + x + words(9, "uvwxyz") for x in cut]
+            assert found(quotes) == [(k, item) for k in range(len(cut))]
+        cut = [list(text[at : at + PASSAGE]) for at in range(len(text) - PASSAGE + 1)]
+        for x in cut:
+            x[rnd.randrange(25)], x[25 + rnd.randrange(25)] = "", "z"
+        assert found(["zz" + "".join(x) + "zz" for x in cut]) == [(k, item) for k in range(len(cut))]
+    changed = items[0][1].split()
+    changed[4::10] = ["uvwxyz"] * len(changed[4::10])
+    assert found([" ".join(changed)]) == [(0, 0)]
+    assert found([items[0][1][20:55] + words(9, "uvwxyz"), words(60, "uvwxyz")]) == []
+
+
 def test_probes_of_nothing():
     probes = Probes([(1, "short")], 12, 96, 24, 0.05)
     assert [len(x) for x in probes.find(np.frombuffer(b"some text", np.uint8), np.array([0, 9]))] == [0, 0, 0]
