@@ -47,26 +47,33 @@ class LevenshteinAutomaton:
         return min((e for i, e in state if i == len(self.word)), default=None)
 
 
+def _shortened(word: str) -> set[str]:
+    """The word, and what it is without any one of its letters."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 class Lexicon:
-    """Terms and stems with weights. A stem stands for all words that begin with it. The terms in ``fuzzy`` (all, if None) that have enough
-    letters are also found misspelled, except as words known to be innocent."""
+    """Terms and stems with weights. A stem stands for all words that begin with it. All terms that have enough letters are also found
+    misspelled, except as words known to be innocent."""
 
-    def __init__(
-        self, terms: dict[str, float], stems: dict[str, float], innocent: frozenset[str] = frozenset(), fuzzy: frozenset[str] | None = None, fuzzy_from: int = 5, two_from: int = 10
-    ) -> None:
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], innocent: frozenset[str] = frozenset(), fuzzy_from: int = 5, two_from: int = 10) -> None:
         self.terms, self.stems, self.innocent = terms, stems, innocent
         self.lengths = sorted({len(s) for s in stems})
         self.fuzzy_from, self.two_from = fuzzy_from, two_from
-        self.trie: dict = {}
-        self.heads: dict[str, set[int]] = {}  # first parts of terms, with the lengths of words that may be misspellings
+        self.tries: dict[int, dict] = {1: {}, 2: {}}  # of the terms that may have so many edits
+        self.near: set[str] = set()  # terms of one edit, whole and without a letter
+        self.heads: dict[str, set[int]] = {}  # first parts of terms of two edits, with the lengths of words that may be misspellings
         self.tails: dict[str, set[int]] = {}
-        for term in terms if fuzzy is None else fuzzy & terms.keys():
+        for term in terms:
             if len(term) >= fuzzy_from:
-                node = self.trie
+                edits = self.budget(term)
+                node = self.tries[edits]
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[""] = term
-                edits = self.budget(term)
+                if edits == 1:
+                    self.near |= _shortened(term)
+                    continue
                 head, tail = self._parts(term)
                 sizes = range(len(term) - edits, len(term) + edits + 1)
                 self.heads.setdefault(head, set()).update(sizes)
@@ -74,6 +81,10 @@ class Lexicon:
         self.head_sizes = sorted({len(p) for p in self.heads})
         self.tail_sizes = sorted({len(p) for p in self.tails})
 
+    def __reduce__(self):
+        """Sent as its terms; the tries are as deep as these are long."""
+        return Lexicon, (self.terms, self.stems, self.innocent, self.fuzzy_from, self.two_from)
+
     def budget(self, term: str) -> int:
         return 2 if len(term) >= self.two_from else 1
 
@@ -90,23 +101,29 @@ class Lexicon:
             weight = self.stems.get(word[:n])
             if weight is not None and len(word) >= n and (found is None or weight > found[1]):
                 found = (word[:n] + "*", weight, 0)
-        if found or word in self.innocent or not self._may_be_misspelled(word):
+        if found or word in self.innocent or len(word) < self.fuzzy_from - 1:
             return found
         return max(self._misspelled(word), key=lambda x: (x[1], x[0]), default=None)
 
-    def _may_be_misspelled(self, word: str) -> bool:
+    def _may_be_misspelled(self, word: str, edits: int) -> bool:
+        """Whether the trie of ``edits`` may hold a term for the word. Two strings are one edit apart only if they are equal once each
+        has lost a letter at most."""
         size = len(word)
+        if edits == 1:
+            return size <= self.two_from and not self.near.isdisjoint(_shortened(word))
         return any(size in self.heads.get(word[:k], ()) for k in self.head_sizes) or any(size in self.tails.get(word[-k:], ()) for k in self.tail_sizes)
 
     def _misspelled(self, word: str) -> Iterator[tuple[str, float, int]]:
-        automaton = LevenshteinAutomaton(word, 2 if len(word) >= self.two_from - 2 else 1)
-        walk = [(self.trie, automaton.start())]
-        while walk:
-            node, state = walk.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    edits = automaton.distance(state)
-                    if edits and edits <= self.budget(child):
-                        yield child, self.terms[child] * 0.5**edits, edits
-                elif after := automaton.step(state, letter):
-                    walk.append((child, after))
+        for most, trie in self.tries.items():
+            if not self._may_be_misspelled(word, most):
+                continue
+            automaton = LevenshteinAutomaton(word, most)
+            walk = [(trie, automaton.start())]
+            while walk:
+                node, state = walk.pop()
+                for letter, child in node.items():
+                    if letter == "":
+                        if edits := automaton.distance(state):
+                            yield child, self.terms[child] * 0.5**edits, edits
+                    elif after := automaton.step(state, letter):
+                        walk.append((child, after))

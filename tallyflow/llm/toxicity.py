@@ -36,8 +36,6 @@ from tallyflow.llm.rendezvous import bound_batches
 SAMPLE = 20_000
 MAX_TERMS = 20_000
 MIN_Z, MIN_ODDS = 3.0, 2.0  # log odds of a term, as a multiple of their error and as they are
-#: So many of the most telling terms are also looked for misspelled.
-FUZZY_TERMS = 64
 STEM_LETTERS = (4, 8)
 WINDOW = 8
 FOLDS = 5
@@ -267,14 +265,12 @@ def _learned(spark, rows: DataFrame, words: DataFrame, n: dict, totals: dict, ma
     def lexicon(side: str) -> Lexicon:
         own = [r for r in picked if r[f"{side}_z"] >= MIN_Z]
         terms = {r["term"]: r[f"{side}_odds"] for r in own if not r["words"]}
-        sure = {r["term"]: r[f"{side}_z"] for r in own if not r["words"]}
         heads = {r["term"]: r[f"{side}_odds"] for r in own if r["words"]}
-        fuzzy = frozenset(sorted(terms, key=lambda w: (-sure[w], w))[:FUZZY_TERMS])
-        first = Lexicon(terms, heads, fuzzy=fuzzy)
+        first = Lexicon(terms, heads)
         given = spark.sparkContext.broadcast(first)
-        alike = words.where("c0 + c1 > 0").select("word", (F.col("c0") + F.col("c1")).alias("c"))
-        alike = alike.mapInArrow(lambda batches: _look_alikes(given.value)(batches), "word string, c long").orderBy(F.desc("c"), "word").limit(max_terms).collect()
-        return Lexicon(terms, heads, frozenset(r["word"] for r in alike), fuzzy)
+        alike = words.where("c0 + c1 > 0").select("word")
+        alike = alike.mapInArrow(lambda batches: _look_alikes(given.value)(batches), "word string").collect()  # a part of the sample's distinct words
+        return Lexicon(terms, heads, frozenset(r["word"] for r in alike))
 
     lexicons = {side: lexicon(side) for side in sides}
     given = spark.sparkContext.broadcast(lexicons)

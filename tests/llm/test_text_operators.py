@@ -1,5 +1,6 @@
 """Token counts, sentence pieces, decontamination and toxicity."""
 
+import pickle
 import random
 
 import brute
@@ -214,6 +215,30 @@ def test_lexicon():
     assert lexicon.look_up("oron") is None and lexicon.look_up("other") is None and lexicon.look_up("") is None
 
 
+def test_misspellings_of_all_terms_of_a_large_lexicon():
+    rnd = random.Random(9)
+    terms = {"".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randint(5, 9))): 1.0 + k for k, _ in enumerate(range(3000))}
+    lexicon = pickle.loads(pickle.dumps(Lexicon(terms, {})))
+    for term in rnd.sample(sorted(terms), 300):
+        at = rnd.randrange(len(term))
+        for word in (term[:at] + term[at + 1 :], term[:at] + "z" + term[at + 1 :], term[:at] + "z" + term[at:]):
+            near = [(w, weight / 2, 1) for w, weight in terms.items() if distance(w, word) == 1] if at == 0 else None
+            got = lexicon.look_up(word)
+            assert got is not None and (near is None or word in terms or got == max(near, key=lambda x: (x[1], x[0])))
+
+
+def test_misspelled_terms_do_not_depend_on_rank(spark, table):
+    """A hundred toxic words, each found misspelled in a document that holds nothing else."""
+    rnd = random.Random(10)
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    toxic, clean = sorted({word("abcdefgh", 7) for _ in range(100)}), sorted({word("klmnopqr", 6) for _ in range(300)})
+    rows = [(i, " ".join([*rnd.sample(clean, 25), *(rnd.sample(toxic, 20) if i % 2 else [])])) for i in range(800)]
+    docs = table([*rows, *((9000 + k, f"{w[:3]}z{w[3:]}") for k, w in enumerate(toxic))])
+    out = score_toxicity(docs, fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")))
+    got = {r.doc_id: [(h.term, h.edits) for h in r.toxic_hits] for r in out.where("doc_id >= 9000").collect()}
+    assert got == {9000 + k: [(w, 1)] for k, w in enumerate(toxic)}
+
+
 def test_quotation():
     assert quoted('he wrote "you idiot', 'idiot" to me', "idiot")
     assert quoted("the word idiot", "idiot is old", "idiot")
