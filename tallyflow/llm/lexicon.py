@@ -62,8 +62,9 @@ class Lexicon:
         self.fuzzy_from, self.two_from = fuzzy_from, two_from
         self.tries: dict[int, dict] = {1: {}, 2: {}}  # of the terms that may have so many edits
         self.near: set[str] = set()  # terms of one edit, whole and without a letter
-        self.heads: dict[str, set[int]] = {}  # first parts of terms of two edits, with the lengths of words that may be misspellings
-        self.tails: dict[str, set[int]] = {}
+        self.heads: set[str] = set()  # first halves of terms of two edits, whole and without a letter
+        self.tails: set[str] = set()
+        heads, tails = set(), set()  # lengths of what may be a misspelled half
         for term in terms:
             if len(term) >= fuzzy_from:
                 edits = self.budget(term)
@@ -74,12 +75,12 @@ class Lexicon:
                 if edits == 1:
                     self.near |= _shortened(term)
                     continue
-                head, tail = self._parts(term)
-                sizes = range(len(term) - edits, len(term) + edits + 1)
-                self.heads.setdefault(head, set()).update(sizes)
-                self.tails.setdefault(tail, set()).update(sizes)
-        self.head_sizes = sorted({len(p) for p in self.heads})
-        self.tail_sizes = sorted({len(p) for p in self.tails})
+                half = len(term) // 2
+                self.heads |= _shortened(term[:half])
+                self.tails |= _shortened(term[half:])
+                heads.update((half - 1, half, half + 1))
+                tails.update((len(term) - half - 1, len(term) - half, len(term) - half + 1))
+        self.head_sizes, self.tail_sizes = sorted(heads), sorted(tails)
 
     def __reduce__(self):
         """Sent as its terms; the tries are as deep as these are long."""
@@ -88,12 +89,6 @@ class Lexicon:
     def budget(self, term: str) -> int:
         return 2 if len(term) >= self.two_from else 1
 
-    def _parts(self, term: str) -> tuple[str, str]:
-        """The first and the last part of a term cut into one part more than it may have edits. A misspelling leaves one part whole;
-        of three parts this may be the middle one alone, and such words are not looked for."""
-        n = self.budget(term) + 1
-        return term[: len(term) // n], term[(n - 1) * len(term) // n :]
-
     def look_up(self, word: str) -> tuple[str, float, int] | None:
         """The best (term, weight, edits) for a word. Misspelled terms weigh half for each edit."""
         found = (word, self.terms[word], 0) if word in self.terms else None
@@ -107,11 +102,15 @@ class Lexicon:
 
     def _may_be_misspelled(self, word: str, edits: int) -> bool:
         """Whether the trie of ``edits`` may hold a term for the word. Two strings are one edit apart only if they are equal once each
-        has lost a letter at most."""
+        has lost a letter at most; of two edits, one half of the term has one at most, wherever they are."""
         size = len(word)
         if edits == 1:
             return size <= self.two_from and not self.near.isdisjoint(_shortened(word))
-        return any(size in self.heads.get(word[:k], ()) for k in self.head_sizes) or any(size in self.tails.get(word[-k:], ()) for k in self.tail_sizes)
+        if size < self.two_from - 2:
+            return False
+        return any(k <= size and not self.heads.isdisjoint(_shortened(word[:k])) for k in self.head_sizes) or any(
+            k <= size and not self.tails.isdisjoint(_shortened(word[size - k :])) for k in self.tail_sizes
+        )
 
     def _misspelled(self, word: str) -> Iterator[tuple[str, float, int]]:
         for most, trie in self.tries.items():

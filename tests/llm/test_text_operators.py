@@ -227,6 +227,20 @@ def test_misspellings_of_all_terms_of_a_large_lexicon():
             assert got is not None and (near is None or word in terms or got == max(near, key=lambda x: (x[1], x[0])))
 
 
+def test_two_edits_are_found_wherever_they_are():
+    rnd = random.Random(12)
+    assert Lexicon({"disgusting": 4.0}, {}).look_up("dizgustinq") == ("disgusting", 1.0, 2)
+    for term in ("disgusting", "abominations", "contemptibleness"):
+        lexicon = Lexicon({term: 4.0}, {})
+        for _ in range(500):
+            word = list(term)
+            for _ in range(2):
+                at, how = rnd.randrange(len(word)), rnd.random()
+                word[at : at + (how < 0.7)] = rnd.choice("dzq") if how > 0.3 else ""
+            d = distance(term, "".join(word))
+            assert lexicon.look_up("".join(word)) == (term, 4.0 * 0.5**d, d)
+
+
 def test_misspelled_terms_do_not_depend_on_rank(spark, table):
     """A hundred toxic words, each found misspelled in a document that holds nothing else."""
     rnd = random.Random(10)
