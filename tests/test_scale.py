@@ -7,7 +7,7 @@ import statistics
 import pytest
 
 from tallyflow.operators import anomaly, health, income, planning, recent, spending, tasks
-from tallyflow.operators.skew import attach_group_stats
+from tallyflow.operators.skew import attach_group_stats, with_carried_rows
 from tallyflow.plans import insights
 from tallyflow.plans.report import comprehensive_report
 
@@ -91,6 +91,15 @@ def test_spikes_equal_brute_force(make_ledger, chunk_by):
     assert got == brute_force_spikes(rows) and got
 
 
+def test_spikes_are_windowed_by_month(make_ledger, monkeypatch):
+    """A user's year is cut into twelve chunks."""
+    given = []
+    monkeypatch.setattr(anomaly, "with_carried_rows", lambda chunked, *a: given.append(chunked) or with_carried_rows(chunked, *a))
+    days = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(365)]
+    anomaly.spending_spikes(make_ledger([(1, "expense", "x", 5.0, str(d)) for d in days]))
+    assert given[0].groupBy("user_id", "chunk").count().agg({"count": "max"}).first()[0] == 31
+
+
 def test_outliers_equal_brute_force(make_ledger):
     rows = random_rows(11)
     want = set()
