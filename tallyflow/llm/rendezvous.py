@@ -1,6 +1,6 @@
 """Questions that chunks of documents ask each other through hash buckets.
 
-Documents are dealt into chunks by a hash of their id. Each chunk groups what it asks about (hashes, fragments) by bucket,
+Documents are dealt into chunks by a hash of their id and text. Each chunk groups what it asks about (hashes, fragments) by bucket,
 once per distinct value, and sends a few packed messages instead of a row per position. A bucket answers each message with a
 packed reply, which goes back to the chunk. A value that a third of all rows hold is one entry per chunk; neither chunks
 nor buckets depend on any key of the data, so none is hot. All of it is plain grouping: lost executors are recomputed.
@@ -44,7 +44,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(chunk, doc_id, text) of the rows that have an id."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), "doc_id", "text")
+    return docs.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), "doc_id", "text")
 
 
 def messages(chunk: int, rows: list[tuple[int, bytes]]) -> pa.Table:

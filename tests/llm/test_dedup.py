@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tallyflow.llm.kernels import Words, slices
 from tallyflow.llm.line_dedup import line_bitmaps, line_dedup
+from tallyflow.llm.rendezvous import chunked
 from tallyflow.llm.substring_dedup import difference_cover, substring_dedup
 from tallyflow.llm.suffix_dedup import sliding_least, suffix_dedup
 from tallyflow.llm.suffix_groups import common_prefixes, row_order, suffix_array
@@ -131,3 +132,8 @@ def test_slices_and_words_keep_to_documents():
     assert [bytes(buf[s:e]) for s, e in zip(words.start, words.end)] == [b"ab", b"cd", b"ef", b"gh\x1cij", b"k"]
     assert words.doc.tolist() == [0, 0, 3, 4, 4]
     assert [(a, b) for a, b, *_ in slices(column, 3)][0] == (0, 1)
+
+
+def test_rows_of_one_id_are_dealt_over_chunks(table):
+    rows = [(1, f"text number {i}") for i in range(64)]
+    assert chunked(table(rows), "doc_id", "text", 8).select("chunk").distinct().count() == 8
