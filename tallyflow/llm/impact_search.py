@@ -12,7 +12,7 @@ in blocks. A block returns k rows per query, which are merged by an aggregate.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component, or whose id is null, take no part; nor do vectors of another
 length than a query's in that query's result; ties go to the smaller id; an id that is repeated is one candidate and one query, the score
-of two ids being the highest over their rows; other columns are not read.
+of two ids being the highest over their rows; components whose products may not fit 64 bits are an error; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,16 +36,21 @@ _FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(embedding: Column, scale: float) -> Column:
-    """floor(scale * x) of every component, null if one is null or not finite."""
-    wide = F.transform(embedding, lambda x: F.lit(float(scale)) * x.cast("double"))
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= F.lit(2.0**31)))
-    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~bad, F.transform(wide, lambda x: F.floor(x).cast("int")))
+    """floor(scale * x) of every component, null if one is null or not finite. Values that 64 bits don't hold are an error."""
+    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
+    large = F.raise_error(F.lit("a component is too large for 64-bit products")).cast("bigint")
+
+    def value(x: Column) -> Column:
+        wide = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(wide) >= F.lit(2.0**62), large).otherwise(F.floor(wide))
+
+    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~bad, F.transform(embedding, value))
 
 
 def _pack(rows: pa.Table) -> pa.Table:
     """Vectors of a group as one row."""
     values = rows.column("q").combine_chunks()
-    values = (pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy().astype(np.int32)
+    values = (pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy().astype(np.int64)
     return pa.table({
         "block": rows.column("block").slice(0, 1), "dims": rows.column("dims").slice(0, 1),
         "ids": pa.array([rows.column("vec_id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([values.tobytes()], pa.binary()),
@@ -77,6 +82,7 @@ class Index:
         self.start = np.concatenate(start)
         self.end = np.concatenate([self.start[1:], [at]])
         self.dim, self.low, self.high = map(np.concatenate, (self.dim, self.low, self.high))
+        self.largest = float(np.abs(self.vectors).max())
         self.repeats = int(np.unique(self.ids, return_counts=True)[1].max())
         self.first_of_dim = np.flatnonzero(np.concatenate([[True], np.diff(self.dim) != 0]))
 
@@ -84,6 +90,8 @@ class Index:
         """Positions and scores of the k best vectors with another id, ties to the smaller id; more where ids are repeated."""
         k *= self.repeats
         query = query.astype(np.int64)
+        if 8.0 * len(query) * float(np.abs(query).max()) * self.largest >= 2.0**63:  # bounds are sums of a few such products
+            raise OverflowError("components are too large for 64-bit products")
         weight = query[self.dim]
         least = np.minimum(weight * self.low, weight * self.high)
         most = np.maximum(weight * self.low, weight * self.high)
@@ -130,7 +138,7 @@ def _search(k: int):
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.int32).reshape(len(ids), -1)
+                vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1)
                 if name != row["block"]:
                     name, indexes = row["block"], {}
                 if not row["asks"]:

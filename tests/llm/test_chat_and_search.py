@@ -1,6 +1,7 @@
 """Chat prefix trees and exact search."""
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -134,3 +135,14 @@ def test_index_stops_only_on_proof():
         full = vectors @ vectors[q]
         want = sorted((i for i in range(600) if i != q), key=lambda i: (-full[i], i))[:7]
         assert index.ids[at].tolist() == want and scores.tolist() == [full[i] for i in want]
+
+
+def test_large_components_take_part(spark):
+    """256 * 1e8 is beyond 32 bits; products beyond 64 bits are an error."""
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [2.0, 0.0]), (3, [-1e8, 1.0]), (4, [math.inf, 0.0]), (5, [math.nan, 0.0])]
+    got = top_k(spark.createDataFrame(rows, schema), F.col("vec_id") == 0, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+    for large in (1e12, 1e300):
+        with pytest.raises(Exception, match="64-bit products"):
+            top_k(spark.createDataFrame([(0, [large]), (1, [large])], schema), F.col("vec_id") == 0).collect()
