@@ -144,3 +144,70 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")), score="score")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: DuckDB macros are not to be had in one query, so the checksum is a list expression: its table, and the states after each byte.
+CRC32_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crcs
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n))"""
+
+
+def crc32_sql(bytes_: str) -> str:
+    """The checksum of a list of byte values, where ``crcs`` is in scope."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: xor(c >> 8, crcs[CAST(xor(c & 255, b) AS INTEGER) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document in a Merkle manifest by language, and whether they hold where a third of the texts was lower-cased."""
+    from tallyflow.llm.merkle_manifest import FIELDS, ascii_lower, build_manifest, folded, leaf_digest, proof_digest, proofs
+
+    docs = _table(spark, sf_dir, "documents").select(*FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = leaf_digest(*(ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in FIELDS))
+    manifest = build_manifest(docs.withColumn("changed", F.when(tampered, changed)), keep=("changed",))
+    out = proofs(spark, manifest).withColumn("claim", F.coalesce("changed", "digest"))
+    out = out.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest("trail").alias("proof_sha256"), folded("claim", "trail").alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _framed_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """CTEs that climb ``levels`` levels from ``{name}0`` (tree, place, node, claim, proof, size); a tree of one node climbs no further."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k}_runs AS (
+  SELECT tree, place // 8 AS run, sha256(string_agg(node, '' ORDER BY place)) AS parent, list(node ORDER BY place) AS family
+  FROM (SELECT DISTINCT tree, place, node, size FROM {name}{k}) WHERE size > 1 GROUP BY ALL),
+{name}{k + 1} AS (
+  SELECT l.* REPLACE (CASE WHEN size > 1 THEN l.place // 8 ELSE l.place END AS place, coalesce(parent, node) AS node,
+    CASE WHEN size > 1 THEN sha256(array_to_string(family[:l.place % 8], '') || claim || array_to_string(family[l.place % 8 + 2:], '')) ELSE claim END AS claim,
+    CASE WHEN size > 1 THEN proof || array_to_string(family[:l.place % 8], '') || array_to_string(family[l.place % 8 + 2:], '') ELSE proof END AS proof,
+    (size + 7) // 8 AS size)
+  FROM {name}{k} l LEFT JOIN {name}{k}_runs r ON r.tree = l.tree AND r.run = l.place // 8 AND size > 1)""")
+    return ",\n".join(out)
+
+
+# Ten levels hold a thousand million documents a language, three hold 512 languages.
+ORACLES["op12_merkle_manifest"] = f"""
+WITH {CRC32_TABLE},
+marked AS (
+  SELECT *, {crc32_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))")} % 3 = 0 AS tampered FROM documents, crc_table),
+hashed AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_framed_sql('text')} AS leaf,
+         CASE WHEN tampered THEN {_framed_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_framed_sql('text')} END AS claim
+  FROM marked),
+a0 AS (
+  SELECT doc_id, tree, leaf, leaf AS node, claim, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS size FROM hashed),
+{_levels_sql('a', 10)},
+b0 AS (
+  SELECT doc_id, leaf, node AS subroot, '' AS tree, node, claim, proof, place, size FROM (
+    SELECT a10.* REPLACE (g.place AS place, g.size AS size) FROM a10 JOIN (
+      SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT tree FROM a10)) g USING (tree))),
+{_levels_sql('b', 3)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = node AS verified FROM b3"""
