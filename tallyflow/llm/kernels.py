@@ -100,14 +100,15 @@ def slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iter
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice: start, end and document of each, first word of each document."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice, or those between other bytes: start, end and document of each, first word of
+    each document."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = SPACE) -> None:
         if lower:
             buf = LOWER[buf]
         self.buf, self.offsets = buf, offsets
         inside = np.zeros(len(buf) + 2, bool)
-        inside[1:-1] = ~SPACE[buf]
+        inside[1:-1] = ~between[buf]
         edge = np.zeros(len(buf) + 1, bool)
         edge[offsets] = True
         self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))

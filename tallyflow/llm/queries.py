@@ -211,3 +211,43 @@ b0 AS (
       SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT tree FROM a10)) g USING (tree))),
 {_levels_sql('b', 3)}
 SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = node AS verified FROM b3"""
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five percent of the documents of 20 words and more, drawn by how much they resemble the benchmark."""
+    from tallyflow.llm.importance_resampling import resample
+
+    out = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# Checksums are taken of distinct features only, and byte by byte from their hexadecimal form.
+ORACLES["op13_importance_resampling"] = rf"""
+WITH {CRC32_TABLE},
+texts AS (
+  SELECT row_number() OVER () AS row, doc_id, TRUE AS own, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, FALSE, text FROM benchmark),
+worded AS (
+  SELECT row, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+held AS (
+  SELECT row, own, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i]) || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                          || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM worded),
+counted AS (SELECT row, own, f, count(*) AS n FROM held GROUP BY ALL),
+named AS (
+  SELECT f, {crc32_sql("list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: CAST('0x' || x AS BIGINT))")} % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), crc_table),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM counted JOIN named USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM sums) + 10000 AS DOUBLE)
+                                      / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM sums) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sums),
+weights AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN named USING (f) JOIN gains USING (bucket) WHERE own GROUP BY row),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weights USING (row) WHERE own),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_words >= 20 AND doc_id IS NOT NULL) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND doc_id IS NOT NULL AND place <= 5 * n // 100 THEN CAST(place AS BIGINT) END AS rank FROM placed"""
