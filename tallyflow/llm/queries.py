@@ -146,6 +146,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from the files they were written to."""
+    import uuid
+
+    import public_tokenizers
+
+    from tallyflow.llm.rendezvous import shared_folder
+    from tallyflow.llm.token_files import read_checksums, write_tokens
+
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, path)
+    return read_checksums(spark, path)
+
+
 #: DuckDB macros are not to be had in one query, so the checksum is a list expression: its table, and the states after each byte.
 CRC32_TABLE = """crc_table AS (
   SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crcs
