@@ -154,7 +154,7 @@ top AS (SELECT user_id, category, CAST(total AS DOUBLE) / CAST(SUM(total) OVER (
 odd AS (SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (amount > mean + 4 * sd) AS n_high FROM ledger JOIN cats USING (user_id, category)
         WHERE txn_type = 'expense' AND cats.n >= 3 AND amount > mean + 3 * sd GROUP BY 1),
 full_report AS (
-  SELECT m.user_id, m.total_expenses::DOUBLE AS total_expenses, m.expense_months AS expenses_months, t.n_categories,
+  SELECT m.user_id, m.total_expenses::DOUBLE AS total_expenses, m.expense_months AS expenses_months, COALESCE(t.n_categories, 0) AS n_categories,
          t.category AS top_category, COALESCE(odd.n, 0) AS n_anomalies, m.total_income::DOUBLE AS total_income, m.income_months,
          CASE WHEN income_months >= 3 THEN {r('greatest(0, 1 - volatility)')} ELSE 0.5 END AS stability_score,
          COALESCE(i.word3, 'insufficient_data') AS trend,
@@ -205,10 +205,10 @@ def _flat(report):
         _text("spending.monthly_trends", lambda v: v.cast("string")).alias("monthly_trends"),
         _text("income.income_sources", lambda v: v.cast("string")).alias("income_sources"),
         F.array_join(F.transform("spending.insights", lambda i: i["insight"]), " ").alias("spending_insights"),
-        F.filter("spending.insights", lambda i: i["insight"] == "high_spending_days")[0]["value"].cast("bigint").alias("n_high_days"),
+        F.get(F.filter("spending.insights", lambda i: i["insight"] == "high_spending_days"), F.lit(0))["value"].cast("bigint").alias("n_high_days"),
         "income.min_income", "income.max_income", num("income.average_income", 4), "income.seasonality_detected",
-        F.col("income.peak_months")[0].cast("bigint").alias("peak_month"), "income.confidence",
-        round_to(F.col("predictions.income")[2], 2).alias("third_income"), round_to(F.col("predictions.expenses")[2], 2).alias("third_expenses"),
+        F.get("income.peak_months", F.lit(0)).cast("bigint").alias("peak_month"), "income.confidence",
+        round_to(F.get("predictions.income", F.lit(2)), 2).alias("third_income"), round_to(F.get("predictions.expenses", F.lit(2)), 2).alias("third_expenses"),
         num("predictions.income_r_squared"), num("predictions.expenses_r_squared"),
         F.size("risk.mitigation").cast("bigint").alias("n_mitigations"),
     ]

@@ -209,9 +209,9 @@ def comprehensive_report(ledger: DataFrame, profiles: DataFrame, split_rows: int
         ).alias("health"),
         scoring.recommendations(savings, employment).alias("recommendations"),
         F.struct(
-            _next_months("income")[0].alias("next_income"),
+            F.get(_next_months("income"), F.lit(0)).alias("next_income"),
             _direction("income", "decreasing").alias("income_trend"),
-            _next_months("expenses")[0].alias("next_expenses"),
+            F.get(_next_months("expenses"), F.lit(0)).alias("next_expenses"),
             _direction("expenses", "decreasing").alias("expenses_trend"),
             _next_months("income").alias("income"),
             _fit("income").alias("income_r_squared"),
