@@ -51,9 +51,3 @@ def profiles(spark):
         return spark.createDataFrame(list(rows), "user_id bigint, employment_type string, risk_tolerance string")
 
     return make
-
-
-def by_user(df, *columns):
-    """{user_id: row or tuple of columns} of a frame with one row per user."""
-    rows = df.collect()
-    return {r["user_id"]: tuple(r[c] for c in columns) if columns else r for r in rows}

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import by_user
+from helpers import by_user
 from pyspark.sql import functions as F
 
 from tallyflow.functions import scoring
