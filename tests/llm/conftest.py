@@ -1,12 +1,8 @@
-import os
 import random
-import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 
 @pytest.fixture(scope="session")
 def table(spark):
