@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions.money import is_expense, is_income, sum_where
+from tallyflow.operators.skew import newest_chunk, rank_within
 
 
 def latest_rows(rows: DataFrame, k: int, key: str = "user_id", ts: str = "ts", tie: str = "txn_id") -> DataFrame:
@@ -18,15 +19,16 @@ def latest_rows(rows: DataFrame, k: int, key: str = "user_id", ts: str = "ts", t
     return rows.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= k)
 
 
-def newest_first(rows: DataFrame, users: DataFrame | None = None, ts: str = "ts", tie: str = "txn_id") -> DataFrame:
+def newest_first(rows: DataFrame, users: DataFrame | None = None, ts: str = "ts", tie: str = "txn_id", chunk_by: str = "month") -> DataFrame:
     """A listing per user: `position` 1 is the newest row, ties by id; of the users in the frame `users`, or of all.
 
-    Users ask for their own list only, so nothing is sorted across users.
+    Users ask for their own list only, so nothing is sorted across users; a user's rows are numbered by calendar chunk (`chunk_by`),
+    each from the number of rows in the chunks after it, so a user of any size is many small sorts. Rows without a time come last.
     """
     if users is not None:
         rows = rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    newest = Window.partitionBy("user_id").orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return rows.withColumn("position", F.row_number().over(newest))
+    order = [F.col(ts).desc(), F.col(tie).desc()]
+    return rank_within(rows, "user_id", newest_chunk(ts, chunk_by), order, "position")
 
 
 def api_rows(ledger: DataFrame) -> DataFrame:

@@ -63,6 +63,12 @@ def with_carried_rows(chunked: DataFrame, key: str, order: list[str], preceding:
     return chunked.withColumn("carried", F.lit(False)).unionByName(carried)
 
 
+def newest_chunk(ts: str, chunk_by: str) -> Column:
+    """A number for each calendar chunk that falls as time goes on, for orders from the newest; a NULL time is the last chunk."""
+    days = F.datediff(F.trunc(F.to_date(ts), chunk_by), F.lit("1970-01-01").cast("date"))
+    return F.coalesce(-days, F.lit(2**31 - 1))
+
+
 def rank_within(rows: DataFrame, key: str, chunk: Column, order: list[Column], name: str) -> DataFrame:
     """Number each group's rows 1, 2, 3, ... in `order` (a total order), chunk by chunk.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.literals import literal_rows
-from tallyflow.operators.skew import running_offsets
+from tallyflow.operators.skew import newest_chunk, rank_within, running_offsets
 
 
 def known_agent(agent: Column) -> Column:
@@ -36,12 +36,16 @@ def task_status(tasks: DataFrame) -> DataFrame:
     return routed(tasks).withColumn("status", status)
 
 
-def task_listing(tasks: DataFrame, result_schema: str, user_id: int | None = None) -> DataFrame:
-    """Tasks with the parsed result and their `position` in their owner's list, newest first; of one owner or of all."""
+def task_listing(tasks: DataFrame, result_schema: str, user_id: int | None = None, chunk_by: str = "month") -> DataFrame:
+    """Tasks with the parsed result and their `position` in their owner's list, newest first; of one owner or of all.
+
+    Numbered by calendar chunk, see `rank_within`; an owner of any size is many small sorts.
+    """
     if user_id is not None:
         tasks = tasks.filter(F.col("user_id") == user_id)
-    newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("task_id").desc())
-    return tasks.withColumn("parsed", F.from_json("result", result_schema)).withColumn("position", F.row_number().over(newest))
+    order = [F.col("ts").desc(), F.col("task_id").desc()]
+    numbered = rank_within(tasks, "user_id", newest_chunk("ts", chunk_by), order, "position")
+    return numbered.withColumn("parsed", F.from_json("result", result_schema))
 
 
 def owned_tasks(tasks: DataFrame, requests: DataFrame) -> DataFrame:

@@ -218,3 +218,30 @@ def test_another_master_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_root(Cluster())
+
+
+@pytest.mark.parametrize("chunk_by", ["week", "month", "year"])
+def test_listing_of_a_user_with_a_third_of_the_rows(make_ledger, ledger, chunk_by):
+    """Numbers as over the whole user, from windows that are cut by calendar."""
+    rows = ledger.collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: (r["user_id"], r["ts"], r["txn_id"]), reverse=True):
+        want.setdefault(r["user_id"], []).append(r["txn_id"])
+    listed = recent.newest_first(ledger, chunk_by=chunk_by)
+    got = {u: [None] * len(ids) for u, ids in want.items()}
+    for r in listed.collect():
+        got[r["user_id"]][r["position"] - 1] = r["txn_id"]
+    assert got == want
+    jobs = listed.groupBy("user_id").count()  # nothing is lost in the join of the chunks
+    assert {r["user_id"]: r["count"] for r in jobs.collect()} == {u: len(ids) for u, ids in want.items()}
+
+
+def test_task_listing_by_chunk(spark):
+    rows = [(i, i % 3 and 7, dt.datetime(2024, 1 + i % 12, 1 + i % 28), f'{{"k": {i}}}') for i in range(300)] + [(900, 7, None, None)]
+    log = spark.createDataFrame(rows, "task_id long, user_id long, ts timestamp_ntz, result string")
+    got = {(r["user_id"], r["position"]): (r["task_id"], r["parsed"] and r["parsed"]["k"]) for r in tasks.task_listing(log, "k long").collect()}
+    order = sorted(rows, key=lambda r: (r[2] or dt.datetime.min, r[0]), reverse=True)
+    for user in (0, 7):
+        own = [r for r in order if r[1] == user]
+        assert [got[(user, n + 1)][0] for n in range(len(own))] == [r[0] for r in own]
+    assert got[(7, sum(r[1] == 7 for r in rows))] == (900, None)
