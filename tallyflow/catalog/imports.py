@@ -8,7 +8,7 @@ from tallyflow.functions.categorize import parse_rules, type_from_column, type_f
 from tallyflow.functions.money import MONEY
 from tallyflow.plans import insights
 from tallyflow.session import shared_path
-from tallyflow.sources import feed, ledger, statement
+from tallyflow.sources import feed, ledger, records, statement
 from tallyflow.sources.star import (
     HOUSEHOLD_NAMES, event_ledger, events_as_mixed_ledger, mixed_event_ledger, statement_rows, stretched, table,
 )
@@ -384,6 +384,98 @@ def import_row_errors(spark, sf_dir):
     return found.select(F.regexp_extract("file", r"upload=(\d+)", 1).cast("bigint").alias("file"), big("row"), "error")
 
 
+# Statements as raw lines. By the last digit of the event's number a line lacks its amount (3), has a field too many (4), opens a quotation mark
+# that nothing closes (5), quotes a comma and quotation marks (6) or has an amount that is no number (8); the others are good.
+RAW_COLUMNS = ["Date", "Description", "Amount"]
+LINES = """lines AS (
+  SELECT event_id % 7 AS file, event_id, strftime(ts, '%m/%d/%Y') || ',' || CASE event_id % 10
+           WHEN 3 THEN event_type WHEN 4 THEN event_type || ',' || value_text || ',more' WHEN 5 THEN '"' || event_type || ',' || value_text
+           WHEN 6 THEN '"' || event_type || ', the ""é"" one",' || value_text WHEN 8 THEN event_type || ',n/a' ELSE event_type || ',' || value_text END AS line
+  FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value_text FROM events))"""
+
+
+def _raw_lines(events):
+    number, kind, digit = F.col("event_id"), F.col("event_type"), F.col("event_id") % 10
+    value = F.col("value").cast(MONEY).cast("string")
+    rest = (
+        F.when(digit == 3, kind)
+        .when(digit == 4, F.concat(kind, F.lit(","), value, F.lit(",more")))
+        .when(digit == 5, F.concat(F.lit('"'), kind, F.lit(","), value))
+        .when(digit == 6, F.concat(F.lit('"'), kind, F.lit(', the ""é"" one",'), value))
+        .when(digit == 8, F.concat(kind, F.lit(",n/a")))
+        .otherwise(F.concat(kind, F.lit(","), value))
+    )
+    return events.select((number % 7).alias("upload"), number, F.concat(F.date_format("ts", "MM/dd/yyyy"), F.lit(","), rest).alias("value"))
+
+
+def _raw_records(spark, sf_dir):
+    """The lines as seven files, read back as records."""
+    path = shared_path(spark, "raw-uploads")
+    one_file_each = _raw_lines(table(spark, sf_dir, "events")).repartition("upload").sortWithinPartitions("upload", "event_id")
+    one_file_each.drop("event_id").write.partitionBy("upload").text(path)
+    parsed = records.parse_records(records.read_records(spark, path), RAW_COLUMNS, header=False)
+    return parsed, F.regexp_extract("file", r"upload=(\d+)", 1).cast("bigint").alias("file")
+
+
+def _read(parsed):
+    mapping = statement.default_mapping(RAW_COLUMNS)
+    return statement.normalise(parsed.filter("record_error IS NULL"), mapping, AS_OF, list(records.PLACE))
+
+
+@query(with_(LINES, select="""
+SELECT file, row, CAST(position AS BIGINT) AS position,
+       CASE event_id % 10 WHEN 5 THEN 'open quotation mark' WHEN 8 THEN 'could not convert to a number: ' || chr(39) || 'n/a' || chr(39) ELSE 'not 3 fields' END AS error
+FROM (SELECT *, row_number() OVER w AS row, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY file ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position
+      FROM lines WINDOW w AS (PARTITION BY file ORDER BY event_id))
+WHERE event_id % 10 IN (3, 4, 5, 8)"""))
+def statement_malformed(spark, sf_dir):
+    """Every record that can't be parsed and every row that can't be read, with its row number and first byte."""
+    parsed, file = _raw_records(spark, sf_dir)
+    return records.with_record_errors(_read(parsed), parsed).select(file, big("row"), "position", "error")
+
+
+@query(with_(LINES, select=f"""
+SELECT file, COUNT(*) AS n, {dbl('SUM(amount)')} AS total, COUNT(*) FILTER (event_id % 10 = 6) AS quoted FROM lines
+JOIN (SELECT event_id, CAST(value AS DECIMAL(18,2)) AS amount FROM events) USING (event_id) WHERE event_id % 10 NOT IN (3, 4, 5, 8) GROUP BY file"""))
+def statement_well_formed(spark, sf_dir):
+    """The good rows of the same files: bad records take none of their neighbours with them."""
+    parsed, file = _raw_records(spark, sf_dir)
+    good = statement.good_rows(_read(parsed)).select(file, "amount", "description")
+    return good.groupBy("file").agg(
+        F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.count_if(F.col("description").endswith(', the "é" one')).alias("quoted")
+    )
+
+
+# Descriptions of one to four lines; by the event's number they hold commas, quotation marks, or blank lines.
+@query(f"""
+WITH e AS (
+  SELECT ts, event_id, CAST(value AS DECIMAL(18,2)) AS amount,
+         CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || 'second, line' WHEN 2 THEN event_type || chr(10) || chr(10) || '"quoted"' || chr(10)
+              WHEN 3 THEN '"' || chr(10) || event_type ELSE event_type || ' plain' END || ' #' || event_id AS description FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS date, description, CAST(amount AS DOUBLE) AS amount, {case_sql('lower(description)', 'expense')} AS category FROM e WHERE amount > 0""")
+def statement_line_breaks(spark, sf_dir):
+    """Statements whose quoted fields hold line breaks, read in splits."""
+    kind, digit = F.col("event_type"), F.col("event_id") % 5
+    text = (
+        F.when(digit == 0, kind)
+        .when(digit == 1, F.concat(kind, F.lit("\nsecond, line")))
+        .when(digit == 2, F.concat(kind, F.lit('\n\n"quoted"\n')))
+        .when(digit == 3, F.concat(F.lit('"\n'), kind))
+        .otherwise(F.concat(kind, F.lit(" plain")))
+    )
+    text = F.concat(text, F.lit(" #"), F.col("event_id").cast("string"))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    amount = F.col("value").cast(MONEY)
+    lines = table(spark, sf_dir, "events").filter(amount > 0).select(
+        F.concat_ws(",", F.date_format("ts", "MM/dd/yyyy"), quoted, (-amount).cast("string")).alias("value")
+    )
+    path = shared_path(spark, "line-breaks")
+    lines.write.text(path)
+    parsed = records.parse_records(records.read_records(spark, path, multi_line=True), RAW_COLUMNS, header=False)
+    good = statement.good_rows(_read(parsed))
+    return good.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "description", money("amount"), "category")
+
+
 # How a time is written goes by the event's number; the SQL knows what each form keeps of it, not how it is read.
 FORMS = ("MM/dd/yyyy hh:mm a", "M/d/yy", "yyyy-MMM-dd", "MMM dd yyyy h:mm a", "dd-MMM-yy", "yyyy-MM-dd HH:mm:ss", "MMMM d, yyyy", "yyyyMMdd", "d MMM yyyy HH:mm")
 

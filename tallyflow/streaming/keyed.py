@@ -25,13 +25,18 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{kind}="))
 
 
-def read_keyed(spark: SparkSession, path: str, keys: list[str], before: int | None = None, schema=None) -> DataFrame | None:
-    """The last value of every key, of the batches below `before` if given; None if there are none yet."""
+def parts_before(spark: SparkSession, path: str, before: int | None) -> list[tuple[int, str]]:
+    """Number and path of the latest whole table and of the batches after it, of those below `before` if given."""
     below = float("inf") if before is None else before
     full = [n for n in _numbers(spark, path, "full") if n < below]
     start = full[-1] if full else -1
     parts = [(n, f"{path}/full={n}") for n in full[-1:]]
-    parts += [(n, f"{path}/batch={n}") for n in _numbers(spark, path, "batch") if start < n < below]
+    return parts + [(n, f"{path}/batch={n}") for n in _numbers(spark, path, "batch") if start < n < below]
+
+
+def read_keyed(spark: SparkSession, path: str, keys: list[str], before: int | None = None, schema=None) -> DataFrame | None:
+    """The last value of every key, of the batches below `before` if given; None if there are none yet."""
+    parts = parts_before(spark, path, before)
     if not parts:
         return None
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -56,9 +61,14 @@ def write_keyed(rows: DataFrame, path: str, keys: list[str], batch_id: int, ever
     """Store a batch of changed keys."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    if (batch_id + 1) % every:
+    if (batch_id + 1) % every or batch_id in _numbers(spark, path, "full"):
         return
     read_keyed(spark, path, keys, batch_id + 1, rows.schema).write.mode("overwrite").parquet(f"{path}/full={batch_id}")
+    drop_needless(spark, path, batch_id)
+
+
+def drop_needless(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete what a new whole table makes needless."""
     # a batch that is run again reads what was there before it, so the whole table before this one stays
     earlier = [n for n in _numbers(spark, path, "full") if n < batch_id]
     if earlier:

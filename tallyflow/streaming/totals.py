@@ -8,8 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.functions.money import is_expense
 from tallyflow.operators.tasks import routed
+from tallyflow.streaming.additive import read_sums, write_partial
 from tallyflow.streaming.keyed import read_keyed, write_keyed
 
+MONTH_KEYS = ["user_id", "category", "month"]
+MONTH_SUMS = ["total", "n"]
+
 
 def running_month_totals(ledger: DataFrame, lateness: str | None = None) -> DataFrame:
     """Running expense totals by user, category and month; for update or complete output.
@@ -26,6 +30,25 @@ def running_month_totals(ledger: DataFrame, lateness: str | None = None) -> Data
     return rows.groupBy("user_id", "category", "month").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
 
 
+def start_month_totals(ledger: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Expense totals by user, category and month of a stream, in a table at `path`; see `read_month_totals`.
+
+    A row counts however late it comes, and nothing is held in a state: every batch stores its own sums, which add up when
+    they are read. A batch that is run again overwrites its own sums, so it counts once.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_partial(running_month_totals(batch), path, MONTH_KEYS, MONTH_SUMS, batch_id)
+
+    writer = ledger.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_month_totals(spark, path: str) -> DataFrame | None:
+    """(user_id, category, month, total, n) of all rows so far; None before the first batch."""
+    return read_sums(spark, path, MONTH_KEYS, MONTH_SUMS)
+
+
 def running_agent_totals(tasks: DataFrame) -> DataFrame:
     """Running task count and success rate by agent. Four keys: the partial aggregate leaves a row per task."""
     ok = F.count_if(F.col("success"))

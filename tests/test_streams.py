@@ -185,3 +185,35 @@ def test_shared_folder_is_the_clusters_when_set():
 
 def test_shared_folder_is_the_same_throughout(spark):
     assert shared_root(spark) == shared_root(spark)
+
+
+def test_sums_of_any_lateness(spark, tmp_path):
+    """Rows years apart in every batch, batches run again, compaction and a restart."""
+    from tallyflow.streaming.additive import read_sums, write_partial
+
+    rng = random.Random(3)
+    path, total = str(tmp_path / "sums"), {}
+    assert read_sums(spark, path, ["k"], ["x", "n"]) is None
+    for batch in range(11):
+        rows = [(rng.randrange(5), rng.randrange(100), 1) for _ in range(20)]
+        for k, x, _ in rows:
+            total[k] = total.get(k, 0) + x
+        sums = spark.createDataFrame(rows, "k int, x long, n long").groupBy("k").sum("x", "n").toDF("k", "x", "n")
+        for _ in range(1 + batch % 3):
+            write_partial(sums, path, ["k"], ["x", "n"], batch, every=4)
+        got = read_sums(spark, path, ["k"], ["x", "n"])
+        assert {r["k"]: r["x"] for r in got.collect()} == total and got.agg({"n": "sum"}).first()[0] == 20 * (batch + 1)
+    assert dict(got.dtypes) == {"k": "int", "x": "bigint", "n": "bigint"}
+
+
+def test_month_totals_keep_rows_a_year_late(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    for months in (["2024-06-01", "2025-01-01"], ["2022-01-05", "2024-06-09"], ["2024-06-30"]):
+        rows = [(1, m, "Food", "expense", 2.5) for m in months]
+        df = spark.createDataFrame(rows, "user_id long, ts string, category string, txn_type string, amount double")
+        df = df.selectExpr("user_id", "CAST(ts AS timestamp_ntz) ts", "category", "txn_type", "CAST(amount AS decimal(18,2)) amount")
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        totals.start_month_totals(stream, out, checkpoint).awaitTermination()
+    got = {r["month"].strftime("%Y-%m"): (float(r["total"]), r["n"]) for r in totals.read_month_totals(spark, out).collect()}
+    assert got == {"2022-01": (2.5, 1), "2024-06": (7.5, 3), "2025-01": (2.5, 1)}
