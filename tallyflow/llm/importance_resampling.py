@@ -163,11 +163,12 @@ def _frequent(share: float):
 
 
 def head_of(texts: DataFrame, share: float = HEAD_SHARE, buckets: int = BUCKETS) -> Head:
-    """The head of a table of ``text``. At most 2 / share features reach the share, so no more are asked for."""
-    counts = texts.mapInArrow(_frequent(share), "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "feature").limit(int(2 / share) + 1).collect()
-    total = next((r["n"] for r in rows if not r["feature"]), 0)
-    features = [bytes(r["feature"]) for r in rows if r["feature"] and r["n"] >= share * total]
+    """The head of a table of ``text``: at most 2 / share features reach the share, and no others come to the driver."""
+    shared_folder(texts.sparkSession)
+    counts = texts.mapInArrow(_frequent(share), "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")).checkpoint()
+    total = counts.where(F.length("feature") == 0).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = counts.where((F.length("feature") > 0) & (F.col("n") >= share * total)).collect()
+    features = sorted(bytes(r["feature"]) for r in rows)
     pairs = [tuple(f.split(b" ")) for f in features if b" " in f]
     return Head.of([f for f in features if b" " not in f], pairs, buckets)
 
