@@ -12,7 +12,7 @@ from tallyflow.llm.kernels import Words, slices
 from tallyflow.llm.line_dedup import line_bitmaps, line_dedup
 from tallyflow.llm.rendezvous import chunked
 from tallyflow.llm.substring_dedup import difference_cover, substring_dedup
-from tallyflow.llm.suffix_dedup import sliding_least, suffix_dedup
+from tallyflow.llm.suffix_dedup import HOT, sliding_least, suffix_dedup
 from tallyflow.llm.suffix_groups import common_prefixes, row_order, suffix_array
 
 
@@ -76,14 +76,30 @@ def test_sliding_least(values, size):
     assert got == [min(values[i : i + size]) for i in range(len(values) - size + 1)]
 
 
-@pytest.mark.parametrize(("length", "gram"), [(400, 64), (60, 16), (30, 30), (24, 1)])
-def test_suffix_dedup(table, texts, length, gram):
+@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 64, HOT), (60, 16, HOT), (30, 30, HOT), (24, 1, HOT), (400, 64, 0), (60, 16, 0), (60, 16, 3), (24, 1, 5)])
+def test_suffix_dedup(table, texts, length, gram, hot):
     rows = [*texts, (4000, "ab" * 300), (4001, "\0" * 70 + "z" + "\0" * 70), (4002, "é" * 200 + "abc")]
-    out = suffix_dedup(table(rows), length=length, gram=gram).collect()
+    out = suffix_dedup(table(rows), length=length, gram=gram, hot=hot).collect()
     assert grouped((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == brute.suffix_dedup(rows, length)
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed and len(r.removed) == r.n_spans for r in out)
 
 
+def test_frequent_lines_with_different_text_around_them(table):
+    """A line shorter than the strings and a longer one in a third of the documents each, and copies."""
+    rnd = random.Random(6)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    short, long = own(300), own(450)
+    copy = own(900)
+    rows = []
+    for i in range(3000):
+        middle = short if i % 3 == 0 else long if i % 3 == 1 else own(100)
+        rows.append((i, copy if i % 100 == 7 else own(rnd.randint(0, 500)) + middle + own(rnd.randint(0, 500))))
+    out = suffix_dedup(table(rows).repartition(8), hot=100).collect()
+    assert grouped((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == brute.suffix_dedup(rows, 400)
+    assert {r.n_removed for r in out if r.doc_id % 3 == 0 and r.doc_id % 100 != 7} == {0}
+    assert min(r.n_removed for r in out if r.doc_id % 3 == 1) >= 450
+
+
 def test_suffix_dedup_within_one_document(table):
     part = "".join(chr(97 + (i * i) % 26) + str(i) for i in range(140))
     (row,) = suffix_dedup(table([(1, part + "---" + part)])).collect()
