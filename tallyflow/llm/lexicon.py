@@ -7,7 +7,11 @@ still accepts, so shared beginnings of terms are compared once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+
+from tallyflow.llm.kernels import U, mix
 
 State = tuple[tuple[int, int], ...]
 
@@ -52,6 +56,63 @@ def _shortened(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = U(pow(_BASE, -1, 1 << 64))
+
+
+class _Prefixes:
+    """Hashes of the beginnings of many words, whole and without any one letter."""
+
+    def __init__(self, words: list[str], width: int) -> None:
+        width = max(width, 1)
+        letters = np.zeros((len(words), width), np.uint32)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer("".join(w[:width] for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.arange(width) < self.sizes[:, None]
+        letters[inside] = data
+        powers = np.full(width, _BASE, U)
+        powers[0] = 1
+        powers = np.cumprod(powers)
+        self.sums = np.zeros((len(words), width + 1), U)
+        np.cumsum(np.where(inside, mix(letters.astype(U) + U(1)) * powers, U(0)), axis=1, out=self.sums[:, 1:])
+
+    def whole(self, rows: np.ndarray, k: int) -> np.ndarray:
+        return mix(self.sums[rows, k] ^ U(k))
+
+    def shortened(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the first k letters of some words without the first, second, ... of them; last, with all."""
+        sums = self.sums[rows]
+        out = np.empty((len(sums), k + 1), U)
+        out[:, :k] = mix((sums[:, :k] + (sums[:, k, None] - sums[:, 1 : k + 1]) * _INVERSE) ^ U(k - 1))
+        out[:, k] = mix(sums[:, k] ^ U(k))
+        return out
+
+
+class _Hashes:
+    """A set of hashes that says fast of most others that they are not in it."""
+
+    def __init__(self, strings: Iterable[str]) -> None:
+        strings = list(strings)
+        by_size: dict[int, list[str]] = {}
+        for s in strings:
+            by_size.setdefault(len(s), []).append(s)
+        parts = [_Prefixes(some, size).whole(np.arange(len(some)), size) for size, some in by_size.items()]
+        self.values = np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
+        self.shift = U(64 - max(10, (16 * len(self.values)).bit_length()))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[self.values >> self.shift] = True
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes are in the set."""
+        out = self.bits[hashes >> self.shift]
+        some = np.nonzero(out)
+        if len(some[0]):
+            found = hashes[some]
+            at = np.minimum(np.searchsorted(self.values, found), len(self.values) - 1)
+            out[some] = self.values[at] == found
+        return out
+
+
 class Lexicon:
     """Terms and stems with weights. A stem stands for all words that begin with it. All terms that have enough letters are also found
     misspelled, except as words known to be innocent."""
@@ -82,6 +143,8 @@ class Lexicon:
                 tails.update((len(term) - half - 1, len(term) - half, len(term) - half + 1))
         self.head_sizes, self.tail_sizes = sorted(heads), sorted(tails)
 
+        self._sets: tuple[_Hashes, ...] | None = None
+
     def __reduce__(self):
         """Sent as its terms; the tries are as deep as these are long."""
         return Lexicon, (self.terms, self.stems, self.innocent, self.fuzzy_from, self.two_from)
@@ -112,6 +175,36 @@ class Lexicon:
             k <= size and not self.tails.isdisjoint(_shortened(word[size - k :])) for k in self.tail_sizes
         )
 
+    def may_hit(self, words: list[str]) -> np.ndarray:
+        """Which of the words ``look_up`` may find something for: what it tests word by word, for all of them by hashes."""
+        if self._sets is None:
+            self._sets = tuple(_Hashes(x) for x in (self.stems, self.near, self.heads, (t[::-1] for t in self.tails)))
+        stems, near, heads, tails = self._sets
+        out = np.array([w in self.terms for w in words], bool)
+        if not len(out):
+            return out
+        ahead = _Prefixes(words, max([*self.lengths, *self.head_sizes, self.two_from]))
+        for n in self.lengths:
+            rows = np.flatnonzero(ahead.sizes >= n)
+            out[rows] |= stems.hold(ahead.whole(rows, n))
+        for size in range(self.fuzzy_from - 1, self.two_from + 1):
+            rows = np.flatnonzero((ahead.sizes == size) & ~out)
+            out[rows] |= near.hold(ahead.shortened(rows, size)).any(axis=1)
+        for sizes, held, found in ((self.head_sizes, heads, ahead), (self.tail_sizes, tails, None)):
+            found = found or _Prefixes([w[::-1] for w in words], max([*sizes, 1]))
+            for k in sizes:
+                rows = np.flatnonzero((found.sizes >= max(k, self.two_from - 2)) & ~out)
+                out[rows] |= held.hold(found.shortened(rows, k)).any(axis=1)
+        return out
+
+    def look_up_all(self, words: list[str]) -> dict[str, tuple[str, float, int]]:
+        """``look_up`` of many words: those that are found."""
+        out = {}
+        for i in np.flatnonzero(self.may_hit(words)).tolist():
+            if found := self.look_up(words[i]):
+                out[words[i]] = found
+        return out
+
     def _misspelled(self, word: str) -> Iterator[tuple[str, float, int]]:
         for most, trie in self.tries.items():
             if not self._may_be_misspelled(word, most):

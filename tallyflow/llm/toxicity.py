@@ -2,12 +2,12 @@
 
 Learning, from at most ``SAMPLE`` labelled documents of the training folds (half of each label, chosen by a hash; one of each group of
 copies and, with few exceptions, near copies): every word, and every beginning of 4 to 8 letters that several words share, whose share of toxic documents stands out
-becomes a term or a stem, at most ``MAX_TERMS`` of them. Words that look like a misspelled term but occur in clean documents are kept
+becomes a term or a stem; there are no more of them than the sample has words. Words that look like a misspelled term but occur in clean documents are kept
 as innocent. A document's hits are then summed into a few features, and a ridge logistic regression on these gives the score. For the
 regression each half of the sample is scored with the lexicon of the other half, so that it learns how far terms carry over.
 
 Scoring, over all documents whole: each distinct word of a task is looked up once, exactly, by stem, or by its Levenshtein automaton on the
-trie of terms (``lexicon``). Around every hit a window of ``WINDOW`` words to each side is read: a hit between quotation marks, or
+trie of terms (``lexicon``); the automaton runs for words whose deletion neighbourhood meets a term's, which is tested for all of them at once. Around every hit a window of ``WINDOW`` words to each side is read: a hit between quotation marks, or
 next to a word that reports speech, counts as quoted and goes into features of its own.
 
 Defined results: null and empty texts have no hits and get the score of a document without any; labels other than 0 and 1 are not used;
@@ -34,7 +34,6 @@ from tallyflow.llm.minhash_dedup import shingle_sets
 from tallyflow.llm.rendezvous import bound_batches
 
 SAMPLE = 20_000
-MAX_TERMS = 20_000
 MIN_Z, MIN_ODDS = 3.0, 2.0  # log odds of a term, as a multiple of their error and as they are
 STEM_LETTERS = (4, 8)
 WINDOW = 8
@@ -71,8 +70,11 @@ class Reader:
         self.clean = np.zeros(0, U)
         self.hits: dict[int, list[tuple[str, tuple[str, float, int]]]] = {}
 
-    def _look_up(self, token: bytes) -> list[tuple[str, tuple[str, float, int]]]:
-        return [(w, hit) for w in _WORD.findall(token.decode().lower()) if (hit := self.lexicon.look_up(w))]
+    def _look_up(self, tokens: list[bytes]) -> list[list[tuple[str, tuple[str, float, int]]]]:
+        """(word, hit) of the words of each token that have one. Tokens hold no line breaks."""
+        words = [_WORD.findall(line) for line in b"\n".join(tokens).decode().lower().split("\n")]
+        hits = self.lexicon.look_up_all(list(dict.fromkeys(w for own in words for w in own)))
+        return [[(w, hits[w]) for w in own if w in hits] for own in words]
 
     def _of(self, words: Words, data: bytes, hashes: np.ndarray, pick: np.ndarray) -> dict[int, list]:
         """Hits by number of the distinct token."""
@@ -82,19 +84,18 @@ class Reader:
         known = np.zeros(len(hashes), bool)
         if len(self.clean):
             known = self.clean[np.minimum(at, len(self.clean) - 1)] == hashes
-        out, none = {}, []
         rest = np.flatnonzero(~known)
-        for i, name, s, e in zip(rest.tolist(), hashes[rest].tolist(), words.start[pick[rest]].tolist(), words.end[pick[rest]].tolist(), strict=True):
-            found = self.hits.get(name)
-            if found is None:
-                found = self._look_up(data[s:e])
-                if not found:
-                    none.append(i)
-                    continue
-                if len(self.hits) < _CACHE:
-                    self.hits[name] = found
-            out[i] = found
-        self.clean = np.insert(self.clean, at[none], hashes[none])
+        names = dict(zip(rest.tolist(), hashes[rest].tolist(), strict=True))
+        out = {i: self.hits[name] for i, name in names.items() if name in self.hits}
+        new = [i for i in names if i not in out]
+        if new:
+            tokens = [data[s:e] for s, e in zip(words.start[pick[new]].tolist(), words.end[pick[new]].tolist(), strict=True)]
+            found = dict(zip(new, self._look_up(tokens), strict=True))
+            none = [i for i in new if not found[i]]
+            out |= {i: own for i, own in found.items() if own}
+            if len(self.hits) < _CACHE:
+                self.hits |= {names[i]: own for i, own in found.items() if own}
+            self.clean = np.insert(self.clean, at[none], hashes[none])
         return out
 
     def read(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[Hit]]]:
@@ -211,12 +212,13 @@ def _look_alikes(lexicon: Lexicon):
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("word").to_pylist()
-            yield batch.filter(pa.array([bool((hit := lexicon.look_up(w)) and hit[2]) for w in words], pa.bool_()))
+            hits = lexicon.look_up_all(words)
+            yield batch.filter(pa.array([w in hits and hits[w][2] > 0 for w in words], pa.bool_()))
 
     return look
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, max_terms: int = MAX_TERMS, folds: int = FOLDS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = FOLDS) -> ToxicityModel:
     """A model learned from documents outside fold 0."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -242,14 +244,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             *(F.sum(F.when((F.col("toxic") == k) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"{'ct'[k]}{h}") for k in (0, 1) for h in (0, 1))
         ).persist()
         try:
-            return _learned(spark, rows, words, n, totals, max_terms)
+            return _learned(spark, rows, words, n, totals)
         finally:
             words.unpersist()
     finally:
         rows.unpersist()
 
 
-def _learned(spark, rows: DataFrame, words: DataFrame, n: dict, totals: dict, max_terms: int) -> ToxicityModel:
+def _learned(spark, rows: DataFrame, words: DataFrame, n: dict, totals: dict) -> ToxicityModel:
     low, high = STEM_LETTERS
     stems = words.where(F.length("word") > low).withColumn("k", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length("word") - 1))))
     stems = stems.groupBy(F.expr("substring(word, 1, k)").alias("term")).agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")), F.count("*").alias("words")).where("words > 1")
@@ -260,7 +262,7 @@ def _learned(spark, rows: DataFrame, words: DataFrame, n: dict, totals: dict, ma
         every = every.withColumn(f"{name}_odds", odds).withColumn(f"{name}_z", z)
         every = every.withColumn(f"{name}_z", F.when(F.col(f"{name}_odds") >= MIN_ODDS, F.col(f"{name}_z")).otherwise(0.0))
     best = F.greatest(*(F.col(f"{s}_z") for s in sides))
-    picked = every.where(best >= MIN_Z).orderBy(F.desc(best), "term", "words").limit(max_terms).collect()
+    picked = every.where(best >= MIN_Z).orderBy(F.desc(best), "term", "words").collect()  # a part of the sample's words
 
     def lexicon(side: str) -> Lexicon:
         own = [r for r in picked if r[f"{side}_z"] >= MIN_Z]
