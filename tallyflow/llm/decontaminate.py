@@ -9,7 +9,7 @@ exact for that reason. Characters are code points; A-Z are lowered and white spa
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast is bounded whatever its size: a larger
 benchmark takes more passes. Documents are only mapped, never shuffled.
 
-With ``passage`` = n, items are also cut into probes of n - STEP + 1 characters every ``STEP`` characters, as long as a probe has ``min_chars``.
+With ``passage`` = n (by default 50), items are also cut into probes of n - STEP + 1 characters every ``STEP`` characters, as long as a probe has ``min_chars``.
 Every passage of n characters of an item then holds a whole such probe wherever it starts, so a document that quotes n
 characters is found, and with up to rate * (n - STEP + 1) edits in them too (two of 50).
 
@@ -192,9 +192,9 @@ _HELD_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())
 def with_held_items(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", held: str = "held_items", item_id: str = "item_id", item_text: str = "text",
     q: int = Q, probe: int = PROBE, min_chars: int = MIN_CHARS, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES,
-    passage: int | None = None,
+    passage: int | None = PASSAGE,
 ) -> DataFrame:
-    """``docs`` with a column of the benchmark items that each document holds, an array of (item_id, edits). Without ``passage``,
+    """``docs`` with a column of the benchmark items that each document holds, an array of (item_id, edits). With ``passage`` None,
     excerpts shorter than ``probe`` of longer items are not looked for."""
     spark = docs.sparkSession
     bound_batches(spark)
