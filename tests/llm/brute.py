@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(256)).lower()
 
@@ -90,28 +94,34 @@ def fold(text):
 
 def edits_within(pattern, text):
     """Least edits between a pattern and any part of a text."""
-    before = [0] * (len(text) + 1)
+    points = np.array([ord(c) for c in text], np.int64)
+    steps = np.arange(len(points) + 1)
+    before = np.zeros(len(points) + 1, np.int64)
     for i, c in enumerate(pattern, 1):
-        row = [i] + [0] * len(text)
-        for j, d in enumerate(text, 1):
-            row[j] = min(before[j - 1] + (c != d), before[j] + 1, row[j - 1] + 1)
-        before = row
-    return min(before)
+        row = before + 1
+        row[0] = i
+        row[1:] = np.minimum(row[1:], before[:-1] + (points != ord(c)))
+        before = np.minimum.accumulate(row - steps) + steps  # from the left, one edit a step
+    return int(before.min())
 
 
-def held_items(text, items, q=12, probe=96, min_chars=24, rate=0.05):
-    """{item: edits} of the items a text holds."""
+def held_items(text, items, q=12, probe=96, min_chars=24, rate=0.05, passage=50, step=7):
+    """{item: edits} of the items a text holds: by probes of 96 characters, and by those that every passage of 50 holds one of."""
     out = {}
     for item, pattern in items:
         if pattern is None or len(pattern) < max(min_chars, q):
             continue
         pattern = fold(pattern)
-        last = max(len(pattern) - probe, 0)
-        for at in sorted({*range(0, last, probe // 2), last}):
-            part = pattern[at : at + probe]
-            e = edits_within(part, fold(text or ""))
-            if e <= min(int(len(part) * rate), (len(part) - q) // q):
-                out[item] = min(out.get(item, e), e)
+        cuts = [(probe, probe // 2)]
+        if passage and len(pattern) >= passage:
+            cuts.append((passage - step + 1, step))
+        for size, every in cuts:
+            last = max(len(pattern) - size, 0)
+            for at in sorted({*range(0, last, every), last}):
+                part = pattern[at : at + size]
+                e = edits_within(part, fold(text or ""))
+                if e <= min(int(len(part) * rate), (len(part) - q) // q):
+                    out[item] = min(out.get(item, e), e)
     return out
 
 
@@ -130,3 +140,94 @@ def best_path(word, scores, unknown, byte_ids, texts):
             if e not in best or total > best[e][0]:
                 best[e] = total, best[s][1] + ids
     return best[len(word)]
+
+
+def sha_hex(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle(rows, tampered, fanout=8):
+    """[(doc_id, leaf, subroot, root, proof_sha256, folded_root)] sorted, of (doc_id, text, lang, source, n_chars) rows; ``tampered`` maps
+    (doc_id, text) to the text that takes its place."""
+
+    def leaf(doc_id, text, lang, source, n_chars):
+        framed = [None if v is None else str(v) for v in (doc_id, source, lang, n_chars, text)]
+        return sha_hex("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in framed))
+
+    def climb(level):
+        """Digests of the levels from the leaves to the root."""
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append([sha_hex("".join(levels[-1][i : i + fanout])) for i in range(0, len(levels[-1]), fanout)])
+        return levels
+
+    def steps(levels, place):
+        for level in levels[:-1]:
+            lo = place // fanout * fanout
+            yield "".join(level[lo:place]), "".join(level[place + 1 : lo + fanout])
+            place //= fanout
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[2]].append((row[0] is not None, row[0] or 0, leaf(*row), row))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: climb([x[2] for x in sorted(groups[g], key=lambda x: x[:3])]) for g in order}
+    top = climb([trees[g][-1][0] for g in order])
+    out = []
+    for k, g in enumerate(order):
+        for place, (_, _, own, row) in enumerate(sorted(groups[g], key=lambda x: x[:3])):
+            trail = [*steps(trees[g], place), *steps(top, k)]
+            node = leaf(row[0], tampered(row[0], row[1]), *row[2:])
+            for left, right in trail:
+                node = sha_hex(left + node + right)
+            out.append((row[0], own, trees[g][-1][0], top[-1][0], sha_hex("".join(a + b for a, b in trail)), node))
+    return sorted(out, key=repr)
+
+
+def word_runs(text):
+    """Words between ASCII bytes other than letters and digits, and all runs of one to three of them."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(LOWER))
+    return words, [b" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+
+def resampled(rows, target, buckets=10_000, percent=5, min_words=20, seed="42"):
+    """[(doc_id, n_features, weight, score, rank)] sorted."""
+    bucket = lambda f: zlib.crc32(f) % buckets
+    held = [(d, *word_runs(t)) for d, t in rows]
+    source, goal = Counter(bucket(f) for _, _, runs in held for f in runs), Counter(bucket(f) for t in target for f in word_runs(t)[1])
+    s_all, t_all = source.total(), goal.total()
+    gain = lambda b: math.floor(1000 * math.log((goal[b] + 1) * (s_all + buckets) / ((source[b] + 1) * (t_all + buckets))))
+    out, may = [], []
+    for d, words, runs in held:
+        weight, score = sum(gain(bucket(f)) for f in runs), None
+        if d is not None:
+            h = int(sha_hex(f"{seed}:{d}")[:8], 16)
+            score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+            if len(words) >= min_words:
+                may.append((-score, d, len(out)))
+        out.append([d, len(runs), weight, score, None])
+    for rank, (_, _, k) in enumerate(sorted(may)[: percent * len(may) // 100], 1):
+        out[k][4] = rank
+    return sorted(map(tuple, out), key=repr)
+
+
+def levenshtein(a, b):
+    before = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(before[j - 1] + (c != d), before[j] + 1, row[j - 1] + 1))
+        before = row
+    return before[-1]
+
+
+def lexicon_hit(word, terms, stems, innocent, fuzzy_from=5, two_from=10):
+    """The term a word stands for: as it is, by its beginning, or with edits."""
+    found = [(terms[word], word, 0)] if word in terms else []
+    found += [(weight, stem + "*", 0) for stem, weight in stems.items() if word.startswith(stem)]
+    if not found and word not in innocent and len(word) >= fuzzy_from - 1:
+        for term, weight in terms.items():
+            edits = levenshtein(word, term)
+            if len(term) >= fuzzy_from and 0 < edits <= (2 if len(term) >= two_from else 1):
+                found.append((weight * 0.5**edits, term, edits))
+    return max(found, key=lambda x: x[0], default=None)

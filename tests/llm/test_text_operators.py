@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import re
 
 import brute
 import numpy as np
@@ -13,7 +14,7 @@ from tallyflow.llm.decontaminate import PASSAGE, Probes, contaminated, decontami
 from tallyflow.llm.lexicon import LevenshteinAutomaton, Lexicon
 from tallyflow.llm.sentence_pieces import PieceModel, decode, double_array, encode, encode_slice
 from tallyflow.llm.token_counts import token_counts
-from tallyflow.llm.toxicity import fit, fold, quoted, score_toxicity
+from tallyflow.llm.toxicity import Hit, ToxicityModel, features, fit, fold, quoted, score_toxicity
 from tokenizers import Tokenizer
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -133,12 +134,12 @@ def suspects(benchmark_items):
     return [*rows, (200, None), (201, ""), (202, items[4] * 3), (203, items[4] + items[5]), (204, junk(300)), (204, items[6]), (None, items[7])]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
-def test_contaminated(spark, table, benchmark_items, suspects, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "passage"), [(1 << 20, PASSAGE), (900, PASSAGE), (1 << 20, None)])
+def test_contaminated(spark, table, benchmark_items, suspects, block_bytes, passage):
     items = spark.createDataFrame(benchmark_items, "item_id long, text string")
-    got = sorted(map(tuple, contaminated(table(suspects), items, block_bytes=block_bytes).collect()))
-    want = sorted((d, item, e) for d, t in suspects if d is not None for item, e in brute.held_items(t, benchmark_items).items())
-    assert got == want and len({e for _, _, e in want}) > 3
+    got = sorted(map(tuple, contaminated(table(suspects), items, block_bytes=block_bytes, passage=passage).collect()))
+    want = sorted((d, item, e) for d, t in suspects if d is not None for item, e in brute.held_items(t, benchmark_items, passage=passage).items())
+    assert got == want and len({e for _, _, e in want}) > (2 if passage else 3)
 
 
 def test_decontaminate_keeps_clean_rows_as_they_are(spark, table, benchmark_items, suspects):
@@ -215,6 +216,59 @@ def test_lexicon():
     assert lexicon.look_up("oron") is None and lexicon.look_up("other") is None and lexicon.look_up("") is None
 
 
+def _lexicon(rnd, letters, n):
+    word = lambda a, b: "".join(rnd.choice(letters) for _ in range(rnd.randint(a, b)))
+    terms = {word(3, 16): 1 + rnd.random() for _ in range(n)}
+    return Lexicon(terms, {word(4, 8): 1 + rnd.random() for _ in range(8)}, frozenset(w[1:] for w in list(terms)[::9]))
+
+
+def _misspelled(rnd, word, letters):
+    word = list(word)
+    for _ in range(rnd.randint(0, 3)):
+        p, how = rnd.randrange(len(word) + 1), rnd.randint(0, 2)
+        word[p : p + (how > 0)] = [rnd.choice(letters)] if how < 2 else []
+    return "".join(word)
+
+
+def test_look_up_of_many_words_equals_that_of_each():
+    rnd = random.Random(3)
+    letters = "abcdeéσ中😀s"
+    lexicon = _lexicon(rnd, letters, 300)
+    words = ["", *{_misspelled(rnd, rnd.choice(list(lexicon.terms)), letters) for _ in range(600)}, *{_misspelled(rnd, "a" * 12, letters) for _ in range(50)}]
+    got = lexicon.look_up_all(words)
+    assert got == {w: hit for w in words if (hit := lexicon.look_up(w))} and len(got) > 150
+    assert lexicon.look_up_all([]) == {} and Lexicon({}, {}).look_up_all(["a", "abcdefghijkl"]) == {}
+    for w in words:
+        hit = brute.lexicon_hit(w, lexicon.terms, lexicon.stems, lexicon.innocent)
+        assert (got.get(w) and (got[w][1], got[w][0], got[w][2])) == hit
+
+
+def test_hits_of_a_table_equal_brute_force(table):
+    """Every word of every text against every term by its edit distance."""
+    rnd = random.Random(5)
+    letters = "abcdé"
+    lexicon = _lexicon(rnd, letters, 60)
+    forms = [str.upper, str.title, str, lambda w: f"({w},", lambda w: w + "-" + w, lambda w: '"' + w + '"']
+    rows = [(i, " ".join(rnd.choice(forms)(_misspelled(rnd, rnd.choice(list(lexicon.terms)), letters)) for _ in range(rnd.randint(0, 40)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (101, rows[0][1]), (102, rows[1][1] * 50), (None, rows[2][1])]
+    model = ToxicityModel(lexicon, np.array([0.5] * 6 + [-1.0]))
+    want = []
+    for d, text in rows:
+        hits = []
+        for place, token in enumerate(brute.WORD.findall((text or "").encode())):
+            for w in re.findall(r"[^\W_]+", token.decode().lower()):
+                if hit := brute.lexicon_hit(w, lexicon.terms, lexicon.stems, lexicon.innocent):
+                    hits.append((hit[1], w, place, hit[2]))
+        want.append((d, text, hits))
+    out = score_toxicity(table(rows).repartition(3), model, score="p").collect()
+    got = [(r.doc_id, r.text, [(h.term, h.word, h.place, h.edits) for h in r.toxic_hits]) for r in out]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(bool(w[2]) for w in want) > 40
+    for r in out:
+        own = [Hit(h.term, h.word, h.place, h.edits, h.quoted, lexicon.look_up(h.word)[1]) for h in r.toxic_hits]
+        z = float(np.dot(model.coefficients, [*features(own), 1.0]))
+        assert r.p == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
 def test_misspellings_of_all_terms_of_a_large_lexicon():
     rnd = random.Random(9)
     terms = {"".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randint(5, 9))): 1.0 + k for k, _ in enumerate(range(3000))}
