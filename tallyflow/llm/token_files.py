@@ -42,7 +42,8 @@ SHARD_TOKENS = 1 << 20
 BLOCK_TOKENS = 2 << 20
 PART_BYTES = 24 << 20
 #: Pieces that a task keeps, and ids that they make. Beyond, it begins anew.
-KEPT_PIECES, KEPT_IDS = 1 << 18, 1 << 22
+KEPT_PIECES, KEPT_IDS = 1 << 20, 1 << 23
+SLICE_BYTES = 2 << 20
 FORMAT = "part int, shard int, first_doc long, last_doc long, n_docs long, first_token long, n_tokens long, doc_ids binary, doc_tokens binary, grammars array<binary>"
 _FORMAT = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()),
@@ -70,10 +71,18 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of slices of documents, with the end id behind each document."""
+    """Ids of slices of documents, with the end id behind each document.
+
+    New pieces that begin with white space and end without are encoded as one text: the tokenizer parts them itself, and the bytes that
+    each id stands for tell where a piece ends. Others are encoded one by one.
+    """
 
     def __init__(self, tokenizer, end_id: int) -> None:
         self.tokenizer, self.end_id = tokenizer, end_id
+        special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.id_bytes = np.zeros(max(tokenizer.get_vocab_size(with_added_tokens=True), 1), np.int64)
+        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.id_bytes[i] = special.get(i, len(token))  # a letter of a byte-level token is a byte
         self._forget()
 
     def _forget(self) -> None:
@@ -82,17 +91,35 @@ class Encoder:
         self.flat[0] = self.end_id  # piece 0
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        got = [e.ids for lo in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in got], np.int64)
-        ids = np.fromiter((i for x in got for i in x), np.int32, int(sizes.sum()))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.number.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(got)), strict=True))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.used += len(ids)
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Add the pieces buf[start:end]."""
+        data = buf.tobytes()
+        last = buf[end - 1]
+        free = SPACE[buf[start]] & (_VISIBLE[last] | (_TWO_BYTES[buf[np.maximum(end - 2, 0)]] & (end - start > 2)))
+        ids, sizes = [], np.zeros(len(start), np.int64)
+        together, alone = np.flatnonzero(free), np.flatnonzero(~free)
+        if len(together):
+            text = b"".join([data[s:e] for s, e in zip(start[together].tolist(), end[together].tolist(), strict=True)])
+            got = np.array(self._encode([text.decode()])[0], np.int32)
+            ends = np.searchsorted(np.cumsum(self.id_bytes[got]), np.cumsum(end[together] - start[together])) + 1
+            sizes[together] = np.diff(ends, prepend=0)
+            ids.append(got)
+        if len(alone):
+            got = self._encode([data[s:e].decode() for s, e in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
+            sizes[alone] = [len(x) for x in got]
+            ids.append(np.array([i for x in got for i in x], np.int32))
+        order = np.concatenate([together, alone])
+        made = np.concatenate(ids)
+        if self.used + len(made) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(made), np.int32)])
+        self.flat[self.used : self.used + len(made)] = made
+        self.number.update(zip(hashes[order].tolist(), range(len(self.sizes), len(self.sizes) + len(order)), strict=True))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes[order]) - sizes[order]])
+        self.sizes = np.concatenate([self.sizes, sizes[order]])
+        self.used += len(made)
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each document has."""
@@ -102,13 +129,12 @@ class Encoder:
         hashes, pick, which = np.unique(byte_ranges(buf)(start, end), return_index=True, return_inverse=True)
         if len(self.number) + len(hashes) > KEPT_PIECES or self.used > KEPT_IDS:
             self._forget()
-        names = hashes.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.number]
-        if new:
-            data, where = buf.tobytes(), pick[new]
-            texts = [data[s:e].decode() for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)]
-            self._learn([names[i] for i in new], texts)
-        numbers = np.fromiter((self.number[h] for h in names), np.int64, len(names))
+        find = self.number.get
+        numbers = np.array([find(h, -1) for h in hashes.tolist()], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            self._learn(hashes[new], buf, start[pick[new]], end[pick[new]])
+            numbers[new] = [find(h) for h in hashes[new].tolist()]
         held = np.insert(numbers[which], first[1:], 0)  # the end id behind each document
         sizes = self.sizes[held]
         sums = np.concatenate([[0], np.cumsum(sizes)])
@@ -142,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
         shard, before, ids, tokens, sizes, n = 0, 0, [], [], [], 0
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for lo, hi, buf, offsets in slices(batch.column("text")):
+            for lo, hi, buf, offsets in slices(batch.column("text"), SLICE_BYTES):
                 own, own_sizes = encode(buf, offsets)
                 ids += names[lo:hi]
                 tokens.append(own)
