@@ -6,6 +6,7 @@ from tallyflow.catalog.registry import MIXED, STRETCHED, big, dbl, micros, money
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.categorize import parse_rules, type_from_column, type_from_sign, with_category, word_list
 from tallyflow.functions.money import MONEY
+from tallyflow.functions.rule_table import rule_table, with_table_category
 from tallyflow.plans import insights
 from tallyflow.session import shared_path
 from tallyflow.sources import feed, ledger, records, statement
@@ -44,6 +45,40 @@ def categorize_text(spark, sf_dir):
     return both.select("doc_id", "expense_category", F.col("category").alias("income_category"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, {case_sql('t', 'expense')} AS expense_category, {case_sql('t', 'income')} AS income_category FROM d""")
+def categorize_by_table(spark, sf_dir):
+    """Whole documents through the same rules as a table."""
+    docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), rule_table(spark)
+    as_expense = with_table_category(docs.withColumn("kind", F.lit("expense")), rules, "text", "kind")
+    both = with_table_category(as_expense.withColumnRenamed("category", "expense_category").withColumn("kind", F.lit("income")), rules, "text", "kind")
+    return both.select("doc_id", "expense_category", F.col("category").alias("income_category"))
+
+
+@query(f"""
+WITH rules AS (
+  SELECT c_custkey AS rule_no, CASE WHEN c_custkey % 2 = 1 THEN 'expense' END AS txn_type, c_mktsegment AS category,
+         CASE WHEN c_custkey % 10 = 7 THEN substr(lower(c_name), 1, 17) ELSE lower(c_name) END AS word, c_custkey % 5 = 0 AS no_errors FROM customer),
+e AS (
+  SELECT event_id, lower(event_type || ' by Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')) AS t, CASE WHEN event_type = 'signup' THEN 'income' ELSE 'expense' END AS kind FROM events)
+SELECT event_id, COALESCE(arg_min(category, rule_no), CASE kind WHEN 'income' THEN '{fv.DEFAULT_INCOME_CATEGORY}' ELSE '{fv.DEFAULT_EXPENSE_CATEGORY}' END) AS category
+FROM e LEFT JOIN rules ON contains(t, word) AND (txn_type IS NULL OR txn_type = kind) AND NOT (no_errors AND contains(t, 'error')) GROUP BY event_id, kind""")
+def categorize_customer_rules(spark, sf_dir):
+    """A rule for every customer's name: words that begin alike or hold one another, rules of a type, and words that must be absent."""
+    key, name = F.col("c_custkey"), F.lower("c_name")
+    customers = table(spark, sf_dir, "customer").select(
+        key.alias("rule_no"), F.when(key % 2 == 1, "expense").alias("txn_type"), F.col("c_mktsegment").alias("category"),
+        F.when(key % 10 == 7, F.substring(name, 1, 17)).otherwise(name).alias("word"), F.lit(False).alias("absent"),
+    )
+    no_errors = customers.filter("rule_no % 5 = 0").withColumns({"word": F.lit("error"), "absent": F.lit(True)})
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.col("event_type"), F.lit(" by Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("description"),
+        F.when(F.col("event_type") == "signup", "income").otherwise("expense").alias("txn_type"),
+    )
+    return with_table_category(events, customers.unionByName(no_errors)).select("event_id", "category")
+
+
 ZERO_WORDS = word_list(fv.ZERO_AMOUNT_INCOME_WORDS)
 
 
