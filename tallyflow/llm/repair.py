@@ -14,7 +14,7 @@ import numpy as np
 
 MIN_USES = 4  # a rule costs two symbols
 ROUNDS = 24
-LEAST_GAIN = 0.02  # share of symbols that a round must save to be followed by another
+LEAST_GAIN = 0.04  # share of symbols that a round must save to be followed by another
 _TABLE_BITS = 18
 _MAGIC = b"RPG1"
 

@@ -58,6 +58,24 @@ _TWO_BYTES = np.zeros(256, bool)
 _TWO_BYTES[0xC3:0xE0] = True
 
 
+#: Bytes of ASCII letters and of two-byte letters up to U+027F, all but the signs for times and division there.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA), *range(0x80, 0xC0)]] = True
+
+
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, np.uint32)
+    out[printable] = printable
+    rest = [b for b in range(256) if b not in printable]
+    out[rest] = 0x100 + np.arange(len(rest))
+    return out
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where pieces begin: those of the documents, and white space behind bytes that are none."""
     at = np.zeros(len(buf) + 1, bool)
@@ -73,12 +91,16 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of slices of documents, with the end id behind each document.
 
-    New pieces that begin with white space and end without are encoded as one text: the tokenizer parts them itself, and the bytes that
-    each id stands for tell where a piece ends. Others are encoded one by one.
+    New pieces of a blank and letters are one pre-token each and go to the tokenizer's model as such. Other new pieces that begin
+    with white space and end without are encoded as one text: the tokenizer parts them itself. In both, the bytes that
+    each id stands for tell where a piece ends. What is left is encoded one by one.
     """
 
     def __init__(self, tokenizer, end_id: int) -> None:
+        from tokenizers import Tokenizer
+
         self.tokenizer, self.end_id = tokenizer, end_id
+        self.model = Tokenizer(tokenizer.model)
         special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.id_bytes = np.zeros(max(tokenizer.get_vocab_size(with_added_tokens=True), 1), np.int64)
         for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
@@ -97,21 +119,35 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Add the pieces buf[start:end]."""
         data = buf.tobytes()
+        other = ~_LETTER[buf]
+        other[1:] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
+        others = np.concatenate([[0], np.cumsum(other)])
+        word = (buf[start] == 0x20) & (end - start > 1) & (others[end] == others[start + 1])
         last = buf[end - 1]
-        free = SPACE[buf[start]] & (_VISIBLE[last] | (_TWO_BYTES[buf[np.maximum(end - 2, 0)]] & (end - start > 2)))
+        free = ~word & SPACE[buf[start]] & (_VISIBLE[last] | (_TWO_BYTES[buf[np.maximum(end - 2, 0)]] & (end - start > 2)))
         ids, sizes = [], np.zeros(len(start), np.int64)
-        together, alone = np.flatnonzero(free), np.flatnonzero(~free)
+        words, together, alone = np.flatnonzero(word), np.flatnonzero(free), np.flatnonzero(~word & ~free)
+
+        def parted(some: np.ndarray, got: list[int]) -> None:
+            """Take the ids of some pieces, told apart by their bytes."""
+            ids.append(np.array(got, np.int32))
+            ends = np.searchsorted(np.cumsum(self.id_bytes[ids[-1]]), np.cumsum(end[some] - start[some])) + 1
+            sizes[some] = np.diff(ends, prepend=0)
+
+        if len(words):
+            size = end[words] - start[words]
+            letters = _BYTE_LETTERS[buf[spans(start[words], size)]].tobytes().decode("utf-32-le")
+            ends = np.cumsum(size).tolist()
+            own = [letters[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+            parted(words, self.model.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids)
         if len(together):
             text = b"".join([data[s:e] for s, e in zip(start[together].tolist(), end[together].tolist(), strict=True)])
-            got = np.array(self._encode([text.decode()])[0], np.int32)
-            ends = np.searchsorted(np.cumsum(self.id_bytes[got]), np.cumsum(end[together] - start[together])) + 1
-            sizes[together] = np.diff(ends, prepend=0)
-            ids.append(got)
+            parted(together, self._encode([text.decode()])[0])
         if len(alone):
             got = self._encode([data[s:e].decode() for s, e in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
             sizes[alone] = [len(x) for x in got]
             ids.append(np.array([i for x in got for i in x], np.int32))
-        order = np.concatenate([together, alone])
+        order = np.concatenate([words, together, alone])
         made = np.concatenate(ids)
         if self.used + len(made) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(made), np.int32)])
