@@ -95,3 +95,24 @@ def stream_feed_import(spark, sf_dir):
         feed = feed_rows(_event_stream(spark, sf_dir))
         ingest.start_feed_import(feed, path, shared_path(spark, "feed-checkpoint")).awaitTermination()
     return read_ledger(spark, path).select("user_id", "description", money("amount"), "category", "txn_type", micros("ts"))
+
+
+@query(with_(FEED, select=f"""
+SELECT user_id, description, {dbl('amount')} AS amount, category, txn_type, epoch_us(ts) AS ts FROM fresh
+UNION ALL SELECT user_id, description, {dbl('amount')}, category, txn_type, epoch_us(ts) FROM stored"""))
+def stream_feed_import_by_keys(spark, sf_dir):
+    """The same import checked against stored keys, in one stream of two batches that hold the same feed."""
+    from tallyflow.sources.feed import normalise_feed
+    from tallyflow.sources.keys import append_keys
+    from tallyflow.sources.ledger import append_ledger, read_ledger
+
+    path, keys, source = (shared_path(spark, x) for x in ("keyed-ledger", "ledger-keys", "keyed-feed"))
+    events, checkpoint = table(spark, sf_dir, "events"), shared_path(spark, "keyed-checkpoint")
+    stored = normalise_feed(feed_rows(events)).filter("category = 'purchase'")
+    append_ledger(stored.drop("seq"), path)
+    append_keys(stored, keys, -1)
+    for _ in range(2):
+        events.write.mode("append").parquet(source)
+        feed = feed_rows(spark.readStream.schema(events.schema).parquet(source))
+        ingest.start_feed_import_by_keys(feed, path, keys, checkpoint).awaitTermination()
+    return read_ledger(spark, path).select("user_id", "description", money("amount"), "category", "txn_type", micros("ts"))

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on a star schema whose customers lack one thing or another."""
+"""Every query of orders or line items against its SQL, where customers lack one thing or another."""
 
 import os
 
@@ -43,6 +43,6 @@ def con(folder):
     return duck(folder)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "orders" in ORACLES[n] or "lineitem" in ORACLES[n]))
 def test_query_equals_sql_for_odd_users(spark, con, folder, name):
     assert differences(spark, con, folder, QUERIES[name], ORACLES[name]) == []

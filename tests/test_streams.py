@@ -217,3 +217,56 @@ def test_month_totals_keep_rows_a_year_late(spark, tmp_path):
         totals.start_month_totals(stream, out, checkpoint).awaitTermination()
     got = {r["month"].strftime("%Y-%m"): (float(r["total"]), r["n"]) for r in totals.read_month_totals(spark, out).collect()}
     assert got == {"2022-01": (2.5, 1), "2024-06": (7.5, 3), "2025-01": (2.5, 1)}
+
+
+def feed_frame(spark, rows):
+    schema = "user_id long, seq long, name string, amount double, date date, category array<string>"
+    return spark.createDataFrame([(u, s, n, float(a), dt.date.fromisoformat(d), ["x"]) for u, s, n, a, d in rows], schema)
+
+
+def stored_rows(spark, path):
+    from tallyflow.sources.ledger import read_ledger
+
+    return sorted((r["user_id"], r["description"], float(r["amount"]), r["ts"].date().isoformat()) for r in read_ledger(spark, path).collect())
+
+
+def test_import_by_keys(spark, tmp_path, monkeypatch):
+    """As the import that reads the ledger; late rows, copies, batches broken off between keys and rows, and compaction."""
+    from tallyflow.sources import keys as keys_of
+
+    rng = random.Random(5)
+    plain, ledger, keys = (str(tmp_path / x) for x in ("plain", "ledger", "keys"))
+    for batch in range(5):
+        rows = [(rng.randrange(3), 100 * batch + i, f"n{rng.randrange(6)}", rng.randrange(1, 4), f"202{rng.randrange(4)}-0{rng.randrange(1, 10)}-01") for i in range(60)]
+        feed = feed_frame(spark, rows)
+        ingest.import_batch(feed, plain)
+        if batch == 2:
+            with monkeypatch.context() as broken:
+                broken.setattr(ingest, "append_ledger", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    ingest.import_batch_by_keys(feed, ledger, keys, batch)
+        for _ in range(1 + batch % 2):
+            ingest.import_batch_by_keys(feed, ledger, keys, batch)
+        if batch == 3:
+            keys_of.compact_keys(spark, keys, ["2021-01", "2021-02", "2020-05"])
+        assert stored_rows(spark, ledger) == stored_rows(spark, plain)
+    held = keys_of.read_keys(spark, keys).select("user_id", "description", "amount", "ts").distinct().count()
+    assert held == len(stored_rows(spark, ledger))
+
+
+def test_a_late_row_reads_one_bucket(spark, tmp_path):
+    """Of the keys only buckets of the batch's months are scanned, and the ledger not at all."""
+    from tallyflow.sources import keys as keys_of
+    from tallyflow.sources.feed import normalise_feed
+
+    path = str(tmp_path / "keys")
+    many = feed_frame(spark, [(u, u, f"n{u}", 1, f"2024-0{1 + u % 9}-01") for u in range(900)])
+    keys_of.append_keys(normalise_feed(many), path, 0)
+    late = keys_of.with_digest(normalise_feed(feed_frame(spark, [(9, 1, "n9", 1, "2024-01-01"), (7, 2, "new", 1, "2024-01-01")])))
+    found = keys_of.known(late, keys_of.read_keys(spark, path))
+    assert [(r["user_id"], r["description"]) for r in found.collect()] == [(9, "n9")]
+    read = {f.split("/part-")[0].split("/keys/")[1] for f in keys_of.in_buckets(keys_of.read_keys(spark, path), late).select("_metadata.file_path").distinct().toPandas()["file_path"]}
+    assert len(read) == late.select("bucket").distinct().count() and all(r.startswith("month=2024-01/") for r in read)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [concat_ws(/, month" in plan and str(tmp_path / "ledger") not in plan
+    assert len([p for p in (tmp_path / "keys" / "month=2024-01").iterdir() if p.name.startswith("bucket=")]) == keys_of.BUCKETS
