@@ -9,7 +9,7 @@ from tallyflow.functions.money import MONEY
 from tallyflow.functions.rule_table import rule_table, with_table_category
 from tallyflow.plans import insights
 from tallyflow.session import shared_path
-from tallyflow.sources import feed, ledger, records, statement
+from tallyflow.sources import feed, ledger, records, statement, versions
 from tallyflow.sources.star import (
     HOUSEHOLD_NAMES, event_ledger, events_as_mixed_ledger, mixed_event_ledger, statement_rows, stretched, table,
 )
@@ -287,6 +287,17 @@ def sync_report(spark, sf_dir):
     return feed.sync_report(rows, stored).select("user_id", big("total"), big("imported"))
 
 
+@query(with_(FEED, select="""
+SELECT (SELECT COUNT(*) FROM rows) AS total, (SELECT COUNT(*) FROM fresh) AS imported, (SELECT COUNT(*) FROM fresh) AS stored"""))
+def sync_report_observed(spark, sf_dir):
+    """Rows seen and imported, observed while the new rows are written, beside what is stored then."""
+    rows, stored = _feed_and_ledger(spark, sf_dir)
+    path = shared_path(spark, "observed")
+    found = feed.observed_import(rows, stored, lambda fresh: ledger.append_ledger(fresh.drop("seq"), path))
+    there = ledger.read_ledger(spark, path).agg(F.count("*").alias("stored"))
+    return there.select(F.lit(found["total"]).cast("bigint").alias("total"), F.lit(found["imported"]).cast("bigint").alias("imported"), "stored")
+
+
 @query("SELECT c_custkey AS account_id, c_name AS account_name FROM customer WHERE c_acctbal > 0")
 def active_accounts(spark, sf_dir):
     accounts = table(spark, sf_dir, "customer").select(
@@ -356,6 +367,19 @@ def insight_store_replace(spark, sf_dir):
     return _cols(ledger.read_insights(spark, path))
 
 
+@query(_feed_sql())
+def insight_store_versions(spark, sf_dir):
+    """The same replacement in one step: a first set, a second one that is written and never committed, and the full set."""
+    rows = mixed_event_ledger(spark, sf_dir)
+    path = shared_path(spark, "insight-versions")
+    first = _stored_feed(spark, rows.filter("category IN ('purchase', 'view')"), "2024-01-01")
+    versions.replace_at_once(first, None, path)
+    broken_off = _stored_feed(spark, rows.filter("category = 'click'"), "2024-01-01").withColumn("bucket", F.lit(0))
+    broken_off.write.partitionBy("bucket").parquet(f"{path}/data/version=1")
+    versions.replace_at_once(_stored_feed(spark, rows, "2024-01-02"), rows.select("user_id"), path)
+    return _cols(versions.read_version(spark, path, first.schema))
+
+
 def _twice():
     return f"SELECT * FROM ({_feed_sql()}) UNION ALL SELECT * FROM ({_feed_sql()})"
 

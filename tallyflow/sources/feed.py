@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions.money import to_money
@@ -42,6 +42,18 @@ def new_rows(feed: DataFrame, ledger: DataFrame) -> DataFrame:
     return distinct.join(ledger.select(*SAME).distinct(), SAME, "left_anti")
 
 
+def observed_import(feed: DataFrame, ledger: DataFrame, write) -> dict[str, int]:
+    """Import the new rows with `write(rows)`, one action, and return how many rows were seen and how many imported.
+
+    Both numbers are observed while that action runs, so nothing is read again for the report.
+    """
+    seen, imported = Observation(), Observation()
+    count = F.count(F.lit(1))
+    fresh = new_rows(feed.observe(seen, count.alias("total")), ledger)
+    write(fresh.observe(imported, count.alias("imported")))
+    return {**seen.get, **imported.get}
+
+
 def sync_report(feed: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows seen and rows imported, by user."""
     seen = feed.groupBy("user_id").agg(F.count("*").alias("total"))
