@@ -7,7 +7,7 @@ still accepts, so shared beginnings of terms are compared once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -51,13 +51,12 @@ class LevenshteinAutomaton:
         return min((e for i, e in state if i == len(self.word)), default=None)
 
 
-def _shortened(word: str) -> set[str]:
-    """The word, and what it is without any one of its letters."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE, _INVERSE_2 = (U(pow(_BASE, -n, 1 << 64)) for n in (1, 2))
 
 
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = U(pow(_BASE, -1, 1 << 64))
+#: Hashes tested at a time.
+AT_ONCE = 1 << 20
 
 
 class _Prefixes:
@@ -79,25 +78,34 @@ class _Prefixes:
     def whole(self, rows: np.ndarray, k: int) -> np.ndarray:
         return mix(self.sums[rows, k] ^ U(k))
 
-    def shortened(self, rows: np.ndarray, k: int) -> np.ndarray:
-        """Hashes of the first k letters of some words without the first, second, ... of them; last, with all."""
+    def variants(self, rows: np.ndarray, k: int, deletions: int) -> np.ndarray:
+        """Hashes of some words of k letters, whole and without any one or two of their letters."""
         sums = self.sums[rows]
-        out = np.empty((len(sums), k + 1), U)
-        out[:, :k] = mix((sums[:, :k] + (sums[:, k, None] - sums[:, 1 : k + 1]) * _INVERSE) ^ U(k - 1))
-        out[:, k] = mix(sums[:, k] ^ U(k))
-        return out
+        end = sums[:, k, None]
+        parts = [end ^ U(k)]
+        if deletions and k:
+            i = np.arange(k)
+            parts.append((sums[:, i] + (end - sums[:, i + 1]) * _INVERSE) ^ U(k - 1))
+        if deletions > 1 and k > 1:
+            i, j = np.triu_indices(k, 1)
+            parts.append((sums[:, i] + (sums[:, j] - sums[:, i + 1]) * _INVERSE + (end - sums[:, j + 1]) * _INVERSE_2) ^ U(k - 2))
+        return mix(np.concatenate(parts, axis=1))
+
+
+def _neighbourhood(words: list[str], deletions: int) -> np.ndarray:
+    """Hashes of words and of what they are without some letters."""
+    by_size: dict[int, list[str]] = {}
+    for w in words:
+        by_size.setdefault(len(w), []).append(w)
+    parts = [_Prefixes(some, size).variants(np.arange(len(some)), size, deletions).ravel() for size, some in by_size.items()]
+    return np.concatenate([np.zeros(0, U), *parts])
 
 
 class _Hashes:
     """A set of hashes that says fast of most others that they are not in it."""
 
-    def __init__(self, strings: Iterable[str]) -> None:
-        strings = list(strings)
-        by_size: dict[int, list[str]] = {}
-        for s in strings:
-            by_size.setdefault(len(s), []).append(s)
-        parts = [_Prefixes(some, size).whole(np.arange(len(some)), size) for size, some in by_size.items()]
-        self.values = np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.values = np.unique(hashes)
         self.shift = U(64 - max(10, (16 * len(self.values)).bit_length()))
         self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
         self.bits[self.values >> self.shift] = True
@@ -122,27 +130,12 @@ class Lexicon:
         self.lengths = sorted({len(s) for s in stems})
         self.fuzzy_from, self.two_from = fuzzy_from, two_from
         self.tries: dict[int, dict] = {1: {}, 2: {}}  # of the terms that may have so many edits
-        self.near: set[str] = set()  # terms of one edit, whole and without a letter
-        self.heads: set[str] = set()  # first halves of terms of two edits, whole and without a letter
-        self.tails: set[str] = set()
-        heads, tails = set(), set()  # lengths of what may be a misspelled half
         for term in terms:
             if len(term) >= fuzzy_from:
-                edits = self.budget(term)
-                node = self.tries[edits]
+                node = self.tries[self.budget(term)]
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[""] = term
-                if edits == 1:
-                    self.near |= _shortened(term)
-                    continue
-                half = len(term) // 2
-                self.heads |= _shortened(term[:half])
-                self.tails |= _shortened(term[half:])
-                heads.update((half - 1, half, half + 1))
-                tails.update((len(term) - half - 1, len(term) - half, len(term) - half + 1))
-        self.head_sizes, self.tail_sizes = sorted(heads), sorted(tails)
-
         self._sets: tuple[_Hashes, ...] | None = None
 
     def __reduce__(self):
@@ -152,8 +145,9 @@ class Lexicon:
     def budget(self, term: str) -> int:
         return 2 if len(term) >= self.two_from else 1
 
-    def look_up(self, word: str) -> tuple[str, float, int] | None:
-        """The best (term, weight, edits) for a word. Misspelled terms weigh half for each edit."""
+    def look_up(self, word: str, edits: tuple[int, ...] = (1, 2)) -> tuple[str, float, int] | None:
+        """The best (term, weight, edits) for a word. Misspelled terms weigh half for each edit. ``edits`` says for which budgets
+        misspelled terms may be found."""
         found = (word, self.terms[word], 0) if word in self.terms else None
         for n in self.lengths:
             weight = self.stems.get(word[:n])
@@ -161,61 +155,53 @@ class Lexicon:
                 found = (word[:n] + "*", weight, 0)
         if found or word in self.innocent or len(word) < self.fuzzy_from - 1:
             return found
-        return max(self._misspelled(word), key=lambda x: (x[1], x[0]), default=None)
-
-    def _may_be_misspelled(self, word: str, edits: int) -> bool:
-        """Whether the trie of ``edits`` may hold a term for the word. Two strings are one edit apart only if they are equal once each
-        has lost a letter at most; of two edits, one half of the term has one at most, wherever they are."""
-        size = len(word)
-        if edits == 1:
-            return size <= self.two_from and not self.near.isdisjoint(_shortened(word))
-        if size < self.two_from - 2:
-            return False
-        return any(k <= size and not self.heads.isdisjoint(_shortened(word[:k])) for k in self.head_sizes) or any(
-            k <= size and not self.tails.isdisjoint(_shortened(word[size - k :])) for k in self.tail_sizes
-        )
-
-    def may_hit(self, words: list[str]) -> np.ndarray:
-        """Which of the words ``look_up`` may find something for: what it tests word by word, for all of them by hashes."""
+        return max((hit for most in edits for hit in self._misspelled(word, most)), key=lambda x: (x[1], x[0]), default=None)
+
+    def may_hit(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the words ``look_up`` may find something for: as they are or by a stem, and with one or up to two edits.
+
+        Two strings are n edits apart at most only if they are equal once each has lost n letters at most, so words whose deletion
+        neighbourhood meets that of no term are told by their hashes. Of the others nearly all are found.
+        """
         if self._sets is None:
-            self._sets = tuple(_Hashes(x) for x in (self.stems, self.near, self.heads, (t[::-1] for t in self.tails)))
-        stems, near, heads, tails = self._sets
-        out = np.array([w in self.terms for w in words], bool)
-        if not len(out):
-            return out
-        ahead = _Prefixes(words, max([*self.lengths, *self.head_sizes, self.two_from]))
-        for n in self.lengths:
-            rows = np.flatnonzero(ahead.sizes >= n)
-            out[rows] |= stems.hold(ahead.whole(rows, n))
-        for size in range(self.fuzzy_from - 1, self.two_from + 1):
-            rows = np.flatnonzero((ahead.sizes == size) & ~out)
-            out[rows] |= near.hold(ahead.shortened(rows, size)).any(axis=1)
-        for sizes, held, found in ((self.head_sizes, heads, ahead), (self.tail_sizes, tails, None)):
-            found = found or _Prefixes([w[::-1] for w in words], max([*sizes, 1]))
-            for k in sizes:
-                rows = np.flatnonzero((found.sizes >= max(k, self.two_from - 2)) & ~out)
-                out[rows] |= held.hold(found.shortened(rows, k)).any(axis=1)
-        return out
+            near = [[t for t in self.terms if len(t) >= self.fuzzy_from and self.budget(t) == n] for n in (1, 2)]
+            self._longest = max((len(t) for t in near[1]), default=0)
+            self._sets = (_Hashes(_neighbourhood(list(self.stems), 0)), *(_Hashes(_neighbourhood(some, n)) for n, some in enumerate(near, 1)))
+        stems, one, two = self._sets
+        known = np.array([w in self.terms for w in words], bool)
+        near = {1: np.zeros(len(words), bool), 2: np.zeros(len(words), bool)}
+        if len(words):
+            p = _Prefixes(words, max([*self.lengths, self._longest + 2, self.two_from]))
+            for n in self.lengths:
+                rows = np.flatnonzero(p.sizes >= n)
+                known[rows] |= stems.hold(p.whole(rows, n))
+            for n, held, sizes in ((1, one, range(self.fuzzy_from - 1, self.two_from + 1)), (2, two, range(self.two_from - 2, self._longest + 3))):
+                for size in sizes if len(held.values) else ():
+                    rows = np.flatnonzero((p.sizes == size) & ~known)
+                    at_once = max(1, AT_ONCE // (1 + size + size * size // 2))
+                    for lo in range(0, len(rows), at_once):
+                        some = rows[lo : lo + at_once]
+                        near[n][some] = held.hold(p.variants(some, size, n)).any(axis=1)
+        return known, near[1], near[2]
 
     def look_up_all(self, words: list[str]) -> dict[str, tuple[str, float, int]]:
         """``look_up`` of many words: those that are found."""
+        known, one, two = self.may_hit(words)
         out = {}
-        for i in np.flatnonzero(self.may_hit(words)).tolist():
-            if found := self.look_up(words[i]):
+        for i in np.flatnonzero(known | one | two).tolist():
+            if found := self.look_up(words[i], tuple(n for n, near in ((1, one), (2, two)) if near[i])):
                 out[words[i]] = found
         return out
 
-    def _misspelled(self, word: str) -> Iterator[tuple[str, float, int]]:
-        for most, trie in self.tries.items():
-            if not self._may_be_misspelled(word, most):
-                continue
-            automaton = LevenshteinAutomaton(word, most)
-            walk = [(trie, automaton.start())]
-            while walk:
-                node, state = walk.pop()
-                for letter, child in node.items():
-                    if letter == "":
-                        if edits := automaton.distance(state):
-                            yield child, self.terms[child] * 0.5**edits, edits
-                    elif after := automaton.step(state, letter):
-                        walk.append((child, after))
+    def _misspelled(self, word: str, most: int) -> Iterator[tuple[str, float, int]]:
+        trie = self.tries[most]
+        automaton = LevenshteinAutomaton(word, most)
+        walk = [(trie, automaton.start())]
+        while walk:
+            node, state = walk.pop()
+            for letter, child in node.items():
+                if letter == "":
+                    if edits := automaton.distance(state):
+                        yield child, self.terms[child] * 0.5**edits, edits
+                elif after := automaton.step(state, letter):
+                    walk.append((child, after))
