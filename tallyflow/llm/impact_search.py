@@ -172,7 +172,8 @@ def top_k(
     # query blocks are as large as index blocks, though fewer; a copy of each goes to each index block
     queries = blocks(rows.where("asks"), True, max(2, math.ceil(n / 50)))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    met = blocks(rows, False, n).unionByName(queries).repartition(n, "block").sortWithinPartitions("block", "asks")
+    # by range, as a hash would put several blocks into some tasks and none into others
+    met = blocks(rows, False, n).unionByName(queries).repartitionByRange(n, "block").sortWithinPartitions("block", "asks")
     found = met.mapInArrow(_search(k), _FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,6 +35,8 @@ PERCENT = 85
 BANDS, BAND_BINS = 32, 4
 #: Documents of a block in which members of a star are compared with each other.
 BLOCK = 256
+#: Parts of a star when its members are given their blocks.
+STAR_SALTS = 16
 _BIN_BITS = 7
 BINS = 1 << _BIN_BITS
 _SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -214,8 +216,10 @@ def near_duplicates(
     sizes = star.groupBy("c", "component").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("c").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
     blocks = open_.select("c", "largest", F.ceil(F.col("all") / BLOCK).alias("mb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("ob"))
-    rest = star.join(blocks, "c")
-    block = lambda n: F.pmod(F.xxhash64("m"), F.col(n)).alias(n)
+    # a star may hold a third of all documents: its members are dealt over salts of its centre; open stars, a row each, meet every salt
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
+    rest = star.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(STAR_SALTS)).cast("int")).join(salted, ["c", "salt"])
+    block = lambda n: F.pmod(F.xxhash64("m", F.lit(1)), F.col(n)).alias(n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n)
     here = rest.select("c", block("mb"), every("ob"), "m", "component", F.lit(False).alias("asks"))
     there = rest.where("component <> largest").select("c", every("mb"), block("ob"), "m", "component", F.lit(True).alias("asks"))
