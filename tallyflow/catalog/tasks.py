@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tallyflow.catalog.registry import big, num, query, r, with_
 from tallyflow.operators import tasks
+from tallyflow.session import shared_path
 from tallyflow.sources.star import task_log, table, workflow_steps
+from tallyflow.streaming import changes
 
 TASKS = """tasks AS (
   SELECT event_id AS task_id, user_id, CASE event_type WHEN 'click' THEN 'financial' WHEN 'view' THEN 'research'
@@ -82,19 +84,35 @@ resets AS (SELECT task_id, max(i) AS i, arg_max(op, i) AS op FROM numbered WHERE
 since AS (SELECT n.*, r.i AS reset, r.op AS reset_op FROM numbered n LEFT JOIN resets r USING (task_id))"""
 
 
-@query(with_(CHANGES, select="""
+LATEST = with_(CHANGES, select="""
 SELECT task_id, arg_max(change_id, i) AS change_id,
        COALESCE(arg_max(status, i) FILTER (status IS NOT NULL AND op = 'update' AND i > COALESCE(reset, 0)),
                 CASE WHEN any_value(reset_op) = 'rerun' THEN 'pending' END) AS status,
        arg_max(result, i) FILTER (result IS NOT NULL AND op = 'update' AND i > COALESCE(reset, 0)) AS result,
        arg_max(completed_at, i) FILTER (completed_at IS NOT NULL AND op = 'update' AND i > COALESCE(reset, 0)) AS completed_at,
        arg_max(priority, i) FILTER (op = 'update') AS priority
-FROM since GROUP BY task_id HAVING arg_max(op, i) <> 'delete'"""))
+FROM since GROUP BY task_id HAVING arg_max(op, i) <> 'delete'""")
+
+
+@query(LATEST)
 def task_latest(spark, sf_dir):
     """Edits name only some fields; a rerun clears status, result and completion."""
+    return tasks.latest_tasks(_changes(spark, sf_dir)).select("task_id", "change_id", "status", "result", "completed_at", "priority")
+
+
+@query(LATEST)
+def task_latest_increments(spark, sf_dir):
+    """The same from stored states: the log comes in six batches that each span all its time, the last one twice; the first four are compacted."""
+    path, log = shared_path(spark, "task-states"), _changes(spark, sf_dir)
+    for batch in (0, 1, 2, 3, 4, 5, 5):
+        changes.add_changes(log.filter(F.col("change_id") % 6 == batch), path, batch, every=4)
+    return changes.current_tasks(spark, path).select("task_id", "change_id", "status", "result", "completed_at", "priority")
+
+
+def _changes(spark, sf_dir):
     kind, number = F.col("event_type"), F.col("event_id")
     done = F.when(F.col("value") < 100, "completed").otherwise("failed")
-    changes = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         number.alias("change_id"),
         (F.col("user_id") * 100 + F.get_json_object("props", "$.k").cast("bigint")).alias("task_id"),
         F.col("ts").alias("updated_at"),
@@ -104,7 +122,6 @@ def task_latest(spark, sf_dir):
         F.when(F.col("value") < 100, number).alias("completed_at"),
         F.concat(F.lit("p"), (number % 4).cast("string")).alias("priority"),
     )
-    return tasks.latest_tasks(changes).select("task_id", "change_id", "status", "result", "completed_at", "priority")
 
 
 STEPS = """steps AS (

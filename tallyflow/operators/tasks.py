@@ -60,14 +60,33 @@ def latest_tasks(changes: DataFrame, fields: tuple[str, ...] = ("status", "resul
     without result and without time of completion; a deleted task is gone. So each field is the last one named since the
     last rerun or delete. One aggregate; nothing is sorted.
     """
+    return settled_tasks(task_states(changes, fields), fields)
+
+
+def task_states(changes: DataFrame, fields: tuple[str, ...] = ("status", "result")) -> DataFrame:
+    """What a set of changes says about each task: its last change, its last rerun or delete, and each field as last named.
+
+    All are greatest places in the log with what stands there, so states of parts of a log are merged by taking the greatest again, in
+    any order and however often; see `merged_states`.
+    """
     place = F.struct("updated_at", "change_id")
     rerun = F.col("op") == "rerun"
     reset = F.col("op") != "update"
     columns = [f.name for f in changes.schema.fields if f.name not in ("task_id", "op", "updated_at", "change_id", *fields)]
     named = [F.max(F.when(F.col(f).isNotNull() & ~reset, F.struct(place.alias("at"), F.col(f).alias("value")))).alias(f) for f in (*fields, *columns)]
-    last = changes.groupBy("task_id").agg(
+    return changes.groupBy("task_id").agg(
         F.max(F.struct(place.alias("at"), F.col("op"))).alias("_last"), F.max(F.when(reset, F.struct(place.alias("at"), rerun.alias("rerun")))).alias("_reset"), *named
     )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state for each task out of those of parts of the log."""
+    return states.groupBy("task_id").agg(*[F.max(c).alias(c) for c in states.columns if c != "task_id"])
+
+
+def settled_tasks(states: DataFrame, fields: tuple[str, ...] = ("status", "result")) -> DataFrame:
+    """Current tasks from one state each."""
+    columns = [c for c in states.columns if c not in ("task_id", "_last", "_reset", *fields)]
     cleared = {"status", "result", "completed_at"}
 
     def value(name: str) -> Column:
@@ -75,7 +94,7 @@ def latest_tasks(changes: DataFrame, fields: tuple[str, ...] = ("status", "resul
         kept = F.when(named_since, F.col(f"{name}.value")) if name in cleared else F.col(f"{name}.value")
         return F.coalesce(kept, F.when(F.col("_reset.rerun"), "pending")).alias(name) if name == "status" else kept.alias(name)
 
-    return last.filter("_last.op <> 'delete'").select(
+    return states.filter("_last.op <> 'delete'").select(
         "task_id", F.col("_last.at.change_id").alias("change_id"), F.col("_last.at.updated_at").alias("updated_at"), F.col("_last.op").alias("op"),
         *[value(f) for f in (*fields, *columns)],
     )

@@ -270,3 +270,29 @@ def test_a_late_row_reads_one_bucket(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [concat_ws(/, month" in plan and str(tmp_path / "ledger") not in plan
     assert len([p for p in (tmp_path / "keys" / "month=2024-01").iterdir() if p.name.startswith("bucket=")]) == keys_of.BUCKETS
+
+
+def test_task_states_equal_the_whole_log(spark, tmp_path):
+    """After every batch, in any order, run again or not, before and after compaction."""
+    from tallyflow.operators.tasks import latest_tasks
+    from tallyflow.streaming import changes
+
+    rng = random.Random(8)
+    schema = "task_id long, change_id long, updated_at timestamp_ntz, op string, status string, result string, completed_at long, priority string"
+    rows = []
+    for i in range(400):
+        op = rng.choice(["update", "update", "update", "rerun", "delete"])
+        some = lambda *x: rng.choice([None, *x]) if op == "update" else None
+        rows.append((rng.randrange(25), i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(200)), op, some("completed", "failed"), some("a", "b"), some(1, 2), some("high")))
+    path, seen = str(tmp_path / "states"), []
+    assert changes.current_tasks(spark, path) is None
+    for batch in range(9):
+        part = rows[batch::9]
+        seen += part
+        for _ in range(1 + batch % 2):
+            changes.add_changes(spark.createDataFrame(part, schema), path, batch, every=4)
+        if batch in (0, 3, 4, 8):
+            want = latest_tasks(spark.createDataFrame(seen, schema))
+            got = changes.current_tasks(spark, path).select(*want.columns)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert not (tmp_path / "states" / "batch=0").exists()  # the log of old batches is gone
