@@ -37,6 +37,8 @@ LENGTH = 400
 GRAM = 64
 #: Fragments sorted together; those of one gram always are.
 AT_ONCE = 4096
+#: Symbols into which a side of a fragment is cut for sorting.
+SYMBOLS = 8
 #: Fragments of a gram, distinct ones of every chunk added up, beyond which its strings are compared by hash.
 HOT = 4096
 _MOST = 0xFFFF
@@ -149,7 +151,7 @@ def repeated_strings(fragments: np.ndarray, start: np.ndarray, texts: np.ndarray
             index = anchor[lo : lo + 512, None] + (place if step > 0 else -1 - place)
             np.clip(index, 0, len(texts) - 1, out=index)
             rows[lo : lo + 512] = np.where(place < count[lo : lo + 512, None], texts[index], np.uint8(0))
-        order = row_order(rows, -(-width // 4))
+        order = row_order(rows, -(-width // SYMBOLS))
         return order, common_prefixes(rows[order])
 
     right, right_common = context(1, length, more + length - left)

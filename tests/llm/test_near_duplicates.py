@@ -38,6 +38,24 @@ def test_a_star_whose_centre_holds_nothing_together(table):
     assert result(table, rows) == brute.near_duplicates(rows)
 
 
+def test_a_star_of_a_thousand_unlinked_members(table):
+    """A template that a thousand documents share and fill in differently: alike enough to meet, too unlike to be linked, but for pairs."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        for place in range(3, 60, 15):
+            words[place] = f"own{i}-{place}"
+        rows.append((i + 5, " ".join(words)))
+        if i % 50 == 0:
+            rows.append((5000 + i, " ".join([*words, f"tail{i}"])))
+    rnd.shuffle(rows)
+    got, sizes = result(table, rows)
+    assert len(sizes) == 1020
+    assert got == {d: d - 4995 if d >= 5000 else d for d, _ in rows}
+
+
 def test_components_of_paths_stars_and_loops(spark):
     rnd = random.Random(2)
     nodes = list(range(100))
