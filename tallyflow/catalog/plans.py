@@ -7,7 +7,9 @@ from tallyflow.catalog.registry import HOUSEHOLD, METRICS, PROFILES, STAR, big,
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.money import round_to
 from tallyflow.operators import planning
+from tallyflow.plans.refresh import refresh_reports, stored_reports
 from tallyflow.plans.report import comprehensive_report, reports_for
+from tallyflow.session import shared_path
 from tallyflow.sources.star import debts, household_ledger, profiles, star_ledger, table
 
 INCOMES = """incomes AS (
@@ -220,6 +222,17 @@ def comprehensive(spark, sf_dir):
     return out.select(*_flat(out))
 
 
+@query(REPORT + "SELECT * FROM full_report")
+def report_refresh(spark, sf_dir):
+    """The same reports after three batches, by years: each batch brings new reports to its own users only, the last one twice."""
+    path, whole = shared_path(spark, "reports"), household_ledger(spark, sf_dir)
+    year = F.year("ts")
+    for batch, (low, high) in enumerate(((0, 1995), (1996, 1998), (1999, 9999))):
+        for _ in range(1 + batch // 2):
+            refresh_reports(whole.filter(year.between(low, high)), whole.filter(year <= high), profiles(spark, sf_dir), path, batch)
+    return stored_reports(spark, path).select(*_flat(None))
+
+
 @query(REPORT + """SELECT c_custkey AS user_id, CASE WHEN total_income IS NULL THEN 'No financial data available' END AS message,
        health_score, overall_risk_level FROM customer LEFT JOIN full_report ON user_id = c_custkey""")
 def report_for_all_users(spark, sf_dir):

@@ -20,18 +20,27 @@ from tallyflow.operators.skew import SPLIT_ROWS, attach_group_stats
 KEYS = ("category", "month", "day", "season")
 
 
-def _cells(ledger: DataFrame) -> DataFrame:
-    """Sums by user, type and each of KEYS in turn; the other keys are NULL. `by` names the key.
-
-    Laid out by user, so that what follows needs no more shuffles.
-    """
+def cell_sums(ledger: DataFrame) -> DataFrame:
+    """Sums by user, type and each of KEYS in turn; the other keys are NULL. `by` names the key. Cells of parts of a ledger add up,
+    see `merged_cells`."""
     n, s, q = moments.sums(F.col("amount"))
     rows = ledger.select(
         "user_id", "txn_type", "category", "amount", F.date_trunc("month", "ts").alias("month"), F.to_date("ts").alias("day"), F.month("ts").alias("season")
     )
     sets = rows.groupingSets([["user_id", "txn_type", k] for k in KEYS], "user_id", "txn_type", *KEYS)
     mark = F.coalesce(*[F.when(F.grouping(k) == 0, k) for k in KEYS])
-    cells = sets.agg(n.alias("n"), s.alias("total"), q.alias("q"), F.max("amount").alias("largest"), mark.alias("by")).repartition("user_id")
+    return sets.agg(n.alias("n"), s.alias("total"), q.alias("q"), F.max("amount").alias("largest"), mark.alias("by"))
+
+
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """Cells of several parts as those of the whole."""
+    sums = [F.sum(c).alias(c) for c in ("n", "total", "q")]
+    return cells.groupBy("user_id", "txn_type", *KEYS, "by").agg(*sums, F.max("largest").alias("largest")).select(*cells.columns)
+
+
+def _placed(cells: DataFrame) -> DataFrame:
+    """The cells laid out by user, so that what follows needs no more shuffles, with the number of each month."""
+    cells = cells.repartition("user_id")
     in_order = Window.partitionBy("user_id", "txn_type", "by").orderBy("month")
     x = F.when(F.col("by") == "month", F.row_number().over(in_order) - 1)
     return cells.withColumn("x", x).withColumn("y", F.col("total").cast("double"))
@@ -187,7 +196,12 @@ def comprehensive_report(ledger: DataFrame, profiles: DataFrame, split_rows: int
     Maps and arrays of a user are bounded by its categories and the calendar; the anomalies themselves are the rows
     of `report_anomalies`.
     """
-    cells = _cells(ledger)
+    return report_from_cells(cell_sums(ledger), ledger, profiles, split_rows)
+
+
+def report_from_cells(cells: DataFrame, ledger: DataFrame, profiles: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The report out of the cells of the same ledger, which is read for outlying rows alone."""
+    cells = _placed(cells)
     wide = with_profile(_numbers(cells), profiles).join(_anomalies(ledger, cells, split_rows), "user_id", "left")
     savings, expense_ratio, volatility = F.col("savings_rate"), F.col("expense_ratio"), F.col("volatility")
     employment = F.col("employment_type")

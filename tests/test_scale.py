@@ -245,3 +245,23 @@ def test_task_listing_by_chunk(spark):
         own = [r for r in order if r[1] == user]
         assert [got[(user, n + 1)][0] for n in range(len(own))] == [r[0] for r in own]
     assert got[(7, sum(r[1] == 7 for r in rows))] == (900, None)
+
+
+def test_refreshed_reports_equal_full_runs(make_ledger, profiles, tmp_path):
+    """Five batches in any order of time: after some of them the stored reports are those of the whole ledger so far."""
+    from tallyflow.catalog.plans import _flat
+    from tallyflow.plans.refresh import refresh_reports, stored_reports
+
+    rows = [r for r in random_rows(7, n=150) if r[0] != 3 or r[4] < "2024-03"]
+    who, path = profiles((0, "gig", "low"), (2, "formal", None)), str(tmp_path / "reports")
+    whole = make_ledger(rows).cache()
+    for batch in range(5):
+        new = whole.filter(f"txn_id % 5 = {batch}")
+        if batch % 2:
+            new = new.filter("user_id < 3")  # others wait: their reports stay as they were
+        so_far = whole.filter(f"txn_id % 5 <= {batch} AND (txn_id % 5 % 2 = 0 OR user_id < 3)")
+        refresh_reports(new, so_far, who, path, batch, every=2, split_rows=20)
+        if batch in (1, 4):
+            refresh_reports(new, so_far, who, path, batch, every=2, split_rows=20)
+            flat = lambda report: rows_of(report.select(*_flat(None)))
+            assert flat(stored_reports(whole.sparkSession, path)) == flat(comprehensive_report(so_far, who))
