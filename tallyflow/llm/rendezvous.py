@@ -9,6 +9,7 @@ nor buckets depend on any key of the data, so none is hot. All of it is plain gr
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -22,14 +23,17 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 MOST_BATCH_BYTES = 8 << 20
 MESSAGES = "chunk long, bucket long, message binary"
 REPLIES = "chunk long, bucket long, reply binary"
+_JOIN = re.compile(r"\bJoin (Inner|Left|Right|Full|Cross)")
 _MESSAGES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("message", pa.binary())])
 _REPLIES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("reply", pa.binary())])
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a frame's size; measured where it has none (frames made from local rows)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 50:
+    """The planner's estimate of a frame's size; measured where it has none (frames made from local rows), and behind joins, for which
+    it takes the product of the sides."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < 1 << 50 and not _JOIN.search(plan.toString()):
         return size
     strings = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
     return int(sum(df.agg(*strings).first())) if strings else 0

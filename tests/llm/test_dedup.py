@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tallyflow.llm.kernels import Words, slices
 from tallyflow.llm.line_dedup import line_bitmaps, line_dedup
-from tallyflow.llm.rendezvous import chunked
+from tallyflow.llm.rendezvous import chunked, stored_bytes
 from tallyflow.llm.substring_dedup import difference_cover, substring_dedup
 from tallyflow.llm.suffix_dedup import HOT, sliding_least, suffix_dedup
 from tallyflow.llm.suffix_groups import common_prefixes, row_order, suffix_array
@@ -153,3 +153,10 @@ def test_slices_and_words_keep_to_documents():
 def test_rows_of_one_id_are_dealt_over_chunks(table):
     rows = [(1, f"text number {i}") for i in range(64)]
     assert chunked(table(rows), "doc_id", "text", 8).select("chunk").distinct().count() == 8
+
+
+def test_sizes_behind_joins_are_measured(table, spark):
+    docs = table([(i, "text" * 10) for i in range(50)]).select("doc_id", "text")
+    joined = docs.join(spark.range(0, 10_000, 1, 2).withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
+    assert stored_bytes(joined) == 50 * 40
+    assert stored_bytes(spark.range(1000).selectExpr("id", "CAST(id AS string) AS text")) > 0
