@@ -90,7 +90,7 @@ SELECT user_id, category, {dbl('amount')} AS amount, k1 AS order_key, k2 AS line
        n_rows, {r('mean', 3)} AS mean, {r('sd', 3)} AS sd
 FROM spikes WHERE amount > mean + 2 * sd""")
 def spending_spikes(spark, sf_dir):
-    out = anomaly.spending_spikes(star_ledger(spark, sf_dir))
+    out = anomaly.spending_spikes(star_ledger(spark, sf_dir), times_of=star_ledger(spark, sf_dir, with_category=False))
     return out.select("user_id", "category", money("amount"), *star_keys(), big("n_rows"), num("mean", 3), num("sd", 3))
 
 

@@ -109,18 +109,20 @@ def change_percent(recent, previous):
 
 
 def spending_spikes(
-    ledger: DataFrame, times: float = 2.0, depth: int = 30, chunk_by: str = "month"
+    ledger: DataFrame, times: float = 2.0, depth: int = 30, chunk_by: str = "month", split_rows: int = SPLIT_ROWS, times_of: DataFrame | None = None
 ) -> DataFrame:
     """Each expense against its category among the user's latest 30 rows up to it, in date order.
 
     A spike is above mean + 2 population sd of at least 3 such expenses (itself among them), once the user has 5
     rows. `position` numbers the user's rows; a range of 29 positions within the category is the same set of
-    rows as a filter over the last 30, without building an array per row. A user's rows are windowed by calendar
-    chunks (`chunk_by`: month, week, day, ...), each with the 29 rows before it, so a user of any size is spread over tasks.
+    rows as a filter over the last 30, without building an array per row. The rows of a user with more than `split_rows` are
+    windowed by runs of calendar chunks (`chunk_by`: month, week, day, ...), each with the 29 rows before it, so a user of any size
+    is spread over tasks. `times_of` holds user_id and ts of the same rows, where a narrower plan gives them.
     """
     rows = ledger.select("user_id", "ts", "txn_id", "category", "txn_type", "amount")
-    chunked = rows.withColumn("chunk", F.date_trunc(chunk_by, "ts"))
-    framed = with_carried_rows(chunked, "user_id", ORDER, depth - 1)
+    chunk = F.date_trunc(chunk_by, "ts").alias("chunk")
+    sizes = (ledger if times_of is None else times_of).select("user_id", chunk)
+    framed = with_carried_rows(rows.select("*", chunk), "user_id", ORDER, depth - 1, split_rows, sizes)
     in_order = Window.partitionBy("user_id", "chunk").orderBy(*ORDER)
     same = (
         Window.partitionBy("user_id", "chunk", "category")

@@ -100,6 +100,22 @@ def test_spikes_are_windowed_by_month(make_ledger, monkeypatch):
     assert given[0].groupBy("user_id", "chunk").count().agg({"count": "max"}).first()[0] == 31
 
 
+@pytest.mark.parametrize("split_rows", [1, 10, 40, 100])
+@pytest.mark.parametrize("chunk_by", ["day", "month"])
+def test_spikes_of_split_users_equal_brute_force(make_ledger, chunk_by, split_rows):
+    rows = random_rows(13, n=300)
+    got = {r["txn_id"] for r in anomaly.spending_spikes(make_ledger(rows), chunk_by=chunk_by, split_rows=split_rows).collect()}
+    assert got == brute_force_spikes(rows) and got
+
+
+def test_users_of_few_rows_carry_none(spark):
+    """A row a chunk: a copy of 29 rows for each would be 29 times the input. Cut users get one chunk of copies a part."""
+    rows = spark.range(4000).selectExpr("id % 20 AS user_id", "id AS ts", "id AS txn_id", "id AS chunk")
+    assert with_carried_rows(rows, "user_id", ["ts", "txn_id"], 29).filter("carried").count() == 0
+    cut = with_carried_rows(rows, "user_id", ["ts", "txn_id"], 29, 100).groupBy("user_id", "chunk").agg({"carried": "max", "*": "count"}).collect()
+    assert sorted((r["chunk"], r["count(1)"]) for r in cut) == [(0, 100)] * 20 + [(1, 129)] * 20
+
+
 def test_outliers_equal_brute_force(make_ledger):
     rows = random_rows(11)
     want = set()
