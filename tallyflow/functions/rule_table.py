@@ -3,7 +3,8 @@
 The keyword rules of `categorize` are one CASE expression, which fits a fixed table of some dozens. A table of thousands is matched
 by an automaton instead (Aho and Corasick, 1975): it reads a text once, whatever the number of words. It is built from a block of rules
 and sent to the tasks, which run it over all texts of a batch in step; a larger table is several blocks in order of the rules, and a later
-block decides only what no earlier one did. So what is broadcast and held by a task is bounded by ``BLOCK_LETTERS``.
+block decides only what no earlier one did. So what is broadcast and held by a task is bounded by ``BLOCK_LETTERS``. As each block reads
+all texts, a table of more than ``MOST_BLOCKS`` of them is joined to the texts instead, see `word_hits`.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.categorize import parse_rules
+from tallyflow.functions.word_hits import first_categories
 
 RULES = "rule_no long, txn_type string, category string, word string, absent boolean"
 BLOCK_LETTERS = 100_000
+MOST_BLOCKS = 4
 #: Letters of the pieces that texts are cut into, so that a long text is read as many short ones.
 PIECE = 512
 
@@ -149,7 +152,7 @@ def _blocks(rules: DataFrame, letters: int) -> Iterator[list[tuple[str, str | No
 
 def with_table_category(
     df: DataFrame, rules: DataFrame, description: str = "description", txn_type: str = "txn_type", own_category: str | None = None,
-    defaults: dict[str, str] | None = None, block_letters: int = BLOCK_LETTERS,
+    defaults: dict[str, str] | None = None, block_letters: int = BLOCK_LETTERS, most_blocks: int = MOST_BLOCKS,
 ) -> DataFrame:
     """Add `category`: the user's own column where it is set, else that of the matching rule with the least number, else the default.
 
@@ -161,7 +164,13 @@ def with_table_category(
     out = df.withColumn("_lowered", F.lower(F.coalesce(F.col(description), F.lit("")))).withColumn("_named", F.lit(None).cast("string"))
     schema = StructType([*(f for f in out.schema.fields if f.name != "_named"), StructField("_named", StringType())])
     out = out.select(*schema.names)
-    for block in _blocks(rules, block_letters):
+    letters = rules.agg(F.sum(F.length("word"))).first()[0] or 0
+    if letters > most_blocks * block_letters:
+        key = F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), txn_type), F.lit("")), F.lit("\0"), F.col("_lowered")), 256)
+        keyed = out.drop("_named").withColumn("_key", key)
+        named = first_categories(keyed.select(F.col("_key").alias("key"), F.col(txn_type).alias("kind"), F.col("_lowered").alias("lowered")), rules)
+        out = keyed.join(named.select(F.col("key").alias("_key"), F.col("named").alias("_named")), "_key", "left").select(*schema.names)
+    for block in _blocks(rules, block_letters) if letters <= most_blocks * block_letters else ():
         given = df.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,33 @@ def test_ten_thousand_rules(spark):
     assert sum(c.startswith("c") for c in got.values()) > 100
     none = spark.createDataFrame([], RULES)
     assert {r["category"] for r in with_table_category(df, none).collect()} == {"Other Income", "Other"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_joined_rules_equal_plain_search(spark, seed):
+    """Words of any length, empty ones, pieces in many words, absent words and types, without a block that reads all texts."""
+    rnd = random.Random(seed)
+    letters = "aab😀é "
+    word = lambda a, n: "".join(rnd.choice(letters) for _ in range(rnd.randint(a, n)))
+    texts = [word(0, 90) for _ in range(300)] + ["", "zz", "b" * 200, "x" * 99]
+    part = lambda: (lambda t, a: t[a : a + rnd.choice([2, 5, 8, 9, 16, 17, 40, 70])])(rnd.choice(texts), rnd.randint(0, 20))
+    rules = [(rnd.choice([None, "x", "y"]), [part() or "zz" for _ in range(rnd.randint(0, 3))], [word(1, 4) for _ in range(rnd.choice([0, 0, 2]))]) for _ in range(60)]
+    rules += [("y", [""], ["aa", "zz"]), ("x", [""], [""]), ("x", ["b" * 150, "x" * 64], []), (None, ["x" * 30], ["x" * 100])]
+    rows = [(i, rnd.choice(["x", "y", "other", None]), t) for i, t in enumerate(texts)]
+    table = [(i, kind, f"c{i}", w, gone) for i, (kind, words, absent) in enumerate(rules) for gone, some in ((False, words), (True, absent)) for w in some]
+    df = spark.createDataFrame(rows, "id int, txn_type string, description string").repartition(3)
+    got = {r["id"]: r["category"] for r in with_table_category(df, spark.createDataFrame(table, RULES), most_blocks=0).collect()}
+    for i, kind, text in rows:
+        rule = first_rule(text, kind, rules)
+        assert got[i] == (f"c{rule}" if rule >= 0 else "Other"), (text, kind)
+    assert len(set(got.values())) > 10
+
+
+def test_many_rules_are_no_chain_of_passes(spark):
+    """A hundred blocks of rules would read all texts a hundred times."""
+    rules = spark.range(2000).selectExpr("id AS rule_no", "CAST(NULL AS STRING) AS txn_type", "concat('c', id) AS category", "concat('name#', id) AS word", "false AS absent")
+    df = spark.range(50).selectExpr("concat('by Name#', 40 * id) AS description", "'income' AS txn_type", "40 * id AS id")
+    out = with_table_category(df, rules, block_letters=150)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") < 5
+    names = {r["id"]: r["category"] for r in out.collect()}
+    assert names[0] == "c0" and names[40] == "c4" and names[1960] == "c1"
