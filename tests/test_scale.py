@@ -281,3 +281,13 @@ def test_refreshed_reports_equal_full_runs(make_ledger, profiles, tmp_path):
             refresh_reports(new, so_far, who, path, batch, every=2, split_rows=20)
             flat = lambda report: rows_of(report.select(*_flat(None)))
             assert flat(stored_reports(whole.sparkSession, path)) == flat(comprehensive_report(so_far, who))
+
+
+def test_report_cells_are_not_copied_for_each_key(ledger, profiles):
+    """Sums by category, month, day and season come from one row a cell: a ledger row is not shuffled four times."""
+    from tallyflow.plans.report import _placed, cell_sums
+
+    assert "Expand" not in comprehensive_report(ledger, profiles((0, "gig", "low")))._jdf.queryExecution().optimizedPlan().toString()
+    cells = _placed(cell_sums(ledger))
+    counts = {r["by"]: r["n"] for r in cells.groupBy("by").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert counts == dict.fromkeys(("category", "month", "day", "season"), ledger.count())
