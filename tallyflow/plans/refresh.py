@@ -1,6 +1,6 @@
 """Reports kept up to date: what a batch adds to a user's cells is stored, and only users of the batch get a new report.
 
-The numbers of a report come from sums by month, category, day and season, which add up over batches. A refresh reads the stored cells of the
+The numbers of a report come from sums by category and day, which add up over batches. A refresh reads the stored cells of the
 touched users, and of the ledger their rows alone, for the outliers. Reports are a table of last values by user.
 """
 
@@ -17,14 +17,14 @@ from tallyflow.streaming.keyed import COMPACT_EVERY, read_keyed, write_keyed
 def refresh_reports(batch: DataFrame, ledger: DataFrame, profiles: DataFrame, path: str, batch_id: int, every: int = COMPACT_EVERY, split_rows: int = SPLIT_ROWS) -> None:
     """Bring the stored reports up to a batch of new rows, which the ledger already holds. A batch that is run again changes nothing.
 
-    `ledger` should be read with the users' rows pruned as far as its layout allows; other users' rows are left out by a semi-join here.
+    `ledger` should be read with the users' rows pruned as far as its layout allows; other users' rows meet no statistics here. The users
+    are read from the stored cells of the batch, so that the batch itself is read once.
     """
     spark = batch.sparkSession
     write_part(cell_sums(batch), f"{path}/cells", merged_cells, batch_id, every)
-    users = batch.select("user_id").distinct()
-    cells = read_merged(spark, f"{path}/cells", merged_cells, batch_id + 1).join(users, "user_id", "left_semi")
-    mine = ledger.join(users, "user_id", "left_semi")
-    write_keyed(report_from_cells(cells, mine, profiles, split_rows), f"{path}/reports", ["user_id"], batch_id, every)
+    users = spark.read.parquet(f"{path}/cells/batch={batch_id}").select("user_id").distinct()
+    cells = read_merged(spark, f"{path}/cells", lambda parts: parts, batch_id + 1).join(users, "user_id", "left_semi")
+    write_keyed(report_from_cells(cells, ledger, profiles, split_rows), f"{path}/reports", ["user_id"], batch_id, every)
 
 
 def stored_reports(spark, path: str) -> DataFrame | None:
