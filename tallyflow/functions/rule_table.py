@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyflow.functions import fixed_values as fv
 from tallyflow.functions.categorize import parse_rules
-from tallyflow.functions.word_hits import first_categories
+from tallyflow.functions.word_hits import first_categories, slices
 
 RULES = "rule_no long, txn_type string, category string, word string, absent boolean"
 BLOCK_LETTERS = 100_000
@@ -180,9 +180,10 @@ def with_table_category(
                 open_ = [i for i, name in enumerate(named) if name is None]
                 some = batch.take(pa.array(open_, pa.int64()))
                 texts, kinds = (some.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_lowered", txn_type))
-                for i, rule in zip(open_, automaton.first_rules(texts, kinds).tolist(), strict=True):
-                    if rule >= 0:
-                        named[i] = given.value[rule][0]
+                for a, b in slices(texts):  # what is held for each letter is many times the text
+                    for i, rule in zip(open_[a:b], automaton.first_rules(texts[a:b], kinds[a:b]).tolist(), strict=True):
+                        if rule >= 0:
+                            named[i] = given.value[rule][0]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string())], names=batch.schema.names)
 
         out = out.mapInArrow(match, schema)

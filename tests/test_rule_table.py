@@ -94,3 +94,14 @@ def test_many_rules_are_no_chain_of_passes(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") < 5
     names = {r["id"]: r["category"] for r in out.collect()}
     assert names[0] == "c0" and names[40] == "c4" and names[1960] == "c1"
+
+
+def test_texts_are_read_in_slices(spark):
+    """The automaton holds many bytes a letter, so a batch of long texts goes through it in parts."""
+    from tallyflow.functions.word_hits import SLICE, slices
+
+    assert list(slices(["a" * 5, "b" * 5, "", "c" * 30, "d"], 10)) == [(0, 3), (3, 4), (4, 5)] and list(slices([])) == []
+    texts = ["x" * (SLICE // 4) + ("salary" if i % 2 else "") for i in range(12)]
+    df = spark.createDataFrame([(i, t, "income") for i, t in enumerate(texts)], "id int, description string, txn_type string").coalesce(1)
+    got = {r["id"]: r["category"] for r in with_table_category(df, rule_table(spark)).collect()}
+    assert {got[i] for i in range(0, 12, 2)} == {"Other Income"} and len({got[i] for i in range(1, 12, 2)} - {"Other Income"}) == 1
