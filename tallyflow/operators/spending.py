@@ -40,14 +40,12 @@ def month_series(ledger: DataFrame) -> DataFrame:
 def spending_summary(ledger: DataFrame) -> DataFrame:
     """Per user: spending by category and by month as maps, the total and the mean monthly total.
 
-    One aggregate by category and month feeds both maps. A user with no expenses gets empty maps and zeros.
+    Grouping sets read the ledger once for both maps. Rows that are no expenses count for the user alone, so they carry no
+    category or month and collapse before the shuffle.
     """
-    cells = ledger.groupBy("user_id", "category", month_of().alias("month")).agg(
-        F.sum(F.when(is_expense(), F.col("amount"))).alias("total")
-    )
-    # Grouping sets over the already small cells: the ledger is read and shuffled once for both breakdowns.
-    sums = cells.groupingSets([["user_id", "category"], ["user_id", "month"]], "user_id", "category", "month").agg(
-        F.sum("total").alias("total"), F.grouping("category").alias("is_month")
+    spending = [F.when(is_expense(), value).alias(name) for name, value in (("category", F.col("category")), ("month", month_of()), ("amount", F.col("amount")))]
+    sums = ledger.select("user_id", *spending).groupingSets([["user_id", "category"], ["user_id", "month"]], "user_id", "category", "month").agg(
+        F.sum("amount").alias("total"), F.grouping("category").alias("is_month")
     )
     spent = F.col("total").isNotNull()
     of_month = spent & (F.col("is_month") == 1)
