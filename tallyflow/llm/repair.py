@@ -26,7 +26,7 @@ def _spread(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
     x ^= x >> np.uint32(15)
     x *= np.uint32(0xC2B2AE35)
     x >>= np.uint32(32 - _TABLE_BITS)
-    return x.view(np.int32)
+    return x.astype(np.int64)
 
 
 def _chosen(rank: np.ndarray) -> np.ndarray:
@@ -61,14 +61,14 @@ class Grammar:
     @staticmethod
     def of(ids: np.ndarray, last: np.ndarray, alphabet: int) -> Grammar:
         """The grammar of a sequence. No symbol goes on behind an id that is ``last`` (of its document)."""
-        seq, last = ids.astype(np.int32), last.copy()
+        seq, last = ids.astype(np.int32), np.flatnonzero(last)
         lefts, rights, lengths = [], [], [np.ones(alphabet, np.int64)]
         size = alphabet
         for salt in range(ROUNDS):
             if len(seq) < 2:
                 break
             place = _spread(seq[:-1], seq[1:], salt)
-            place[last[:-1]] = 1 << _TABLE_BITS  # no pair
+            place[last[last < len(place)]] = 1 << _TABLE_BITS  # no pair
             counts = np.bincount(place, minlength=(1 << _TABLE_BITS) + 1)
             counts[-1] = 0
             # places that many pairs meet in are looked at again: one pair is the place's, and counted exactly
@@ -80,14 +80,15 @@ class Grammar:
             holder = np.zeros(1 << _TABLE_BITS, np.int64)
             holder[place] = pair
             own = holder[place] == pair
-            at, place = at[own], place[own]
-            uses = np.bincount(place, minlength=1 << _TABLE_BITS)
-            frequent = uses[place] >= MIN_USES
-            at, place = at[frequent], place[frequent]
-            rank = np.zeros(len(seq), np.int64)
-            rank[at] = uses[place] << _TABLE_BITS | place
+            uses = np.bincount(place[own], minlength=1 << _TABLE_BITS)
+            frequent = np.flatnonzero(uses >= MIN_USES)
+            order = frequent[np.argsort(uses[frequent], kind="stable")]  # by uses, then by place
+            ranks = np.zeros(1 << _TABLE_BITS, np.int32)
+            ranks[order] = np.arange(1, len(order) + 1)
+            rank = np.zeros(len(seq), np.int32)
+            rank[at] = ranks[place] * own
             where = _chosen(rank)
-            place = rank[where] & (1 << _TABLE_BITS) - 1
+            place = order[rank[where] - 1]
             uses = np.bincount(place, minlength=1 << _TABLE_BITS)
             kept = uses[place] >= MIN_USES
             where, place = where[kept], place[kept]
@@ -103,10 +104,9 @@ class Grammar:
             rights.append(r)
             size += len(made)
             seq[where] = number[place]
-            last[where] = last[where + 1]
             keep = np.ones(len(seq), bool)
             keep[where + 1] = False
-            seq, last = seq[keep], last[keep]
+            seq, last = seq[keep], last - np.searchsorted(where, last)
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return Grammar(alphabet, join(lefts), join(rights), np.concatenate(lengths)[alphabet:], seq)
 

@@ -14,8 +14,9 @@ of its own (``repair``). The format is Parquet, a row for each shard in ascendin
 Rules never reach over the end of a document. First and last document are in the file's statistics, so that looking for documents reads
 only the row groups that hold them; within a shard the expansion lengths tell which symbols hold a range of ids.
 
-Encoding: a text is cut before white space that follows a letter, digit or mark; where a byte-level tokenizer of this kind ends a pre-token
-in any case, which is tested on probes first. Each distinct piece of a slice is encoded once and kept, up to a bounded number, for the task's
+Encoding: a text is cut before white space that follows a letter, digit or mark, and before a mark that follows a letter; where a byte-level
+tokenizer of this kind ends a pre-token in any case, which is tested on probes first (of one that joins letters and marks, texts are
+cut before white space alone). Each distinct piece of a slice is encoded once and kept, up to a bounded number, for the task's
 further slices. Pieces of a slice are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has the end id alone; special strings in texts are what the tokenizer's own default makes of them; rows
@@ -50,6 +51,9 @@ _FORMAT = pa.schema([
     ("doc_ids", pa.binary()), ("doc_tokens", pa.binary()), ("grammars", pa.list_(pa.binary())),
 ])
 _PROBES = ("a b", "it's  Tuesday\n\n3 dogs...", "x\t<|endoftext|> y", "É é ß    z", "the\x0bend   of", " lead trail ", "12 'll  　x")
+#: Marks before which a text may be cut behind a letter. No apostrophe, as it begins endings of words.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+_MARK_PROBES = ("is it, now... Or b.c?", "déjà; né! don't,'tis", "x<|endoftext|>y, a,,b %%% the)")
 
 #: Bytes after which a text may be cut if white space follows: visible ASCII, and the second byte of the two-byte letters from U+00C0 on.
 _VISIBLE = np.zeros(256, bool)
@@ -61,6 +65,8 @@ _TWO_BYTES[0xC3:0xE0] = True
 #: Bytes of ASCII letters and of two-byte letters up to U+027F, all but the signs for times and division there.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA), *range(0x80, 0xC0)]] = True
+_TWO_BYTE_LETTER = np.zeros(256, bool)
+_TWO_BYTE_LETTER[0xC3:0xCA] = True
 
 
 def _byte_letters() -> np.ndarray:
@@ -76,18 +82,62 @@ def _byte_letters() -> np.ndarray:
 _BYTE_LETTERS = _byte_letters()
 
 
-def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where pieces begin: those of the documents, and white space behind bytes that are none."""
+def _cuts(buf: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Places where pieces begin: those of the documents, white space behind bytes that are none, and marks behind letters."""
     at = np.zeros(len(buf) + 1, bool)
     if len(buf) > 1:
         safe = _VISIBLE[buf[:-1]]
         safe[1:] |= _TWO_BYTES[buf[:-2]]
         at[1:-1] = SPACE[buf[1:]] & safe
+        mark = np.flatnonzero(marks[buf[1:]]) + 1
+        one, two = buf[mark - 1], buf[np.maximum(mark - 2, 0)]
+        sign = (two == 0xC3) & ((one == 0x97) | (one == 0xB7))
+        at[mark] |= _LETTER[one] & ((one < 0x80) | (_TWO_BYTE_LETTER[two] & ~sign))
     at[offsets] = True
     at[-1] = False
     return np.flatnonzero(at)
 
 
+class Numbers:
+    """Numbers above 0 by distinct 64-bit hashes, all looked up at once: a table in which a hash that finds its place taken goes to the next."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.count, self.shift, self.mask = 0, np.uint64(64 - bits), (1 << bits) - 1
+        self.hashes, self.numbers = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Their numbers, 0 for hashes that have none."""
+        at = self._places(hashes)
+        found = self.numbers[at]
+        left = np.flatnonzero((found > 0) & (self.hashes[at] != hashes))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            found[left] = self.numbers[at]
+            other = (found[left] > 0) & (self.hashes[at] != hashes[left])
+            left, at = left[other], at[other]
+        return found
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Take distinct hashes that have no number so far. At most half of the places are taken."""
+        if 2 * (self.count + len(hashes)) > len(self.hashes):
+            held = np.flatnonzero(self.numbers)
+            hashes, numbers = np.concatenate([self.hashes[held], hashes]), np.concatenate([self.numbers[held], numbers])
+            self.__init__((4 * len(hashes)).bit_length())
+        self.count += len(hashes)
+        at, left = self._places(hashes), np.arange(len(hashes))
+        while len(left):
+            free = left[self.numbers[at[left]] == 0]
+            self.numbers[at[free]] = numbers[free]  # one of those that meet in a place gets it
+            got = free[self.numbers[at[free]] == numbers[free]]
+            self.hashes[at[got]] = hashes[got]
+            left = left[self.hashes[at[left]] != hashes[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+
 class Encoder:
     """Ids of slices of documents, with the end id behind each document.
 
@@ -96,10 +146,13 @@ class Encoder:
     each id stands for tell where a piece ends. What is left is encoded one by one.
     """
 
-    def __init__(self, tokenizer, end_id: int) -> None:
+    def __init__(self, tokenizer, end_id: int, marks: bytes = _MARKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = tokenizer, end_id
+        own = {b for t in tokenizer.get_added_tokens_decoder().values() for b in t.content.encode()}
+        self.marks = np.zeros(256, bool)
+        self.marks[[b for b in marks if b not in own]] = True  # no special string is cut
         self.model = Tokenizer(tokenizer.model)
         special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.id_bytes = np.zeros(max(tokenizer.get_vocab_size(with_added_tokens=True), 1), np.int64)
@@ -108,7 +161,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[int, int] = {}
+        self.number = Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 1
         self.flat[0] = self.end_id  # piece 0
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -116,8 +169,8 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Add the pieces buf[start:end]."""
+    def _learn(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Add the pieces buf[start:end]; their numbers."""
         data = buf.tobytes()
         other = ~_LETTER[buf]
         other[1:] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
@@ -152,26 +205,31 @@ class Encoder:
         if self.used + len(made) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(made), np.int32)])
         self.flat[self.used : self.used + len(made)] = made
-        self.number.update(zip(hashes[order].tolist(), range(len(self.sizes), len(self.sizes) + len(order)), strict=True))
+        numbers = np.empty(len(order), np.int32)
+        numbers[order] = np.arange(len(self.sizes), len(self.sizes) + len(order))
+        self.number.add(hashes, numbers)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes[order]) - sizes[order]])
         self.sizes = np.concatenate([self.sizes, sizes[order]])
         self.used += len(made)
+        return numbers
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each document has."""
-        start = _cuts(buf, offsets)
+        start = _cuts(buf, offsets, self.marks)
         end = np.append(start[1:], len(buf)) if len(start) else start
         first = np.searchsorted(start, offsets)  # the first piece of each document
-        hashes, pick, which = np.unique(byte_ranges(buf)(start, end), return_index=True, return_inverse=True)
-        if len(self.number) + len(hashes) > KEPT_PIECES or self.used > KEPT_IDS:
-            self._forget()
-        find = self.number.get
-        numbers = np.array([find(h, -1) for h in hashes.tolist()], np.int64)
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            self._learn(hashes[new], buf, start[pick[new]], end[pick[new]])
-            numbers[new] = [find(h) for h in hashes[new].tolist()]
-        held = np.insert(numbers[which], first[1:], 0)  # the end id behind each document
+        hashes = byte_ranges(buf)(start, end)
+        numbers = self.number.find(hashes)
+        missing = np.flatnonzero(numbers == 0)
+        if len(missing):
+            new, pick, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            if self.number.count + len(new) > KEPT_PIECES or self.used > KEPT_IDS:
+                self._forget()
+                missing = np.arange(len(hashes))
+                new, pick, which = np.unique(hashes, return_index=True, return_inverse=True)
+            at = missing[pick]
+            numbers[missing] = self._learn(new, buf, start[at], end[at])[which]
+        held = np.insert(numbers, first[1:], 0)  # the end id behind each document
         sizes = self.sizes[held]
         sums = np.concatenate([[0], np.cumsum(sizes)])
         return self.flat[spans(self.starts[held], sizes)], np.diff(sums[first + np.arange(len(first))])
@@ -190,17 +248,20 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, i
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     tokenizer = _tokenizer(definition)
-    for probe in _PROBES:
-        data = np.frombuffer(probe.encode(), np.uint8)
-        got, _ = Encoder(tokenizer, end_id)(data, np.array([0, len(data)]))
-        if got[:-1].tolist() != tokenizer.encode(probe, add_special_tokens=False).ids:
-            raise ValueError("this tokenizer joins what lies on both sides of white space")
+
+    def fits(marks: bytes, probes: tuple[str, ...]) -> bool:
+        encode = Encoder(tokenizer, end_id, marks)
+        return all(encode(np.frombuffer(p.encode(), np.uint8), np.array([0, len(p.encode())]))[0][:-1].tolist() == tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
+
+    if not fits(b"", _PROBES):
+        raise ValueError("this tokenizer joins what lies on both sides of white space")
+    marks = _MARKS if fits(_MARKS, (*_PROBES, *_MARK_PROBES)) else b""
     alphabet = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     given = docs.sparkSession.sparkContext.broadcast(definition)
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(_tokenizer(given.value), end_id), TaskContext.get().partitionId()
+        encode, part = Encoder(_tokenizer(given.value), end_id, marks), TaskContext.get().partitionId()
         shard, before, ids, tokens, sizes, n = 0, 0, [], [], [], 0
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
