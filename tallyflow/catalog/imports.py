@@ -11,7 +11,7 @@ from tallyflow.plans import insights
 from tallyflow.session import shared_path
 from tallyflow.sources import feed, ledger, records, statement, versions
 from tallyflow.sources.star import (
-    HOUSEHOLD_NAMES, event_ledger, events_as_mixed_ledger, mixed_event_ledger, statement_rows, stretched, table,
+    HOUSEHOLD_NAMES, documents, event_ledger, events_as_mixed_ledger, mixed_event_ledger, statement_rows, stretched, table,
 )
 
 AS_OF = "2024-06-30 00:00:00"
@@ -37,7 +37,7 @@ WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
 SELECT doc_id, {case_sql('t', 'expense')} AS expense_category, {case_sql('t', 'income')} AS income_category FROM d""")
 def categorize_text(spark, sf_dir):
     """Whole documents through both halves of the rule table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     as_expense = with_category(docs.withColumn("kind", F.lit("expense")), "text", "kind")
     both = with_category(
         as_expense.withColumnRenamed("category", "expense_category").withColumn("kind", F.lit("income")), "text", "kind"
@@ -50,7 +50,7 @@ WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
 SELECT doc_id, {case_sql('t', 'expense')} AS expense_category, {case_sql('t', 'income')} AS income_category FROM d""")
 def categorize_by_table(spark, sf_dir):
     """Whole documents through the same rules as a table."""
-    docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), rule_table(spark)
+    docs, rules = documents(spark, sf_dir).select("doc_id", "text"), rule_table(spark)
     as_expense = with_table_category(docs.withColumn("kind", F.lit("expense")), rules, "text", "kind")
     both = with_table_category(as_expense.withColumnRenamed("category", "expense_category").withColumn("kind", F.lit("income")), rules, "text", "kind")
     return both.select("doc_id", "expense_category", F.col("category").alias("income_category"))
@@ -90,13 +90,13 @@ SELECT doc_id, CASE WHEN amount > 0 THEN 'income' WHEN amount < 0 THEN 'expense'
 def type_inference(spark, sf_dir):
     """English documents have amount 0, so their words decide."""
     n = F.col("n_chars")
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", "text", F.lower("text").alias("t"),
         F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", n).otherwise(-n).alias("amount"),
     )
     return docs.select(
         "doc_id", type_from_sign(F.col("amount"), F.col("t")).alias("type_by_sign"),
-        type_from_column(F.col("text")).alias("type_by_column"),
+        type_from_column(F.col("text"), F.col("t")).alias("type_by_column"),
     )
 
 

@@ -84,9 +84,13 @@ def type_from_sign(amount: Column, lowered: Column) -> Column:
     return F.when(amount > 0, "income").when(amount < 0, "expense").when(zero_income, "income").otherwise("expense")
 
 
-def type_from_column(value: Column) -> Column:
-    """A type column that mentions income or credit is income, whatever the sign of the amount."""
-    lowered = F.lower(F.coalesce(value, F.lit("")))
+def type_from_column(value: Column, lowered: Column | None = None) -> Column:
+    """A type column that mentions income or credit is income, whatever the sign of the amount.
+
+    For long texts give `lowered`, an existing column of the lower-cased value: it is computed once per row then, not once per word.
+    """
+    if lowered is None:
+        lowered = F.lower(F.coalesce(value, F.lit("")))
     return F.when(contains_any(lowered, fv.INCOME_TYPE_WORDS), "income").otherwise("expense")
 
 

@@ -1,5 +1,8 @@
 """What a task holds is bounded: fewer aggregates in one stage, and joins in pieces by stored size."""
 
+from __spark_entry__ import queries
+from pyspark.sql import functions as F
+from tallyflow.functions.categorize import type_from_column
 from tallyflow.operators import spending
 from tallyflow.sources import star
 
@@ -27,3 +30,27 @@ def test_join_of_lines_goes_by_stored_size(spark, monkeypatch):
     n = star.stored_bytes(spark, f"{SF}/lineitem.parquet") // 5_000
     assert n >= star.MANY_PIECES and lines.rdd.getNumPartitions() == orders.rdd.getNumPartitions() == n
     assert [rows(f(spark, SF)) for f in (star.star_ledger, star.debts, star.statement_rows)] == whole
+
+
+def test_large_documents_of_few_row_groups_are_spread(spark, monkeypatch):
+    """One row group is one task; eight cores share its rows."""
+    query, sf = queries()["type_inference"], "/root/testdata/sf0.01"
+    whole = sorted(map(str, query(spark, sf).collect()))
+    assert star.documents(spark, sf).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(star, "PIECE_BYTES", 50_000)
+    monkeypatch.setattr(star, "MANY_PIECES", 4)
+    spread = star.documents(spark, sf)
+    held = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 16 and max(held) < sum(held) / 4
+    assert sorted(map(str, query(spark, sf).collect())) == whole
+
+
+def test_type_inference_lowers_a_text_once(spark):
+    plan = queries()["type_inference"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_type_of_a_lowered_column(spark):
+    rows = spark.createDataFrame([("Income",), ("CREDIT note",), ("debit",), ("",), (None,)], "v string").withColumn("t", F.lower("v"))
+    own, given = type_from_column(F.col("v")), type_from_column(F.col("v"), F.col("t"))
+    assert rows.filter(own != given).count() == 0 and rows.filter(given == "income").count() == 2
