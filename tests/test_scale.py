@@ -283,6 +283,39 @@ def test_refreshed_reports_equal_full_runs(make_ledger, profiles, tmp_path):
             assert flat(stored_reports(whole.sparkSession, path)) == flat(comprehensive_report(so_far, who))
 
 
+def test_refresh_reads_no_ledger_where_cells_tell_outliers(make_ledger, profiles, tmp_path):
+    """A day and category of up to two amounts tells its outliers; the ledger is read for the rows of others alone."""
+    from pyspark.sql import functions as F
+
+    from tallyflow.catalog.plans import _flat
+    from tallyflow.plans.refresh import refresh_reports, stored_reports
+
+    usual = [(u, "expense", "Dining", 10 + i % 3, f"2024-0{1 + i % 6}-{1 + i // 6:02d}") for u in (1, 2, 3) for i in range(40)]
+    one = [(1, "expense", "Dining", 1000, "2024-07-01")]
+    two = [(2, "expense", "Dining", a, "2024-07-01") for a in (1000, 900)] + [(2, "expense", "Rent", a, "2024-07-01") for a in (5, 5)]
+    low = [(3, "expense", "Dining", a, "2024-07-01") for a in (1000, 12)] + [(3, "transfer", "Dining", 5000, "2024-07-02")]
+    three = [(1, "expense", "Dining", a, "2024-07-02") for a in (950, 11, 900)]
+    who, path = profiles((1, "gig", "low")), str(tmp_path / "reports")
+    flat = lambda report: rows_of(report.select(*_flat(None)))
+    told = make_ledger(usual + one + two + low).cache()
+    unread = told.withColumn("amount", F.raise_error(F.lit("the ledger was read")).cast("decimal(18,2)"))
+    refresh_reports(told, unread, who, path, 0)
+    reports = stored_reports(told.sparkSession, path)
+    assert flat(reports) == flat(comprehensive_report(told, who))
+    assert sorted((r[0], r[1]) for r in reports.select("user_id", "spending.n_anomalies").collect()) == [(1, 1), (2, 2), (3, 1)]
+    both = make_ledger(usual + one + two + low + three).cache()
+    refresh_reports(both.filter(f"txn_id >= {len(usual + one + two + low)}"), both, who, path, 1, split_rows=20)
+    reports = stored_reports(told.sparkSession, path)
+    assert flat(reports) == flat(comprehensive_report(both, who))
+    assert sorted((r[0], r[1]) for r in reports.select("user_id", "spending.n_anomalies").collect()) == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_report_gathers_lists_once(ledger, profiles):
+    """What a user's report lists is gathered as one list; each row does not meet seven lists and a percentile."""
+    plan = comprehensive_report(ledger, profiles((0, "gig", "low")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and "percentile(" not in plan
+
+
 def test_report_cells_are_not_copied_for_each_key(ledger, profiles):
     """Sums by category, month, day and season come from one row a cell: a ledger row is not shuffled four times."""
     from tallyflow.plans.report import _placed, cell_sums
